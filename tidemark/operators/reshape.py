@@ -52,8 +52,10 @@ CEP_PATHS = {
     "cdu_loop_bypass_flowrate": "simulator[1].datacenter[1].summary.V_flow_bypass_GPM",
 }
 
-# One part of a path: a leading name, .name, ['name'], ["name"] or [number].
-_PART = r"""^\w+|\.\w+|\['[^']+'\]|\["[^"]+"\]|\[\d+\]"""
+# A path is a leading name followed by .name, ['name'], ["name"] or [number] parts.
+_LATER_PART = r"""\['([^']+)'\]|\["([^"]+)"\]|\.(\w+)|(\[\d+\])"""
+_PATH = rf"^(?:\w+|{_LATER_PART})(?:{_LATER_PART})*$"
+_SEPARATOR = "\u0001"
 
 
 def long_readings(df: DataFrame, key: Sequence[str], readings: str) -> DataFrame:
@@ -90,13 +92,8 @@ def wide_plant(readings: DataFrame, key: Sequence[str]) -> DataFrame:
 
 def path_parts(path: Column) -> Column:
     """Parts of a path in one spelling each, so that ``a.b`` and ``a['b']`` are the same place."""
-    parts = F.regexp_extract_all(path, F.lit(_PART), F.lit(0))
-    return F.transform(
-        parts,
-        lambda p: F.when(p.rlike(r"^\[\d"), p).otherwise(
-            F.regexp_replace(p, r"""^\.|^\[['"]|['"]\]$""", "")
-        ),
-    )
+    marked = F.regexp_replace(path, _LATER_PART, f"{_SEPARATOR}$1$2$3$4")
+    return F.split(F.ltrim(marked, F.lit(_SEPARATOR)), _SEPARATOR)
 
 
 def path_conflicts(readings: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -105,35 +102,30 @@ def path_conflicts(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     ``duplicate``: two readings for one place; ``nested``: a reading at a place that holds further
     places; ``invalid``: not a path. One aggregation over readings and their ancestors.
     """
-    whole = f"^(?:{_PART})+$"
-    parts = path_parts(F.col("path"))
-    depth = F.size(parts)
-    # Slash cannot occur unquoted in a path; the number of parts keeps quoted ones apart.
-    places = F.transform(
-        F.sequence(F.lit(1), depth),
-        lambda n: F.struct(
-            F.concat_ws("/", F.slice(parts, F.lit(1), n)).alias("place"), (n == depth).alias("leaf")
-        ),
-    )
-    valid = readings.filter(F.col("path").rlike(whole))
-    invalid = readings.filter(~F.col("path").rlike(whole)).select(
-        *key, F.col("path").alias("place"), F.lit("invalid").alias("problem")
+    is_path = F.col("path").rlike(_PATH)
+    parts = readings.select(
+        *key, F.when(is_path, path_parts(F.col("path"))).otherwise(F.array("path")).alias("parts"),
+        is_path.alias("is_path"),
     )
-    counted = (
-        valid.select(*key, F.explode(places).alias("at"))
-        .groupBy(*key, "at.place")
-        .agg(
-            F.count_if(F.col("at.leaf")).alias("leaves"),
-            F.count_if(~F.col("at.leaf")).alias("inner"),
-        )
+    places = parts.select(
+        "*", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth")
+    ).select(
+        *key,
+        F.concat_ws("/", F.slice("parts", F.lit(1), F.col("depth"))).alias("place"),
+        "is_path",
+        (F.col("depth") == F.size("parts")).alias("leaf"),
     )
-    problem = F.when(F.col("leaves") > 1, "duplicate").when(
-        (F.col("leaves") > 0) & (F.col("inner") > 0), "nested"
+    leaves = F.count_if(F.col("leaf"))
+    problem = (
+        F.when(~F.col("is_path"), "invalid")
+        .when(leaves > 1, "duplicate")
+        .when((leaves > 0) & (leaves < F.count(F.lit(1))), "nested")
     )
     return (
-        counted.select(*key, "place", problem.alias("problem"))
+        places.groupBy(*key, "place", "is_path")
+        .agg(problem.alias("problem"))
         .filter(F.col("problem").isNotNull())
-        .unionByName(invalid.distinct())
+        .select(*key, "place", "problem")
     )
 
 

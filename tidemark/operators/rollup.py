@@ -17,12 +17,6 @@ def maxima(columns: Sequence[str]) -> dict[str, Column]:
     return {c: F.max(c) for c in columns}
 
 
-def newest(columns: Sequence[str], order: Sequence[str]) -> dict[str, Column]:
-    """Per column the value of the newest row, NULL included; the last order column breaks ties."""
-    by = F.struct(*order)
-    return {c: F.max_by(c, by) for c in columns}
-
-
 def rollup(
     series: DataFrame,
     span: Span,

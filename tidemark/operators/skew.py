@@ -51,7 +51,9 @@ def fact_join(
         return facts.join(F.broadcast(lookup), list(on), how)
     hot = F.broadcast(hot_keys(facts, on, target_rows))
     parts = F.coalesce(F.col("parts"), F.lit(1))
-    others = [c for c in facts.columns if c not in on] or list(facts.columns)
+    others = [
+        f.name for f in facts.schema.fields if f.name not in on and f.dataType.typeName() not in ("map", "variant")
+    ] or list(on)
     spread = (
         facts.join(hot, list(on), "left")
         .withColumn("join_part", F.pmod(F.xxhash64(*others), parts).cast("int"))

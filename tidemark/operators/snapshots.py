@@ -5,24 +5,44 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.spans import between
 
 
+def _row(columns: Sequence[str], order: Sequence[str]) -> Column:
+    # Order columns lead, so comparing rows compares them first; the rest settles what is left.
+    return F.struct(*order, *[c for c in columns if c not in order])
+
+
+def newest(columns: Sequence[str], order: Sequence[str]) -> dict[str, Column]:
+    """Aggregates giving each column of the newest row, NULLs included.
+
+    ``order`` is the time column followed by tie-breaks; rows equal in all of it are told apart by
+    the remaining columns, so the result is always the same. The aggregates are fields of one and
+    the same maximum, which Spark computes once.
+    """
+    row = F.max(_row(columns, order))
+    return {c: row.getField(c).alias(c) for c in columns}
+
+
+def oldest(columns: Sequence[str], order: Sequence[str]) -> dict[str, Column]:
+    """Like :func:`newest` for the oldest row."""
+    row = F.min(_row(columns, order))
+    return {c: row.getField(c).alias(c) for c in columns}
+
+
 def latest_state(
     log: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per key holding ``columns`` of its newest row, NULLs included.
+    """One row per key holding ``columns`` of its newest row.
 
-    ``order`` is the time column followed by tie-breaks. All columns travel in one struct, so there
-    is a single aggregate that combines map-side: a key's history shrinks to one row per map task
-    before the shuffle. Columns that are the same on every row of a key simply ride along.
+    There is a single aggregate and it combines map-side: a key's history shrinks to one row per map
+    task before the shuffle. Columns that are the same on every row of a key simply ride along.
     """
     columns = list(columns) if columns is not None else [c for c in log.columns if c not in keys]
-    state = F.max_by(F.struct(*columns), F.struct(*order)).alias("state")
-    return log.groupBy(*keys).agg(state).select(*keys, "state.*")
+    return log.groupBy(*keys).agg(*newest(columns, order).values())
 
 
 def earliest_state(
@@ -30,8 +50,7 @@ def earliest_state(
 ) -> DataFrame:
     """Like :func:`latest_state` for the oldest row."""
     columns = list(columns) if columns is not None else [c for c in log.columns if c not in keys]
-    state = F.min_by(F.struct(*columns), F.struct(*order)).alias("state")
-    return log.groupBy(*keys).agg(state).select(*keys, "state.*")
+    return log.groupBy(*keys).agg(*oldest(columns, order).values())
 
 
 def as_of(log: DataFrame, instant: datetime | None, ts: str = "ts", segment: str | None = None) -> DataFrame:

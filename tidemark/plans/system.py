@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
+from tidemark.operators.snapshots import newest
 from tidemark.operators.spans import Granularity
 from tidemark.plans.series import Series, run_series
 from tidemark.schemas import SYSTEM_COUNTS, SYSTEM_MEASURES
@@ -26,9 +25,6 @@ def system_series(
 ) -> Series:
     """Newest statistics per bucket; by default the most recent ones of the whole run."""
     fields = ["down_nodes", *SYSTEM_COUNTS, *SYSTEM_MEASURES]
-    # One struct, so that all fields come from the same row and share one aggregation buffer.
-    newest = F.max_by(F.struct(*fields), F.struct("ts", *tie_breaks))
-    series = run_series(
-        system, runs, run, {"stats": newest}, granularity, start=start, end=end, segment=segment
+    return run_series(
+        system, runs, run, newest(fields, ["ts", *tie_breaks]), granularity, start=start, end=end, segment=segment
     )
-    return replace(series, rows=series.rows.select("*", "stats.*").drop("stats"))

@@ -10,7 +10,8 @@ from tidemark.functions.durations import BREAKPOINT_SECONDS, snap_seconds
 from tidemark.functions.times import bucket, naive, offset_to_time
 from tidemark.operators.changes import downsample
 from tidemark.operators.filters import Filters
-from tidemark.operators.rollup import maxima, newest, rollup, rollup_groups, rollup_table
+from tidemark.operators.rollup import maxima, rollup, rollup_groups, rollup_table
+from tidemark.operators.snapshots import newest
 from tidemark.operators.spans import Granularity, Span, data_bounds, extent, fill_bounds, group_spans
 from tidemark.plans.cooling import cdu_series, cep_series
 from tidemark.plans.power import job_power_series
@@ -131,7 +132,7 @@ def power_history(t: Tables):
     s AS (SELECT user_id, date_trunc('second', lo) AS origin,
                  date_trunc('second', hi + INTERVAL 999999 MICROSECOND) AS until,
                  greatest(epoch_us(hi) - epoch_us(lo), 1000000) / 40000000 AS per_point FROM u),
-    g AS (SELECT *, coalesce(list_max(list_filter({list(BREAKPOINT_SECONDS)}, lambda d: d <= per_point)), 1) * 1000000 AS w FROM s)
+    g AS (SELECT *, coalesce(list_max(list_filter({list(BREAKPOINT_SECONDS)}, lambda d: d <= per_point)), 1)::BIGINT * 1000000 AS w FROM s)
     SELECT user_id, make_timestamp(epoch_us(origin) + (epoch_us(ts) - epoch_us(origin)) // w * w) AS timestamp,
            event_type, max(value) AS value
     FROM events JOIN g USING (user_id) WHERE ts >= origin AND ts < until GROUP BY ALL
@@ -173,7 +174,7 @@ def cdu_series_all(t: Tables):
 
 @query(_sim_series_sql(
     derived.CEP_SQL,
-    f"coalesce(list_max(list_filter({list(BREAKPOINT_SECONDS)}, lambda d: d <= (epoch_us(\"end\") - epoch_us(start)) / 100000000)), 1) * 1000000",
+    f"coalesce(list_max(list_filter({list(BREAKPOINT_SECONDS)}, lambda d: d <= (epoch_us(\"end\") - epoch_us(start)) / 100000000)), 1)::BIGINT * 1000000",
     _maxima_sql(CEP_MEASURES),
 ))
 def cep_series_all(t: Tables):
