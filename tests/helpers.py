@@ -2,7 +2,7 @@
 
 
 def rows(df, *columns):
-    return sorted((tuple(r) for r in df.select(*(columns or df.columns)).collect()), key=repr)
+    return sorted((tuple(r) for r in (df.select(*columns) if columns else df).collect()), key=repr)
 
 
 def same_rows(df, expected, *columns):

@@ -53,14 +53,19 @@ def naive(ts: Column) -> Column:
     return ts.cast("timestamp_ntz")
 
 
-def bucket(ts: Column, width: timedelta, origin: datetime | None = None) -> Column:
-    """Start of the tumbling window ``ts`` falls in, aligned to ``origin`` (default: the epoch)."""
+def tumbling_window(ts: Column, width: timedelta, origin: datetime | None = None) -> Column:
+    """The tumbling window ``ts`` falls in, aligned to ``origin`` (default: the epoch)."""
     step = to_micros(width)
     shift = epoch_micros(origin) % step if origin is not None else 0
     size = f"{step} microseconds"
     if shift:
-        return F.window(ts, size, size, f"{shift} microseconds").getField("start")
-    return F.window(ts, size, size).getField("start")
+        return F.window(ts, size, size, f"{shift} microseconds")
+    return F.window(ts, size, size)
+
+
+def bucket(ts: Column, width: timedelta, origin: datetime | None = None) -> Column:
+    """Start of the tumbling window of ``ts``."""
+    return tumbling_window(ts, width, origin).getField("start")
 
 
 def bucket_micros(ts_us: Column, width_us: Column, origin_us: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tidemark.functions.times import bucket
+from tidemark.functions.times import tumbling_window
 from tidemark.operators.rollup import maxima
 from tidemark.operators.snapshots import latest_state
 from tidemark.sources.tables import read_or_empty
@@ -35,9 +35,11 @@ def live_rollup(
     also lets the state of old buckets go."""
     if watermark:
         stream = stream.withWatermark(ts, watermark)
-    return stream.groupBy(bucket(F.col(ts), width).alias("timestamp"), *dims).agg(
+    # Grouped by the window itself: only that carries the watermark to the output.
+    rolled = stream.groupBy(tumbling_window(F.col(ts), width).alias("bucket"), *dims).agg(
         *[agg.alias(name) for name, agg in maxima(measures).items()]
     )
+    return rolled.select(F.col("bucket.start").alias("timestamp"), *dims, *measures)
 
 
 def live_latest(
