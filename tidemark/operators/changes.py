@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import on_grid
-from tidemark.operators.skew import TARGET_ROWS, time_slices
+from tidemark.operators.skew import TARGET_ROWS, fact_join, time_slices
 
 
 def previous_value(
@@ -74,10 +74,12 @@ def running_max_before(
 def last_tick(log: DataFrame, run: Sequence[str], ts: str, flag: str = "is_last_tick") -> DataFrame:
     """``log`` with a flag on all rows at the newest time of their run.
 
-    The join is on run and time together, so a hot run is spread by its times.
+    With few runs their newest times are broadcast and the log is not shuffled. Otherwise the join is
+    on run and time together, which spreads a hot run by its times.
     """
     newest = log.groupBy(*run).agg(F.max(ts).alias(ts)).withColumn(flag, F.lit(True))
-    return log.join(newest, [*run, ts], "left").withColumn(flag, F.coalesce(flag, F.lit(False)))
+    marked = fact_join(log, newest, [*run, ts], "left")
+    return marked.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 
 def job_fingerprint(state: str = "state_current") -> Column:

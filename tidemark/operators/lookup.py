@@ -51,15 +51,12 @@ def names_of(
     Order and length are kept, an unknown index gives NULL, and a NULL or empty array stays as it
     is. ``key`` must identify a row, so a group is never larger than its array.
     """
-    items = rows.select(*key, F.posexplode_outer(indexes).alias("pos", index))
+    absent = F.col(indexes).isNull().alias("absent")
+    items = rows.select(*key, absent, F.posexplode_outer(indexes).alias("pos", index))
     named = fact_join(items, dim.select(index, name), [index], "left", target_rows=target_rows)
-    listed = named.groupBy(*key).agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", name)))
-        ).alias("items")
-    )
-    names = F.transform("items", lambda i: i[name])
-    kept = rows.select(*key, F.col(indexes).isNull().alias("is_null"))
-    return listed.join(kept, list(key)).select(
-        *key, F.when(~F.col("is_null"), names).alias(indexes)
+    # The one row of an empty or NULL array has no position and is not collected.
+    found = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", name)))
+    names = F.transform(F.array_sort(found), lambda item: item[name])
+    return named.groupBy(*key, "absent").agg(names.alias("names")).select(
+        *key, F.when(~F.col("absent"), F.col("names")).alias(indexes)
     )

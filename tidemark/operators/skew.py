@@ -7,6 +7,7 @@ keys, so the list of them is small whatever the data and is the one thing broadc
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 TARGET_ROWS = 4_000_000
 #: Most rows of a lookup side that is sent whole to every executor.
 BROADCAST_ROWS = 100_000
+_KEYLESS_PARTS = 1 << 16
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -54,9 +56,12 @@ def fact_join(
     others = [
         f.name for f in facts.schema.fields if f.name not in on and f.dataType.typeName() not in ("map", "variant")
     ] or list(on)
+    # Rows without a key match nothing, so they may go anywhere.
+    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    ways = F.when(keyless, F.lit(_KEYLESS_PARTS)).otherwise(parts)
     spread = (
         facts.join(hot, list(on), "left")
-        .withColumn("join_part", F.pmod(F.xxhash64(*others), parts).cast("int"))
+        .withColumn("join_part", F.pmod(F.xxhash64(*others), ways).cast("int"))
         .drop("parts")
     )
     copies = (

@@ -11,46 +11,44 @@ from pyspark.sql import functions as F
 from tidemark.operators.spans import between
 
 
-def _row(columns: Sequence[str], order: Sequence[str]) -> Column:
-    # Order columns lead, so comparing rows compares them first; the rest settles what is left.
-    return F.struct(*order, *[c for c in columns if c not in order])
-
-
 def newest(columns: Sequence[str], order: Sequence[str]) -> dict[str, Column]:
-    """Aggregates giving each column of the newest row, NULLs included.
+    """Aggregates giving each column of a group's newest row, NULLs included.
 
-    ``order`` is the time column followed by tie-breaks; rows equal in all of it are told apart by
-    the remaining columns, so the result is always the same. The aggregates are fields of one and
-    the same maximum, which Spark computes once.
+    ``order`` is the time column followed by tie-breaks. The aggregates are fields of one and the
+    same ``max_by``, which Spark computes once and which builds a row only when it is the newest so
+    far; made for groups of many rows.
     """
-    row = F.max(_row(columns, order))
-    return {c: row.getField(c).alias(c) for c in columns}
+    row = F.max_by(F.struct(*columns), F.struct(*order))
+    return {c: row.getField(c) for c in columns}
 
 
-def oldest(columns: Sequence[str], order: Sequence[str]) -> dict[str, Column]:
-    """Like :func:`newest` for the oldest row."""
-    row = F.min(_row(columns, order))
-    return {c: row.getField(c).alias(c) for c in columns}
+def _extreme(aggregate, log: DataFrame, keys, order, columns) -> DataFrame:
+    if columns is None:
+        columns = [c for c in log.columns if c not in keys]
+    # Order columns lead, so comparing rows compares them first; the rest settles what is left.
+    row = aggregate(F.struct(*order, *[c for c in columns if c not in order])).alias("row")
+    found = log.groupBy(*keys).agg(row)
+    return found.select(*keys, *[F.col("row").getField(c).alias(c) for c in columns])
 
 
 def latest_state(
     log: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """One row per key holding ``columns`` of its newest row.
+    """One row per key holding ``columns`` of its newest row, NULLs included.
 
-    There is a single aggregate and it combines map-side: a key's history shrinks to one row per map
-    task before the shuffle. Columns that are the same on every row of a key simply ride along.
+    ``order`` is the time column followed by tie-breaks; rows equal in all of it are told apart by
+    the remaining columns, so the result is always the same. The one aggregate combines map-side: a
+    key's history shrinks to one row per map task before the shuffle. Columns that are the same on
+    every row of a key simply ride along.
     """
-    columns = list(columns) if columns is not None else [c for c in log.columns if c not in keys]
-    return log.groupBy(*keys).agg(*newest(columns, order).values())
+    return _extreme(F.max, log, keys, order, columns)
 
 
 def earliest_state(
     log: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str] | None = None
 ) -> DataFrame:
     """Like :func:`latest_state` for the oldest row."""
-    columns = list(columns) if columns is not None else [c for c in log.columns if c not in keys]
-    return log.groupBy(*keys).agg(*oldest(columns, order).values())
+    return _extreme(F.min, log, keys, order, columns)
 
 
 def as_of(log: DataFrame, instant: datetime | None, ts: str = "ts", segment: str | None = None) -> DataFrame:

@@ -100,7 +100,7 @@ SIM_TS_SQL = "l_shipdate + to_seconds(l_linenumber * 600)"
 
 
 def sim_ts():
-    return F.col("l_shipdate") + F.make_dt_interval(secs=F.col("l_linenumber") * 600)
+    return F.expr("l_shipdate + interval '10' minute * l_linenumber")
 
 
 SIMS_SQL = f"""
