@@ -225,8 +225,8 @@ def downsample_grid(t: Tables):
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
            l_shipdate + to_microseconds((nullif(l_quantity, 1) * 1500000 - 250000)::BIGINT) AS at
     FROM lineitem
-""")
-def offset_to_time_col(t: Tables):
+""", name="offset_to_time")
+def offset_to_time_query(t: Tables):
     """Offsets in seconds to times; a missing offset stays missing."""
     offset = F.nullif(F.col("l_quantity"), F.lit(1.0)) * 1.5
     return t.lineitem.select(
