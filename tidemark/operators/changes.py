@@ -2,7 +2,7 @@
 
 Order within an entity matters here, so plain map-side combination is not enough. Hot entities are
 cut into time slices; each slice is handled on its own and is handed the value its predecessor
-ended with. The handed-on values are at most two per ``target_rows`` rows and are broadcast.
+ended with. There are at most two such values per ``target_rows`` rows; they are broadcast.
 """
 
 from __future__ import annotations
@@ -21,26 +21,26 @@ def previous_value(
     keys: Sequence[str],
     order: Sequence[str],
     value: Column,
-    name: str = "previous",
+    name: str = "_previous",
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """``log`` with ``name``: ``value`` of the row before within the key, NULL on the first row."""
-    sliced = time_slices(log, keys, order[0], target_rows).withColumn("current", value)
-    by_slice = [*keys, "slice"]
+    sliced = time_slices(log, keys, order[0], target_rows).withColumn("_current", value)
+    by_slice = [*keys, "_slice"]
     within = Window.partitionBy(*by_slice).orderBy(*order)
     ends = (
-        sliced.filter("is_cut")
+        sliced.filter("_cut")
         .groupBy(*by_slice)
-        .agg(F.max_by("current", F.struct(*order)).alias("last"))
+        .agg(F.max_by("_current", F.struct(*order)).alias("_end"))
     )
     handed = ends.select(
-        *by_slice, F.lag("last").over(Window.partitionBy(*keys).orderBy("slice")).alias("handed")
+        *by_slice, F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_handed")
     )
     return (
-        sliced.withColumn("before", F.lag("current").over(within))
-        .withColumn("leads", F.row_number().over(within) == 1)
+        sliced.withColumn("_before", F.lag("_current").over(within))
+        .withColumn("_leads", F.row_number().over(within) == 1)
         .join(F.broadcast(handed), by_slice, "left")
-        .withColumn(name, F.when(F.col("leads"), F.col("handed")).otherwise(F.col("before")))
+        .withColumn(name, F.when(F.col("_leads"), F.col("_handed")).otherwise(F.col("_before")))
         .select(*log.columns, name)
     )
 
@@ -50,28 +50,30 @@ def running_max_before(
     keys: Sequence[str],
     order: Sequence[str],
     value: Column,
-    name: str = "max_before",
+    name: str = "_max_before",
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """``log`` with ``name``: the largest ``value`` of all earlier rows of the key, else NULL."""
-    sliced = time_slices(log, keys, order[0], target_rows).withColumn("current", value)
-    by_slice = [*keys, "slice"]
-    earlier = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    tops = sliced.filter("is_cut").groupBy(*by_slice).agg(F.max("current").alias("top"))
-    earlier_slices = (
-        Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    handed = tops.select(*by_slice, F.max("top").over(earlier_slices).alias("handed"))
+    sliced = time_slices(log, keys, order[0], target_rows).withColumn("_current", value)
+    by_slice = [*keys, "_slice"]
+    tops = sliced.filter("_cut").groupBy(*by_slice).agg(F.max("_current").alias("_top"))
+
+    def all_before(window: Window) -> Window:
+        return window.rowsBetween(Window.unboundedPreceding, -1)
+
+    slices = all_before(Window.partitionBy(*keys).orderBy("_slice"))
+    rows = all_before(Window.partitionBy(*by_slice).orderBy(*order))
+    handed = tops.select(*by_slice, F.max("_top").over(slices).alias("_handed"))
     return (
-        sliced.withColumn("before", F.max("current").over(earlier.partitionBy(*by_slice)))
+        sliced.withColumn("_before", F.max("_current").over(rows))
         .join(F.broadcast(handed), by_slice, "left")
         # greatest() skips NULLs.
-        .withColumn(name, F.greatest("before", "handed"))
+        .withColumn(name, F.greatest("_before", "_handed"))
         .select(*log.columns, name)
     )
 
 
-def last_tick(log: DataFrame, run: Sequence[str], ts: str, flag: str = "is_last_tick") -> DataFrame:
+def last_tick(log: DataFrame, run: Sequence[str], ts: str, flag: str = "_last_tick") -> DataFrame:
     """``log`` with a flag on all rows at the newest time of their run.
 
     With few runs their newest times are broadcast and the log is not shuffled. Otherwise the join is
@@ -108,13 +110,13 @@ def change_only(
     """
     # Wrapped, so that a NULL state on an earlier row is told from having no earlier row.
     current = F.struct(state.alias("state"))
-    marked = previous_value(log, keys, order, current, "previous", target_rows)
-    keep = ~current.eqNullSafe(F.col("previous"))
+    marked = previous_value(log, keys, order, current, "_previous", target_rows)
+    keep = ~current.eqNullSafe(F.col("_previous"))
     if always is not None:
         keep = keep | F.coalesce(always, F.lit(False))
     if run:
         marked = last_tick(marked, run, order[0])
-        keep = keep | F.col("is_last_tick")
+        keep = keep | F.col("_last_tick")
     return marked.filter(keep).select(*log.columns)
 
 
@@ -126,14 +128,14 @@ def new_samples_only(
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """Rows whose sample count exceeds every earlier count of the key (initially 0)."""
-    marked = running_max_before(log, keys, order, F.col(samples), "max_before", target_rows)
-    return marked.filter(F.col(samples) > F.coalesce("max_before", F.lit(0))).select(*log.columns)
+    marked = running_max_before(log, keys, order, F.col(samples), "_max_before", target_rows)
+    return marked.filter(F.col(samples) > F.coalesce("_max_before", F.lit(0))).select(*log.columns)
 
 
 def downsample(log: DataFrame, run: Sequence[str], ts: str, rate_seconds: int) -> DataFrame:
     """Ticks on the sampling grid, and always the last tick of each run."""
     marked = last_tick(log, run, ts)
-    return marked.filter(on_grid(F.col(ts), rate_seconds) | F.col("is_last_tick")).select(*log.columns)
+    return marked.filter(on_grid(F.col(ts), rate_seconds) | F.col("_last_tick")).select(*log.columns)
 
 
 def mask_future_end(jobs: DataFrame, start: str, end: str, snapshot: str) -> DataFrame:

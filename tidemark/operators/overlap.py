@@ -100,27 +100,27 @@ def join_spans(
     edges = [w + 1 for w in widths[:-1]]
     placed = (
         jobs.filter(F.col(start_col).isNotNull() & F.col(end_col).isNotNull())
-        .withColumn("bin_level", step_value(hi - lo, edges, list(range(_LEVELS))))
-        .withColumn("bin_us", step_value(hi - lo, edges, widths))
-        .withColumn("job_bin", F.floor(lo / F.col("bin_us")).cast("long"))
-        .withColumn("bin", F.explode(F.sequence("job_bin", F.floor(hi / F.col("bin_us")).cast("long"))))
-        .drop("bin_us")
+        .withColumn("_bin_level", step_value(hi - lo, edges, list(range(_LEVELS))))
+        .withColumn("_bin_us", step_value(hi - lo, edges, widths))
+        .withColumn("_job_bin", F.floor(lo / F.col("_bin_us")).cast("long"))
+        .withColumn("_bin", F.explode(F.sequence("_job_bin", F.floor(hi / F.col("_bin_us")).cast("long"))))
+        .drop("_bin_us")
     )
     s_lo, s_hi = bounds(span_start, span_end)
     levels = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("bin_level"), F.lit(w).alias("bin_us")) for i, w in enumerate(widths)])
+        F.array(*[F.struct(F.lit(i).alias("_bin_level"), F.lit(w).alias("_bin_us")) for i, w in enumerate(widths)])
     )
     laid = (
         spans.filter(F.col(span_start).isNotNull() & F.col(span_end).isNotNull())
-        .withColumn("level", levels)
-        .select(*spans.columns, "level.*")
-        .withColumn("span_bin", F.floor(s_lo / F.col("bin_us")).cast("long"))
-        .withColumn("bin", F.explode(F.sequence("span_bin", F.floor(s_hi / F.col("bin_us")).cast("long"))))
-        .drop("bin_us")
+        .withColumn("_level", levels)
+        .select(*spans.columns, "_level.*")
+        .withColumn("_span_bin", F.floor(s_lo / F.col("_bin_us")).cast("long"))
+        .withColumn("_bin", F.explode(F.sequence("_span_bin", F.floor(s_hi / F.col("_bin_us")).cast("long"))))
+        .drop("_bin_us")
     )
-    pairs = fact_join(placed, laid, ["bin_level", "bin"], "inner", target_rows=target_rows)
+    pairs = fact_join(placed, laid, ["_bin_level", "_bin"], "inner", target_rows=target_rows)
     return pairs.filter(
-        (F.col("bin") == F.greatest("job_bin", "span_bin"))
+        (F.col("_bin") == F.greatest("_job_bin", "_span_bin"))
         & (F.col(start_col) <= F.col(span_end))
         & (F.col(end_col) >= F.col(span_start))
     ).select(*jobs.columns, *spans.columns)

@@ -66,14 +66,14 @@ def rollup_groups(
     placed = (
         fact_join(series, spans, by, "inner", target_rows=target_rows)
         .filter((us >= F.col("span_start")) & (us < F.col("span_end")))
-        .withColumn("bucket_us", bucket_micros(us, F.col("span_width"), F.col("span_start")))
+        .withColumn("_bucket_us", bucket_micros(us, F.col("span_width"), F.col("span_start")))
     )
-    grouped = placed.groupBy(*by, "bucket_us", *dims).agg(
+    grouped = placed.groupBy(*by, "_bucket_us", *dims).agg(
         *[agg.alias(name) for name, agg in aggregates.items() if name in chosen] or [F.count(F.lit(1))]
     )
     if ordered:
-        grouped = grouped.orderBy(*by, "bucket_us", *dims)
-    start = F.timestamp_micros("bucket_us").cast(series.schema[ts].dataType)
+        grouped = grouped.orderBy(*by, "_bucket_us", *dims)
+    start = F.timestamp_micros("_bucket_us").cast(series.schema[ts].dataType)
     return grouped.select(*by, start.alias("timestamp"), *chosen)
 
 

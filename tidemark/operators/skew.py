@@ -17,6 +17,8 @@ TARGET_ROWS = 4_000_000
 #: Most rows of a lookup side that is sent whole to every executor.
 BROADCAST_ROWS = 100_000
 _KEYLESS_PARTS = 1 << 16
+#: A power of two.
+_QUANTILES = 32
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
@@ -26,12 +28,11 @@ def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
 
 def hot_keys(facts: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
     """Keys above the target with the number of parts to cut them into (counted map-side first)."""
-    rows = F.count(F.lit(1))
     return (
         facts.groupBy(*keys)
-        .agg(rows.alias("rows"))
-        .filter(F.col("rows") > target_rows)
-        .select(*keys, F.ceil(F.col("rows") / target_rows).cast("int").alias("parts"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter(F.col("_rows") > target_rows)
+        .select(*keys, F.ceil(F.col("_rows") / target_rows).cast("int").alias("_parts"))
     )
 
 
@@ -48,11 +49,12 @@ def fact_join(
 
     A lookup of at most ``broadcast_rows`` rows is broadcast. A larger one is shuffled, with the hot
     keys of ``facts`` spread over several parts and only their lookup rows repeated for each part.
+    Rows are spread by a hash of their content, so a repeated task sends each to the same part.
     """
     if fits(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup), list(on), how)
     hot = F.broadcast(hot_keys(facts, on, target_rows))
-    parts = F.coalesce(F.col("parts"), F.lit(1))
+    parts = F.coalesce(F.col("_parts"), F.lit(1))
     others = [
         f.name for f in facts.schema.fields if f.name not in on and f.dataType.typeName() not in ("map", "variant")
     ] or list(on)
@@ -61,41 +63,51 @@ def fact_join(
     ways = F.when(keyless, F.lit(_KEYLESS_PARTS)).otherwise(parts)
     spread = (
         facts.join(hot, list(on), "left")
-        .withColumn("join_part", F.pmod(F.xxhash64(*others), ways).cast("int"))
-        .drop("parts")
+        .withColumn("_part", F.pmod(F.xxhash64(*others), ways).cast("int"))
+        .drop("_parts")
     )
     copies = (
         lookup.join(hot, list(on), "left")
-        .withColumn("join_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("parts")
+        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        .drop("_parts")
     )
-    return spread.join(copies, [*on, "join_part"], how).drop("join_part")
+    return spread.join(copies, [*on, "_part"], how).drop("_part")
 
 
 def time_slices(
     log: DataFrame, keys: Sequence[str], ts: str, target_rows: int = TARGET_ROWS
 ) -> DataFrame:
-    """``log`` with a ``slice`` number and an ``is_cut`` flag.
+    """``log`` with the columns ``_slice`` (a number) and ``_cut`` (whether the key was cut at all).
 
-    Hot keys are cut into consecutive time slices over their own extent (``is_cut``); all other keys
-    stay in slice 0. Slice order is time order within a key.
+    A hot key is cut into consecutive time slices of about ``target_rows`` rows; slice order is time
+    order within the key. The slices follow the key's quantiles, so a burst gets more of them. All
+    other keys stay whole in slice 0. Only rows of one key at the very same time cannot be parted.
     """
     us = F.unix_micros(F.col(ts).cast("timestamp"))
-    hot = (
-        log.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("rows"), F.min(us).alias("from_us"), F.max(us).alias("to_us"))
-        .filter(F.col("rows") > target_rows)
-        .select(
-            *keys,
-            "from_us",
-            # One microsecond above the extent, so that the last row stays in the last slice.
-            ((F.col("to_us") - F.col("from_us") + 1) / F.ceil(F.col("rows") / target_rows)).alias("slice_us"),
+    inner = [i / _QUANTILES for i in range(1, _QUANTILES)]
+    cuts = (
+        log.select(*keys, us.alias("_us"))
+        .join(F.broadcast(hot_keys(log, keys, target_rows)), list(keys))
+        .groupBy(*keys, "_parts")
+        .agg(
+            F.concat(
+                F.array(F.min("_us")), F.percentile_approx("_us", inner), F.array(F.max("_us") + 1)
+            ).alias("_cuts")
         )
     )
-    number = F.floor((us - F.col("from_us")) / F.col("slice_us")).cast("long")
+    placed = log.join(F.broadcast(cuts), list(keys), "left").withColumns({"_us": us, "_at": F.lit(0)})
+    # Binary search for the last cut at or before the row; each step is a projection of its own.
+    step = _QUANTILES // 2
+    while step:
+        reached = F.get("_cuts", F.col("_at") + step) <= F.col("_us")
+        placed = placed.withColumn("_at", F.col("_at") + F.when(reached, F.lit(step)).otherwise(F.lit(0)))
+        step //= 2
+    low, high = F.get("_cuts", F.col("_at")), F.get("_cuts", F.col("_at") + 1)
+    # Share of the key's rows before this one, taking them as evenly spread between two quantiles.
+    share = (F.col("_at") + (F.col("_us") - low) / (high - low)) / _QUANTILES
+    number = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
     return (
-        log.join(F.broadcast(hot), list(keys), "left")
-        .withColumn("slice", F.coalesce(number, F.lit(0).cast("long")))
-        .withColumn("is_cut", F.col("slice_us").isNotNull())
-        .drop("from_us", "slice_us")
+        placed.withColumn("_slice", F.coalesce(number.cast("long"), F.lit(0).cast("long")))
+        .withColumn("_cut", F.col("_cuts").isNotNull())
+        .drop("_us", "_at", "_cuts", "_parts")
     )

@@ -42,20 +42,20 @@ def start_change_only(
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.persist()
         try:
-            log = rows.withColumn("carried", F.lit(False))
+            log = rows.withColumn("_carried", F.lit(False))
             if batch_id > 0:
                 newest = batch.sparkSession.read.parquet(f"{path}/newest/batch_id={batch_id - 1}")
-                log = log.unionByName(newest.withColumn("carried", F.lit(True)))
+                log = log.unionByName(newest.withColumn("_carried", F.lit(True)))
             # Among equal times the carried row comes first.
-            ordered = log.withColumn("fresh", ~F.col("carried"))
-            marked = previous_value(ordered, keys, [*order, "fresh"], current, "previous", target_rows)
-            keep = ~current.eqNullSafe(F.col("previous"))
+            ordered = log.withColumn("_fresh", ~F.col("_carried"))
+            marked = previous_value(ordered, keys, [*order, "_fresh"], current, "_previous", target_rows)
+            keep = ~current.eqNullSafe(F.col("_previous"))
             if always is not None:
                 keep = keep | F.coalesce(always, F.lit(False))
-            changed = marked.filter(~F.col("carried") & keep).select(*batch.columns)
+            changed = marked.filter(~F.col("_carried") & keep).select(*batch.columns)
             changed.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
 
-            last = latest_state(log.drop("carried"), keys, order).select(*batch.columns)
+            last = latest_state(log.drop("_carried"), keys, order).select(*batch.columns)
             if finished is not None:
                 last = last.filter(~F.coalesce(finished, F.lit(False)))
             last.write.mode("overwrite").parquet(f"{path}/newest/batch_id={batch_id}")

@@ -290,12 +290,11 @@ def sort_defaults(t: Tables):
 
 
 @query("""
-    SELECT user_id, kinds FROM (
-        SELECT user_id, list_sort(list(DISTINCT event_type)) AS kinds FROM events GROUP BY 1)
-    ORDER BY array_to_string(kinds, ',') DESC, user_id LIMIT 100
+    SELECT o_orderkey, words FROM (SELECT o_orderkey, string_split(o_orderpriority, ' ') AS words FROM orders)
+    ORDER BY array_to_string(words, ',') DESC, o_orderkey LIMIT 100
 """)
 def sort_by_array(t: Tables):
     """Arrays sort by their comma-joined text."""
-    kinds = t.events.groupBy("user_id").agg(F.array_sort(F.collect_set("event_type")).alias("kinds"))
-    sort = Sort.parse({"user_id": "number", "kinds": "array[string]"}, ["desc:kinds", "asc:user_id"])
-    return take_page(kinds, sort, ["user_id", "kinds"]).rows
+    rows = t.orders.select("o_orderkey", F.split("o_orderpriority", " ").alias("words"))
+    sort = Sort.parse({"o_orderkey": "number", "words": "array[string]"}, ["desc:words", "asc:o_orderkey"])
+    return take_page(rows, sort, ["o_orderkey", "words"]).rows

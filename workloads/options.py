@@ -252,21 +252,21 @@ def scalar_time(t: Tables):
 
 
 @query("""
-    SELECT conv_id, array_to_string(roles, ',') AS roles, array_to_string(turns, ',') AS turns, len(turns) AS n,
-           list_contains(roles, 'system') AS has_system
-    FROM (SELECT conv_id, list(role ORDER BY turn, role, text) AS roles, list(turn ORDER BY turn, role, text) AS turns
-          FROM conversations GROUP BY 1)
+    SELECT conv_id, turn, array_to_string(words, ',') AS words, array_to_string(lengths, ',') AS lengths,
+           len(words) AS n, list_contains(words, 'the') AS has_the
+    FROM (SELECT conv_id, turn, string_split(text, ' ') AS words,
+                 list_transform(string_split(text, ' '), lambda w: length(w)) AS lengths FROM conversations)
 """)
 def scalar_array(t: Tables):
     """Arrays as comma-joined text, their length and membership."""
-    ordered = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
-    rows = t.conversations.groupBy("conv_id").agg(ordered.alias("x"))
+    rows = t.conversations.select("conv_id", "turn", F.split("text", " ").alias("words"))
     return rows.select(
         "conv_id",
-        join_list(F.col("x.role")).alias("roles"),
-        join_list(F.col("x.turn")).alias("turns"),
-        F.size("x").cast("long").alias("n"),
-        F.array_contains("x.role", "system").alias("has_system"),
+        "turn",
+        join_list(F.col("words")).alias("words"),
+        join_list(F.transform("words", F.length)).alias("lengths"),
+        F.size("words").cast("long").alias("n"),
+        F.array_contains("words", "the").alias("has_the"),
     )
 
 
