@@ -37,7 +37,7 @@ def test_load_store_replay(spark, raw, tmp_path):
     h.write(table, h.LASSEN_ALLOCATIONS, str(tmp_path / "t"))
     stored = read_parquet(spark, str(tmp_path / "t"))
     assert {str(r.seg) for r in stored.select("seg").collect()} == {"2019-01-01", "2010-01-01"}
-    found = h.replay(stored, h.LASSEN_ALLOCATIONS, at(1, 11), at(2), segment=None, zoneless=["begin_time"])
+    found = h.replay(stored, h.LASSEN_ALLOCATIONS, at(1, 11), at(2), zoneless=["begin_time"])
     same_rows(found, [(10,), (11,)], "allocation_id")
     everything = h.replay(stored, h.LASSEN_ALLOCATIONS, at(1, 11), at(2), lookback=None)
     same_rows(everything, [(10,), (11,), (12,)], "allocation_id")

@@ -5,7 +5,7 @@ import pytest
 
 from tests.helpers import rows, same_rows
 from tidemark import schemas
-from tidemark.operators.spans import between
+from tidemark.operators.spans import Segment, between
 from tidemark.session import shared_dir
 from tidemark.sources import sinks, tables
 
@@ -29,13 +29,18 @@ def test_segments_are_pruned(spark, events, tmp_path):
     sinks.write_segmented(events, path)
     table = tables.read_parquet(spark, path)
     assert table.count() == events.count()
-    part = between(table, "ts", datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 12, tzinfo=timezone.utc), segment="seg")
+    part = between(table, "ts", datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 12, tzinfo=timezone.utc), segment=Segment("week"))
     assert len(part.inputFiles()) > 0
     plan = part._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(seg" in plan
     expected = events.filter("ts >= timestamp_ntz '2024-01-10' and ts < timestamp_ntz '2024-01-12'")
     assert rows(part, "event_id") == rows(expected, "event_id")
+    # A range that begins inside a segment still sees all of its rows, whatever the unit.
     for unit in ("month", "year"):
+        sinks.write_segmented(events, f"{path}-{unit}", unit=unit)
+        stored = tables.read_parquet(spark, f"{path}-{unit}")
+        late = between(stored, "ts", datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 12, tzinfo=timezone.utc), segment=Segment(unit))
+        assert rows(late, "event_id") == rows(expected, "event_id")
         assert sinks.with_segment(events, unit=unit).select("seg").distinct().count() == 1
 
 

@@ -11,7 +11,7 @@ from tidemark.functions.durations import to_micros
 from tidemark.functions.steps import step_value
 from tidemark.functions.times import instant, micros, parse_instant
 from tidemark.operators.skew import TARGET_ROWS, fact_join
-from tidemark.operators.spans import between
+from tidemark.operators.spans import Segment, between
 
 WEEK = timedelta(days=7)
 #: The range join's bin widths grow by this factor from level to level.
@@ -27,7 +27,7 @@ def overlapping_closed(
     end_col: str,
     ts: str = "ts",
     lookback: timedelta | None = WEEK,
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> DataFrame:
     """Jobs whose closed interval meets ``[start, end]``, by event time no older than ``lookback``."""
     earliest = parse_instant(start) - lookback if lookback is not None else None
@@ -49,7 +49,7 @@ def active_between(
     ts: str = "ts",
     submission: str = "time_submission",
     end_col: str = "time_end",
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> DataFrame:
     """Snapshots of jobs queued or running in the interval, before they are reduced to one state."""
     if start is not None:
@@ -66,7 +66,7 @@ def looking_back(
     end: datetime,
     lookback: timedelta = timedelta(days=3),
     ts: str = "ts",
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> DataFrame:
     """Rows of a side table from ``lookback`` before the start up to and including the end."""
     return between(series, ts, parse_instant(start) - lookback, end, closed=True, segment=segment)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import bucket, bucket_micros, micros
 from tidemark.operators.skew import TARGET_ROWS, fact_join
-from tidemark.operators.spans import Span
+from tidemark.operators.spans import Segment, Span
 
 
 def maxima(columns: Sequence[str]) -> dict[str, Column]:
@@ -25,7 +25,7 @@ def rollup(
     fields: Sequence[str] | None = None,
     *,
     ts: str = "ts",
-    segment: str | None = None,
+    segment: Segment | None = None,
     ordered: bool = True,
 ) -> DataFrame:
     """One row per non-empty bucket and combination of dims, ``timestamp`` first.

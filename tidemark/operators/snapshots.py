@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.spans import between
+from tidemark.operators.spans import Segment, between
 
 
 def newest(columns: Sequence[str], order: Sequence[str]) -> dict[str, Column]:
@@ -51,6 +51,6 @@ def earliest_state(
     return _extreme(F.min, log, keys, order, columns)
 
 
-def as_of(log: DataFrame, instant: datetime | None, ts: str = "ts", segment: str | None = None) -> DataFrame:
+def as_of(log: DataFrame, instant: datetime | None, ts: str = "ts", segment: Segment | None = None) -> DataFrame:
     """The log as it stood at ``instant`` (rows at that very time included); None is no bound."""
     return between(log, ts, end=instant, closed=True, segment=segment)

@@ -71,7 +71,7 @@ class Sort:
 
 @dataclass(frozen=True)
 class Page:
-    """One page of ``rows`` out of ``matches``, the unsorted frame of all matching rows."""
+    """One page of ``rows``; ``matches`` has one row (of whatever columns) per matching row."""
 
     rows: DataFrame
     matches: DataFrame

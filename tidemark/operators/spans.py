@@ -25,6 +25,21 @@ from tidemark.operators.options import OptionError
 _SECOND = timedelta(seconds=1)
 
 
+@dataclass(frozen=True)
+class Segment:
+    """How a stored table is partitioned by time: by the date on which each ``unit`` begins."""
+
+    unit: str = "week"
+    column: str = "seg"
+
+
+def whole_second(value: datetime, up: bool = False) -> datetime:
+    """The instant rounded to a whole second, down or up."""
+    exact = parse_instant(value)
+    rounded = exact.replace(microsecond=0)
+    return rounded + _SECOND if up and rounded < exact else rounded
+
+
 @dataclass(frozen=True)
 class Granularity:
     """Exactly one of a bucket width (1 s or more) and an approximate number of points."""
@@ -77,10 +92,7 @@ class Span:
     width: timedelta
 
     def __post_init__(self):
-        start, end = parse_instant(self.start), parse_instant(self.end)
-        start = start.replace(microsecond=0)
-        if end.microsecond:
-            end = end.replace(microsecond=0) + _SECOND
+        start, end = whole_second(self.start), whole_second(self.end, up=True)
         if start > end:
             raise OptionError("end must not be before start")
         object.__setattr__(self, "start", start)
@@ -95,7 +107,7 @@ class Span:
         """Bucket start, aligned to the span so that the first bucket is complete."""
         return bucket(ts, self.width, self.start)
 
-    def restrict(self, df: DataFrame, ts: str = "ts", segment: str | None = None) -> DataFrame:
+    def restrict(self, df: DataFrame, ts: str = "ts", segment: Segment | None = None) -> DataFrame:
         return between(df, ts, self.start, self.end, segment=segment)
 
 
@@ -106,23 +118,23 @@ def between(
     end: datetime | None = None,
     *,
     closed: bool = False,
-    segment: str | None = None,
-    segment_unit: str = "week",
+    segment: Segment | None = None,
 ) -> DataFrame:
     """Rows with ``start <= ts < end`` (``<= end`` if closed).
 
-    ``segment`` names the partition column holding the truncated date of ``ts``; its own predicate
-    is added so that whole partitions are skipped, which cannot be inferred from ``ts``.
+    For a table partitioned by ``segment`` a predicate on its partition column is added, so that whole
+    partitions are skipped; it cannot be inferred from ``ts``.
     """
     col = df[ts]
     if start is not None:
         df = df.filter(col >= instant(start))
         if segment:
-            df = df.filter(F.col(segment) >= F.date_trunc(segment_unit, instant(start)).cast("date"))
+            first = F.date_trunc(segment.unit, instant(start)).cast("date")
+            df = df.filter(F.col(segment.column) >= first)
     if end is not None:
         df = df.filter(col <= instant(end) if closed else col < instant(end))
         if segment:
-            df = df.filter(F.col(segment) <= instant(end).cast("date"))
+            df = df.filter(F.col(segment.column) <= instant(end).cast("date"))
     return df
 
 

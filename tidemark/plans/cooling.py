@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.fields import expand_fields
 from tidemark.operators.filters import Filters
 from tidemark.operators.rollup import maxima
-from tidemark.operators.spans import Granularity
+from tidemark.operators.spans import Granularity, Segment
 from tidemark.plans.series import Series, run_series
 from tidemark.schemas import CDU_FIELDS, CDU_GROUPS, CDU_MEASURES, CEP_GROUPS, CEP_MEASURES
 
@@ -25,7 +25,7 @@ def cdu_series(
     granularity: Granularity = Granularity(width=1),
     fields: str | list[str] | None = None,
     filters: Mapping[str, list[str]] | None = None,
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> Series:
     """Maxima per bucket and unit, ordered by time and unit name."""
     aggregates = {**maxima(CDU_MEASURES), "row": F.any_value("row"), "col": F.any_value("col")}
@@ -46,7 +46,7 @@ def cep_series(
     end: datetime | None = None,
     granularity: Granularity = Granularity(resolution=1),
     fields: str | list[str] | None = None,
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> Series:
     """Maxima per bucket; by default one bucket over the whole run."""
     return run_series(

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import split_ints
 from tidemark.functions.times import DEFAULT_EVENT_TIME
 from tidemark.operators.lookup import enrich, orphans
+from tidemark.operators.spans import Segment
 from tidemark.plans.replay import replay_jobs
-from tidemark.sources.sinks import write_segmented
+from tidemark.sources.sinks import SEGMENT, write_segmented
 from tidemark.sources.tables import assign_event_time
 
 
@@ -155,4 +156,5 @@ def replay(table: DataFrame, history: History, start: datetime, end: datetime, *
     """Jobs of a stored history that meet the range; see ``replay_jobs`` for the options."""
     if history.end is None:
         raise ValueError("this history has no end times; read it with replay_nodes")
-    return replay_jobs(table, start, end, history.event_time, history.end, **options)
+    segment = Segment(history.unit) if SEGMENT in table.columns else None
+    return replay_jobs(table, start, end, history.event_time, history.end, segment=segment, **options)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame
@@ -12,8 +13,10 @@ from tidemark.functions.times import instant
 from tidemark.operators.fields import expand_fields
 from tidemark.operators.filters import Filters
 from tidemark.operators.overlap import active_between
-from tidemark.operators.snapshots import as_of, latest_state
-from tidemark.operators.sorting import Page, Sort, page
+from tidemark.operators.pages import latest_page
+from tidemark.operators.snapshots import as_of
+from tidemark.operators.sorting import Page, Sort
+from tidemark.operators.spans import Segment
 from tidemark.schemas import JOB_FIELDS, JOB_GROUPS, JOB_OPTION_FIELDS, JOB_SORT
 
 #: Filters on these see the resulting state; filters on all others see each snapshot.
@@ -34,7 +37,7 @@ def jobs(
     *,
     tie_breaks: Sequence[str] = ("time_end",),
     strict_overlap: bool = False,
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> Page:
     """A page of jobs of one run, or of all runs (then ``sim_id`` comes first in every row).
 
@@ -55,19 +58,27 @@ def jobs(
         log = active_between(log, start, end, segment=segment)
 
     steady = [f for f in JOB_OPTION_FIELDS if f not in CHANGING]
-    log = wanted.apply(log, {f: F.col(f) for f in steady})
-    # Only what is selected, sorted by or filtered on afterwards is carried through the shuffle.
-    used = {*chosen, *(k.field for k in order.keys), *(c.field for c in wanted.conditions)}
+    log = wanted.apply(log, {f: F.col(f) for f in steady}).withColumn("time_snapshot", F.col("ts"))
+    later = [c.field for c in wanted.conditions if c.field in CHANGING]
     if strict_overlap:
-        used |= {"time_submission", "time_end"}
-    columns = [f for f in JOB_FIELDS if f in used and f not in (*entity, "time_snapshot")]
-    state = latest_state(log.withColumn("time_snapshot", F.col("ts")), entity, ["ts", *tie_breaks], [*columns, "time_snapshot"])
-    state = wanted.apply(state, {f: F.col(f) for f in CHANGING})
-    if strict_overlap and start:
-        state = state.filter(F.col("time_end").isNull() | (F.col("time_end") > instant(start)))
-    if strict_overlap and end:
-        state = state.filter(F.col("time_submission") < instant(end))
+        later += ["time_submission", "time_end"]
+
+    def keep(states: DataFrame) -> DataFrame:
+        states = wanted.apply(states, {f: F.col(f) for f in CHANGING if f in later})
+        if strict_overlap and start:
+            states = states.filter(F.col("time_end").isNull() | (F.col("time_end") > instant(start)))
+        if strict_overlap and end:
+            states = states.filter(F.col("time_submission") < instant(end))
+        return states
+
+    # Only what is selected, sorted by or filtered on afterwards is carried through the shuffle.
+    used = {*chosen, *later, *(k.field for k in order.keys)}
     if not run:
         order = Sort([*order.keys, *Sort.parse({"sim_id": "string"}, ["asc:sim_id"]).keys])
         chosen = ["sim_id", *chosen]
-    return page(state, order, chosen, limit, offset)
+    found = latest_page(
+        log, entity, ["ts", *tie_breaks], [f for f in JOB_FIELDS if f in used and f not in entity], order,
+        heavy=["nodes"], keep=keep if later else None, keep_columns=[f for f in JOB_FIELDS if f in later],
+        limit=limit, offset=offset,
+    )
+    return replace(found, rows=found.rows.select(*chosen))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.fields import expand_fields
-from tidemark.operators.spans import Granularity, data_bounds, extent
+from tidemark.operators.spans import Granularity, Segment, data_bounds, extent
 from tidemark.plans.series import Series, series_of_all, series_of_run
 from tidemark.schemas import JOB_POWER_GROUPS
 
@@ -21,7 +21,7 @@ def job_power_series(
     end: datetime | None = None,
     granularity: Granularity = Granularity(width=1),
     fields: str | list[str] | None = None,
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> Series:
     """Maximum power per bucket of one job, or of every job when ``run`` and ``job`` are None.
 
@@ -32,7 +32,7 @@ def job_power_series(
         by = ["sim_id", "job_id"]
         return series_of_all(
             power, extent(power, "ts", by), by, {"power": F.max("power")}, granularity,
-            start, end, fields=[f for f in chosen if f not in by],
+            start, end, fields=[f for f in chosen if f not in by], segment=segment,
         )
     own = power.filter((F.col("sim_id") == run) & (F.col("job_id") == job))
     known = None if start and end else data_bounds(own, "ts")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.arrays import split_ints, split_list
 from tidemark.functions.times import naive
 from tidemark.operators.overlap import WEEK, looking_back, overlapping_closed, overlapping_open
-from tidemark.operators.spans import between
+from tidemark.operators.spans import Segment, between
 
 # Columns of the open-ended job history.
 SUMMARY_COLUMNS = (
@@ -45,7 +45,7 @@ def replay_jobs(
     int_lists: Sequence[str] = (),
     zoneless: Sequence[str] = (),
     must_exist: bool = False,
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> DataFrame:
     """Jobs meeting the closed range, with comma lists split and chosen times made zoneless."""
     found = overlapping_closed(table, start, end, start_col, end_col, ts, lookback, segment)
@@ -62,7 +62,7 @@ def replay_summary(table: DataFrame, start: datetime, end: datetime) -> DataFram
 
 
 def replay_profile(
-    table: DataFrame, start: datetime, end: datetime, ts: str = "ts", segment: str | None = None
+    table: DataFrame, start: datetime, end: datetime, ts: str = "ts", segment: Segment | None = None
 ) -> DataFrame:
     """Power profile of the jobs, half-open range."""
     found = between(table, ts, start, end, segment=segment)
@@ -70,7 +70,7 @@ def replay_profile(
 
 
 def replay_nodes(
-    table: DataFrame, start: datetime, end: datetime, ts: str = "ts", segment: str | None = None
+    table: DataFrame, start: datetime, end: datetime, ts: str = "ts", segment: Segment | None = None
 ) -> DataFrame:
     """Per-node usage of jobs that began up to three days before the range."""
     return looking_back(table, start, end, timedelta(days=3), ts, segment)

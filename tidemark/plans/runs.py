@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 from tidemark.operators.fields import expand_fields
 from tidemark.operators.filters import Filters
 from tidemark.operators.lifecycle import last_seen, stale_run_events, with_progress
+from tidemark.operators.pages import latest_page
 from tidemark.operators.skew import BROADCAST_ROWS
 from tidemark.operators.snapshots import latest_state
-from tidemark.operators.sorting import Page, Sort, page
+from tidemark.operators.sorting import Page, Sort
 from tidemark.schemas import RUN_GROUPS, RUN_OPTION_FIELDS, RUN_SORT, RUNS
 
 PROGRESS = ("progress", "progress_date")
+_NEWEST = ["ts", "execution_end"]
 _PROGRESS_NEEDS = ("start", "end", "execution_start", "execution_end", "progress_date")
 
 
 def run_states(runs: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Latest state per run; on equal times a row with an end of execution wins."""
-    return latest_state(runs, ["id"], ["ts", "execution_end"], columns)
+    return latest_state(runs, ["id"], _NEWEST, columns)
 
 
 def list_runs(
@@ -45,12 +47,16 @@ def list_runs(
     order = Sort.parse(RUN_OPTION_FIELDS, sort, RUN_SORT)
     with_dates = any(f in chosen for f in PROGRESS)
 
-    used = {*chosen, *(k.field for k in order.keys), "state"}
+    used = {*chosen, *(k.field for k in order.keys)}
     used |= set(_PROGRESS_NEEDS) if with_dates else set()
     columns = [f for f in RUNS.fieldNames() if f in used and f not in ("id", "ts")]
-    before = wanted.apply(runs, {f: F.col(f) for f in RUN_OPTION_FIELDS if f != "state"})
-    matches = wanted.apply(run_states(before, columns), {"state": F.col("state")})
-    listed = page(matches, order, None, limit, offset)
+    log = wanted.apply(runs, {f: F.col(f) for f in RUN_OPTION_FIELDS if f != "state"})
+    by_state = bool(wanted.on_field("state"))
+    listed = latest_page(
+        log, ["id"], _NEWEST, list(dict.fromkeys([*columns, "state"])) if by_state else columns, order,
+        heavy=["config"], keep=(lambda states: wanted.apply(states, {"state": F.col("state")})) if by_state else None,
+        keep_columns=["state"], limit=limit, offset=offset,
+    )
     if not with_dates:
         return replace(listed, rows=listed.rows.select(*chosen))
 

@@ -13,7 +13,7 @@ from tidemark.functions.times import from_epoch_micros
 from tidemark.operators.filters import Filters
 from tidemark.operators.rollup import rollup, rollup_groups
 from tidemark.operators.snapshots import latest_state
-from tidemark.operators.spans import Granularity, Span, fill_bounds, group_spans
+from tidemark.operators.spans import Granularity, Segment, Span, between, fill_bounds, group_spans, whole_second
 
 
 @dataclass(frozen=True)
@@ -54,7 +54,7 @@ def series_of_run(
     dims: Sequence[str] = (),
     fields: Sequence[str] | None = None,
     filters: Filters | None = None,
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> Series:
     """Rollup of an already run-filtered table; ``known`` bounds fill in for missing ones."""
     span = Span.resolve(*fill_bounds(start, end, known), granularity)
@@ -73,12 +73,17 @@ def series_of_all(
     dims: Sequence[str] = (),
     fields: Sequence[str] | None = None,
     filters: Filters | None = None,
+    segment: Segment | None = None,
 ) -> Series:
     """The same for every group at once; ``bounds`` has ``extent_start, extent_end`` per group.
 
     The rows come in no particular order: sorting all runs together would cost a shuffle for nothing.
     """
     spans = group_spans(bounds, list(by), granularity, start=start, end=end)
+    # A given bound holds for every group, so it can be applied at the scan.
+    table = between(
+        table, "ts", start and whole_second(start), end and whole_second(end, up=True), segment=segment
+    )
     rows = (filters or Filters()).apply(table)
     return Series(rollup_groups(rows, spans, by, aggregates, dims, fields, ordered=False), None)
 
@@ -105,13 +110,13 @@ def run_series(
     dims: Sequence[str] = (),
     fields: Sequence[str] | None = None,
     filters: Filters | None = None,
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> Series:
     """Series whose missing bounds come from the runs log: of one run, or of all if ``run`` is None."""
     if run is None:
         return series_of_all(
             table, declared_bounds(runs), ["sim_id"], aggregates, granularity,
-            start, end, dims, fields, filters,
+            start, end, dims, fields, filters, segment,
         )
     known = None if start and end else run_bounds(runs, run)
     own = table.filter(F.col("sim_id") == run)

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 
 from tidemark.operators.snapshots import newest
-from tidemark.operators.spans import Granularity
+from tidemark.operators.spans import Granularity, Segment
 from tidemark.plans.series import Series, run_series
 from tidemark.schemas import SYSTEM_COUNTS, SYSTEM_MEASURES
 
@@ -21,7 +21,7 @@ def system_series(
     end: datetime | None = None,
     granularity: Granularity = Granularity(resolution=1),
     tie_breaks: Sequence[str] = ("num_samples",),
-    segment: str | None = None,
+    segment: Segment | None = None,
 ) -> Series:
     """Newest statistics per bucket; by default the most recent ones of the whole run."""
     fields = ["down_nodes", *SYSTEM_COUNTS, *SYSTEM_MEASURES]

@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEGMENT = "seg"
+from tidemark.operators.spans import Segment
+
+SEGMENT = Segment().column
 
 
 def with_segment(df: DataFrame, ts: str = "ts", unit: str = "week") -> DataFrame:

@@ -195,8 +195,8 @@ def system(t: Tables) -> DataFrame:
 
 # --- job snapshots in those simulations: an order key is a job, a line item a snapshot -----------
 
-#: Tie-breaks under which equal snapshots are wholly equal.
-JOB_TIES = ("time_limit", "node_count", "state_current", "nodes")
+#: Tie-breaks under which equal snapshots differ in their nodes at most.
+JOB_TIES = ("time_limit", "node_count", "state_current")
 
 JOBS_SQL = f"""
     SELECT {SIM_TS_SQL} AS ts, 'sim-' || l_returnflag AS sim_id, 'job-' || l_orderkey AS job_id,

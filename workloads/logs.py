@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import parse_instant
 from tidemark.operators.changes import change_only, job_fingerprint, mask_future_end, new_samples_only
 from tidemark.operators.lifecycle import completion_events, last_seen, with_progress
+from tidemark.operators.overlap import active_between
 from tidemark.operators.snapshots import as_of, earliest_state, latest_state
 from tidemark.operators.sorting import Sort, page as take_page
 from tidemark.plans.jobs import jobs as list_jobs
@@ -76,12 +77,10 @@ JOB_ORDER = "time_start NULLS FIRST, time_end NULLS FIRST, job_id, sim_id"
     {JOB_NEWEST}
 """)
 def jobs_in_interval(t: Tables):
-    """All jobs active in 18 months, latest state each (the page before it is cut)."""
-    found = list_jobs(
-        derived.jobs(t), start="1998-01-01", end="1999-07-01", tie_breaks=derived.JOB_TIES
-    )
-    columns = [c for c in found.rows.columns]
-    return found.matches.select(*columns)
+    """Latest state of all jobs active in 18 months."""
+    active = active_between(derived.jobs(t), parse_instant("1998-01-01"), parse_instant("1999-07-01"))
+    state = latest_state(active, ["sim_id", "job_id"], ["ts", *derived.JOB_TIES])
+    return state.withColumnRenamed("ts", "time_snapshot")
 
 
 @query(f"""
@@ -233,7 +232,7 @@ def change_only_query(t: Tables):
 def job_changes(t: Tables):
     """Job snapshots that change the job's fingerprint; a queued job counts once per wait."""
     kept = change_only(
-        derived.jobs(t), ["sim_id", "job_id"], ["ts", *derived.JOB_TIES], job_fingerprint(),
+        derived.jobs(t), ["sim_id", "job_id"], ["ts", *derived.JOB_TIES, "nodes"], job_fingerprint(),
         always=F.col("state_current").isin("COMPLETED", "CANCELLED", "FAILED", "TIMEOUT"),
     )
     return kept.select("sim_id", "job_id", "ts", "state_current", "node_count", "time_limit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import parse_instant
-from tidemark.operators.spans import between
+from tidemark.operators.spans import Segment, between
 from tidemark.session import shared_dir
 from tidemark.sources.sinks import json_row, write_daily, write_jsonl, write_segmented
 from tidemark.sources.tables import read_csv, read_jsonl, read_or_empty, read_parquet
@@ -33,7 +33,7 @@ def partitioned_roundtrip(t: Tables):
     path = shared_dir(t.spark, "segmented")
     write_segmented(t.events.select(*COLUMNS), path)
     return between(
-        read_parquet(t.spark, path), "ts", parse_instant("2024-01-10"), parse_instant("2024-01-24T12:00Z"), segment="seg"
+        read_parquet(t.spark, path), "ts", parse_instant("2024-01-10"), parse_instant("2024-01-24T12:00Z"), segment=Segment("week")
     )
 
 
