@@ -93,6 +93,12 @@ def test_fact_join_equals_plain_join(spark, how, broadcast_rows):
     assert rows(got, "i", *got.columns[5:]) == rows(plain, "i", *plain.columns[5:])
 
 
+def test_fits(spark):
+    df = spark.range(100).repartition(7)
+    assert skew.fits(df, 100) and not skew.fits(df, 99) and skew.fits(df.filter("id < 0"), 0)
+    assert not skew.fits(df.groupBy(F.col("id") % 50).count(), 49)
+
+
 def test_hot_keys(spark):
     _, log = skewed_log(spark)
     assert rows(skew.hot_keys(log, ["k"], 400)) == [(0, 4)]

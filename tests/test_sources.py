@@ -26,7 +26,7 @@ def test_event_time_default_or_drop(spark):
 
 def test_segments_are_pruned(spark, events, tmp_path):
     path = str(tmp_path / "t")
-    sinks.write_segmented(events, path)
+    sinks.write_segmented(events, path, sort_by=["user_id", "ts"])
     table = tables.read_parquet(spark, path)
     assert table.count() == events.count()
     part = between(table, "ts", datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 12, tzinfo=timezone.utc), segment=Segment("week"))

@@ -22,8 +22,11 @@ _QUANTILES = 32
 
 
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; counts no further than one row beyond."""
-    return df.limit(rows + 1).count() <= rows
+    """Whether ``df`` has at most ``rows`` rows.
+
+    Looks for one row beyond the bound, partition by partition, and so stops early on a large frame.
+    """
+    return not df.select(F.lit(1)).offset(rows).take(1)
 
 
 def hot_keys(facts: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
@@ -49,7 +52,8 @@ def fact_join(
 
     A lookup of at most ``broadcast_rows`` rows is broadcast. A larger one is shuffled, with the hot
     keys of ``facts`` spread over several parts and only their lookup rows repeated for each part.
-    Rows are spread by a hash of their content, so a repeated task sends each to the same part.
+    Rows are spread by a hash of their content, so a repeated task sends each to the same part; a
+    part swollen by exact copies of one row is left to adaptive skew handling.
     """
     if fits(lookup, broadcast_rows):
         return facts.join(F.broadcast(lookup), list(on), how)

@@ -18,20 +18,23 @@ def with_segment(df: DataFrame, ts: str = "ts", unit: str = "week") -> DataFrame
 
 
 def write_segmented(
-    df: DataFrame, path: str, ts: str = "ts", unit: str = "week", mode: str = "append"
+    df: DataFrame,
+    path: str,
+    ts: str = "ts",
+    unit: str = "week",
+    mode: str = "append",
+    sort_by: Sequence[str] = (),
 ) -> None:
     """Write a table partitioned by time segment, rows as they are.
 
     The rebalance brings a segment's rows together for few files, yet splits a segment that is much
-    larger than the others.
+    larger than the others. ``sort_by`` (such as run and time) orders each file, so that a read of
+    one run skips the row groups of all others.
     """
-    (
-        with_segment(df, ts, unit)
-        .hint("rebalance", SEGMENT)
-        .write.mode(mode)
-        .partitionBy(SEGMENT)
-        .parquet(path)
-    )
+    rows = with_segment(df, ts, unit).hint("rebalance", SEGMENT)
+    if sort_by:
+        rows = rows.sortWithinPartitions(SEGMENT, *sort_by)
+    rows.write.mode(mode).partitionBy(SEGMENT).parquet(path)
 
 
 def write_daily(
