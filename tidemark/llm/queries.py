@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import secrets, sharding
+from tidemark.llm import codec, packing, secrets, sharding, tokenfiles
 from tidemark.llm.oracles import ORACLES
 from tidemark.session import shared_dir
 
@@ -25,11 +26,31 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = codec.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    # The id column carries the count along; decoding leaves ids as they are.
+    keyed = ids.select(F.struct("doc_id", "n_tokens").alias("doc_id"), "ids")
+    return codec.decode(keyed, ranks).select(
+        "doc_id.doc_id", "doc_id.n_tokens", "ids_sha256", F.sha2("raw", 256).alias("decoded_sha256")
+    )
+
+
 @query
 def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(table(spark, folder, "documents"), 8)
 
 
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    packed = packing.pack(table(spark, folder, "documents"), vocabulary, 2048, end_id=0)
+    return packed.placement.select(
+        F.col("document").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
 @query
 def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     found = secrets.scan(table(spark, folder, "documents"), shared_dir(spark, "blob-ledger"))
@@ -52,3 +73,13 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"),
         listed(F.col("spans")).alias("spans"),
     )
+
+
+@query
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_dir(spark, "token-files")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    tokenfiles.write_ids(table(spark, folder, "documents"), path, vocabulary, end_id=2)
+    return tokenfiles.read_ids(spark, path).select(
+        F.col("document").alias("doc_id"), "start", "n_tokens", "ids_crc32"
+    )
