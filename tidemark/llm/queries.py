@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, packing, secrets, sharding, tokenfiles
+from tidemark.llm import codec, neardup, packing, secrets, sharding, tokenfiles
 from tidemark.llm.oracles import ORACLES
 from tidemark.session import shared_dir
 
@@ -83,3 +83,8 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfiles.read_ids(spark, path).select(
         F.col("document").alias("doc_id"), "start", "n_tokens", "ids_crc32"
     )
+
+
+@query
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
