@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, neardup, packing, secrets, sharding, tokenfiles
+from tidemark.llm import codec, licenses, neardup, packing, secrets, sharding, tokenfiles, toxicity
 from tidemark.llm.oracles import ORACLES
 from tidemark.session import shared_dir
 
@@ -26,6 +26,28 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+@query
+def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    scanned = licenses.scan_licenses(table(spark, folder, "documents"))
+    base = F.filter("hits", lambda h: h["exact"])
+
+    def labels(hits):
+        return F.array_join(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["label"]))), ",")
+
+    # Certainty of the best hit: 1 for an exact phrase, less for every edit.
+    certainty = F.transform("hits", lambda h: F.lit(1.0) / (1 + h["edits"]))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda h: h["start"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda h: h["start"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("hits")).alias("labels"),
+        F.coalesce(F.array_max(certainty), F.lit(0.0)).alias("score"),
+    )
+
+
 @query
 def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -75,6 +97,13 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.fit(docs, table(spark, folder, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 @query
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_dir(spark, "token-files")
