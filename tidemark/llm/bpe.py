@@ -21,9 +21,9 @@ from collections.abc import Iterator, Sequence
 import regex
 
 #: Unicode White_Space, as the pre-tokenizing pattern's ``\s`` means it.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: Runs between which the pre-tokenizing pattern always cuts, so each can be encoded by itself.
-CHUNKS = re.compile(f" ?[^{_SPACE}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+CHUNKS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

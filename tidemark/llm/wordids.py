@@ -1,25 +1,37 @@
-"""Ids of whole texts by the tokenizers library, encoding each distinct chunk of a text once per worker.
+"""Ids of whole texts by the tokenizers library, which sees each distinct word once per worker process.
 
 Both kinds of vocabulary cut texts at white space before they merge, so the ids of a text are those of
-its chunks in order. Chunks seen before are looked up; the rest go to the library in one batch.
+its words in order. Words seen before are looked up; the rest go to the library in one batch.
 """
 
 from __future__ import annotations
 
 import array
 import os
-from collections.abc import Callable, Iterable
+import re
+from collections.abc import Iterator
+from itertools import compress, count, repeat
+from operator import is_
 
-from tidemark.llm.bpe import CHUNKS
+from tidemark.llm.bpe import CHUNKS, SPACE
 
-#: Longer chunks are encoded but not kept.
+#: Longer words are encoded but not kept.
 LONGEST_KEPT = 48
+#: Texts are taken apart in slices of about so many characters, cut at a space.
+SLICE = 1 << 20
+#: Where white space meets white space, or an end of the text, words alone don't tell the ids. Such words
+#: are never kept, so only words that are not known yet need a look.
+_UNEVEN = re.compile(f"\\A\\Z|\\A(?!\n)[{SPACE}]|[{SPACE}][{SPACE}]|[{SPACE}]\\Z")
 
 
 class WordIds:
-    """``spaces_kept``: byte-level vocabularies keep white space, others drop it."""
+    """``spaces_kept``: byte-level vocabularies keep white space, others drop it.
 
-    MOST_KEPT = 700_000
+    A key of the cache is a word as bytes. With spaces kept it stands for a space and the word, or, if it
+    begins with a line feed, for just what it is.
+    """
+
+    MOST_KEPT = 1_000_000
 
     def __init__(self, path: str, spaces_kept: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -27,67 +39,107 @@ class WordIds:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.chunks: Callable[[str], list] = CHUNKS.findall if spaces_kept else self._words
-        self.known: dict = {}
-
-    @staticmethod
-    def _words(text: str) -> list[bytes]:
-        # ASCII letters are lower-cased and ASCII white space dropped by these vocabularies anyway.
-        return text.encode().lower().split()
+        self.spaces_kept = spaces_kept
+        self.known: dict[bytes, bytes] = {}
+        self.missed = 0
 
-    def _encode(self, chunks: list) -> list[bytes]:
-        texts = [c if isinstance(c, str) else c.decode() for c in chunks]
+    def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", x.ids).tobytes() for x in found]
 
-    @staticmethod
-    def _stem(chunk):
-        """A word without the one full stop or comma it ends with; None if it has none."""
-        if len(chunk) > 2 and chunk[-1:] in (".", ",", b".", b","):
-            before = chunk[-2:-1]
-            if before.isascii() and before.isalpha():
-                return chunk[:-1]
-        return None
-
-    def _learn(self, chunks: Iterable) -> dict:
-        """What the batch needs and is not known yet."""
-        if len(self.known) > self.MOST_KEPT:
-            self.known.clear()
-        new, ended = set(), []
-        for chunk in chunks:
-            stem = self._stem(chunk)
-            if stem is None:
-                new.add(chunk)
-            else:
-                ended.append(chunk)
-                if stem not in self.known:
-                    new.add(stem)
-                if chunk[-1:] not in self.known:
-                    new.add(chunk[-1:])
-        listed = list(new)
-        learnt = dict(zip(listed, self._encode(listed)))
+    def _meaning(self, word: bytes) -> str:
+        return word.decode() if not self.spaces_kept or word[:1] == b"\n" else " " + word.decode()
+
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of new words; a word that ends with one full stop or comma is its stem and the mark."""
         known = self.known
-        for chunk in ended:
-            learnt[chunk] = b"".join(
-                learnt[part] if part in learnt else known[part] for part in (chunk[:-1], chunk[-1:])
-            )
+        stems, new = {}, []
+        for word in words:
+            if len(word) > 2 and word[-1:] in b".," and word[-2:-1].isalpha():
+                stems[word] = word[:-1]
+            else:
+                new.append(word)
+        more = {stem for stem in stems.values() if stem not in known and stem not in words}
+        new += more
+        learnt = dict(zip(new, self._encode([self._meaning(word) for word in new])))
+        if stems:
+            marks = dict(zip(b".,", self._encode([".", ","])))
+            for word, stem in stems.items():
+                ids = learnt.get(stem)
+                learnt[word] = (known[stem] if ids is None else ids) + marks[word[-1]]
+        # A full cache stays as it is, for common words come early, until it no longer serves.
+        self.missed += len(learnt)
+        if self.missed > 3 * self.MOST_KEPT:
+            known.clear()
+            self.missed = 0
+        if len(known) < self.MOST_KEPT:
+            known.update((word, ids) for word, ids in learnt.items() if len(word) <= LONGEST_KEPT)
         return learnt
 
+    def _uneven(self, text: str) -> bytes:
+        """Any white space, by the cuts of the pattern; ids of the chunks are not kept."""
+        return b"".join(self._encode(CHUNKS.findall(text)))
+
+    def _slices(self, text: str) -> Iterator[tuple[bytes | None, list[bytes]]]:
+        """(the word before which there is no space, words) of each slice."""
+        start = 0
+        while start < len(text):
+            end = text.find(" ", start + SLICE) if len(text) - start > SLICE else -1
+            piece = text[start : len(text) if end < 0 else end]
+            if not self.spaces_kept:
+                # ASCII letters are lower-cased by these vocabularies anyway.
+                yield None, piece.encode().lower().split()
+            else:
+                words = piece.replace("\n", " \n").encode().split(b" ")
+                if start:
+                    yield None, words
+                else:
+                    yield words[0], words[1:]
+            start = len(text) if end < 0 else end + 1
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        cut = [self.chunks(text) for text in texts]
-        wanted = set().union(*cut) if cut else set()
-        learnt = self._learn(wanted - self.known.keys())
-        for chunk in learnt.keys() - wanted:
-            # Stems: wanted by other texts, likely.
-            self.known[chunk] = learnt[chunk]
-        long = {}
-        for chunk, ids in learnt.items():
-            (self.known if len(chunk) <= LONGEST_KEPT else long)[chunk] = ids
-        if long:
-            return [b"".join([long[c] if c in long else self.known[c] for c in chunks]) for chunks in cut]
-        get = self.known.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in cut]
+        get = self.known.get
+        done: list[list] = []
+        holes: list[tuple[list, list[int], list[bytes]]] = []
+        missing: set[bytes] = set()
+        firsts: list[tuple[list, str]] = []
+        for text in texts:
+            out: list = []
+            own: list[tuple[list, list[int], list[bytes]]] = []
+            even = True
+            for first, words in self._slices(text):
+                if first is not None:
+                    word = first.decode()
+                    even = not _UNEVEN.search(word) and word[0] != "\n"
+                    firsts.append((out, word))
+                    out.append(b"")
+                parts = list(map(get, words))
+                at = list(compress(count(), map(is_, parts, repeat(None))))
+                if at:
+                    lost = [words[k] for k in at]
+                    if self.spaces_kept and even:
+                        even = not any(_UNEVEN.search(word.decode()) for word in lost)
+                    own.append((parts, at, lost))
+                if not even:
+                    break
+                out.append(parts)
+            if even:
+                for hole in own:
+                    missing.update(hole[2])
+                holes += own
+            else:
+                out = [self._uneven(text)]
+            done.append(out)
+        if missing:
+            learnt = self._learn(missing)
+            for parts, at, lost in holes:
+                for k, word in zip(at, lost):
+                    parts[k] = learnt[word]
+        if firsts:
+            for (out, _), ids in zip(firsts, self._encode([word for _, word in firsts])):
+                out[0] = ids
+        return [b"".join([x if isinstance(x, bytes) else b"".join(x) for x in out]) for out in done]
 
 
 _LOADED: dict[tuple[str, bool], WordIds] = {}
