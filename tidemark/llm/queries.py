@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, licenses, neardup, packing, secrets, sharding, tokenfiles, toxicity
+from tidemark.llm import codec, licenses, neardup, orderhash, packing, secrets, sharding, tokenfiles, toxicity, vectors
 from tidemark.llm.oracles import ORACLES
 from tidemark.session import shared_dir
 
@@ -64,6 +64,11 @@ def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shard_rows(table(spark, folder, "documents"), 8)
 
 
+@query
+def op4_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, folder, "embeddings"), 0.93)
+
+
 @query
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
@@ -97,6 +102,27 @@ def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query
+def op7_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    rows = orderhash.with_next(table(spark, folder, "documents"))
+    length = F.char_length("_text")
+    third = F.floor(length / 3).cast("int")
+    edited = F.concat(
+        F.substring("_text", F.lit(1), length - third), F.substring("_next_text", F.lit(1), third)
+    )
+    rows = rows.withColumn("_edited", edited).drop("_next_text")
+    rows = orderhash.with_fingerprint(rows, F.col("_edited"), "_edited_mark")
+    return rows.select(
+        F.col("_id").alias("doc_id"),
+        length.cast("long").alias("n_chars"),
+        F.sha2(F.col("_edited").cast("binary"), 256).alias("edited_sha256"),
+        orderhash.as_text(F.col("_mark")).alias("fingerprint"),
+        orderhash.as_text(F.col("_edited_mark")).alias("edited_fingerprint"),
+        orderhash.likeness(F.col("_mark"), F.col("_edited_mark")).alias("near_edited"),
+        orderhash.likeness(F.col("_mark"), F.col("_next_mark")).alias("near_next"),
+    )
+
+
 @query
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
