@@ -1,8 +1,8 @@
 """Change-only views: rows whose state differs from the row before, new samples, sampling grids.
 
 Order within an entity matters here, so plain map-side combination is not enough. Hot entities are
-cut into time slices; each slice is handled on its own and is handed the value its predecessor
-ended with. There are at most two such values per ``target_rows`` rows; they are broadcast.
+cut into slices of their order; each slice is handled on its own and is handed the value its
+predecessor ended with.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import on_grid
-from tidemark.operators.skew import TARGET_ROWS, fact_join, time_slices
+from tidemark.operators.skew import TARGET_ROWS, ordered_slices
 
 
 def previous_value(
@@ -25,24 +25,9 @@ def previous_value(
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """``log`` with ``name``: ``value`` of the row before within the key, NULL on the first row."""
-    sliced = time_slices(log, keys, order[0], target_rows).withColumn("_current", value)
-    by_slice = [*keys, "_slice"]
-    within = Window.partitionBy(*by_slice).orderBy(*order)
-    ends = (
-        sliced.filter("_cut")
-        .groupBy(*by_slice)
-        .agg(F.max_by("_current", F.struct(*order)).alias("_end"))
-    )
-    handed = ends.select(
-        *by_slice, F.lag("_end").over(Window.partitionBy(*keys).orderBy("_slice")).alias("_handed")
-    )
-    return (
-        sliced.withColumn("_before", F.lag("_current").over(within))
-        .withColumn("_leads", F.row_number().over(within) == 1)
-        .join(F.broadcast(handed), by_slice, "left")
-        .withColumn(name, F.when(F.col("_leads"), F.col("_handed")).otherwise(F.col("_before")))
-        .select(*log.columns, name)
-    )
+    sliced = ordered_slices(log, keys, order, target_rows).withColumn("_current", value)
+    last = F.max_by("_current", F.struct(*order))
+    return _handing_over(log, sliced, keys, order, last, F.lag, F.lag("_current"), name)
 
 
 def running_max_before(
@@ -54,21 +39,32 @@ def running_max_before(
     target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """``log`` with ``name``: the largest ``value`` of all earlier rows of the key, else NULL."""
-    sliced = time_slices(log, keys, order[0], target_rows).withColumn("_current", value)
-    by_slice = [*keys, "_slice"]
-    tops = sliced.filter("_cut").groupBy(*by_slice).agg(F.max("_current").alias("_top"))
+    sliced = ordered_slices(log, keys, order, target_rows).withColumn("_current", value)
+    return _handing_over(log, sliced, keys, order, F.max("_current"), F.max, F.max("_current"), name)
+
+
+def _handing_over(log, sliced, keys, order, at_end, across, within, name) -> DataFrame:
+    """A window function over whole keys, slice by slice.
 
-    def all_before(window: Window) -> Window:
-        return window.rowsBetween(Window.unboundedPreceding, -1)
+    What a slice ends with goes to the next one as a row of its own that comes before all others, so the
+    log itself is joined with nothing. ``across`` is the same function over the ends of slices.
+    """
+    by_slice = [*keys, "_slice"]
 
-    slices = all_before(Window.partitionBy(*keys).orderBy("_slice"))
-    rows = all_before(Window.partitionBy(*by_slice).orderBy(*order))
-    handed = tops.select(*by_slice, F.max("_top").over(slices).alias("_handed"))
+    def before(window: Window) -> Window:
+        # Navigation functions have a frame of their own.
+        return window if across is F.lag else window.rowsBetween(Window.unboundedPreceding, -1)
+
+    ends = sliced.filter("_cut").groupBy(*by_slice).agg(at_end.alias("_end"))
+    carried = across("_end").over(before(Window.partitionBy(*keys).orderBy("_slice")))
+    handed = ends.select(*by_slice, carried.alias("_current"), F.lit(0).alias("_own"))
+    # Slices need not all have rows, but those without rows hand nothing on and are not in ``ends``.
+    handed = handed.filter(F.col("_current").isNotNull())
+    rows = sliced.drop("_cut").withColumn("_own", F.lit(1)).unionByName(handed, allowMissingColumns=True)
+    order_in_slice = Window.partitionBy(*by_slice).orderBy("_own", *order)
     return (
-        sliced.withColumn("_before", F.max("_current").over(rows))
-        .join(F.broadcast(handed), by_slice, "left")
-        # greatest() skips NULLs.
-        .withColumn(name, F.greatest("_before", "_handed"))
+        rows.withColumn(name, within.over(before(order_in_slice)))
+        .filter("_own = 1")
         .select(*log.columns, name)
     )
 
@@ -76,11 +72,10 @@ def running_max_before(
 def last_tick(log: DataFrame, run: Sequence[str], ts: str, flag: str = "_last_tick") -> DataFrame:
     """``log`` with a flag on all rows at the newest time of their run.
 
-    With few runs their newest times are broadcast and the log is not shuffled. Otherwise the join is
-    on run and time together, which spreads a hot run by its times.
+    The join is on run and time together, which spreads a hot run by its times where it is shuffled.
     """
     newest = log.groupBy(*run).agg(F.max(ts).alias(ts)).withColumn(flag, F.lit(True))
-    marked = fact_join(log, newest, [*run, ts], "left")
+    marked = log.join(newest, [*run, ts], "left")
     return marked.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 

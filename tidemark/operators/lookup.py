@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import TARGET_ROWS, fact_join
 from tidemark.operators.snapshots import latest_state
 
 
@@ -17,24 +16,23 @@ def enrich(
     on: str,
     columns: Sequence[str],
     order: Sequence[str] | None = None,
-    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """``facts`` with ``columns`` of the dimension row of the same key, NULL where there is none.
 
     With ``order`` the dimension may repeat a key; its last row in that order is taken.
     """
     known = latest_state(dim, [on], order, columns) if order else dim.select(on, *columns)
-    return fact_join(facts, known, [on], "left", target_rows=target_rows)
+    return facts.join(known, [on], "left")
 
 
-def orphans(facts: DataFrame, dim: DataFrame, on: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def orphans(facts: DataFrame, dim: DataFrame, on: str) -> DataFrame:
     """Facts whose key the dimension lacks; to be checked where a missing key is an error."""
-    return fact_join(facts, dim.select(on).distinct(), [on], "left_anti", target_rows=target_rows)
+    return facts.join(dim.select(on).distinct(), [on], "left_anti")
 
 
-def having_id(facts: DataFrame, ids: DataFrame, on: str, target_rows: int = TARGET_ROWS) -> DataFrame:
+def having_id(facts: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     """Facts whose key is in the id list."""
-    return fact_join(facts, ids.select(on).distinct(), [on], "left_semi", target_rows=target_rows)
+    return facts.join(ids.select(on).distinct(), [on], "left_semi")
 
 
 def names_of(
@@ -44,7 +42,6 @@ def names_of(
     dim: DataFrame,
     index: str,
     name: str,
-    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """``key`` and, under the old column name, the array of names for an array of indexes.
 
@@ -53,7 +50,7 @@ def names_of(
     """
     absent = F.col(indexes).isNull().alias("absent")
     items = rows.select(*key, absent, F.posexplode_outer(indexes).alias("pos", index))
-    named = fact_join(items, dim.select(index, name), [index], "left", target_rows=target_rows)
+    named = items.join(dim.select(index, name), [index], "left")
     # The one row of an empty or NULL array has no position and is not collected.
     found = F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", name)))
     names = F.transform(F.array_sort(found), lambda item: item[name])

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tidemark.functions.durations import to_micros
 from tidemark.functions.steps import step_value
 from tidemark.functions.times import instant, micros, parse_instant
-from tidemark.operators.skew import TARGET_ROWS, fact_join
 from tidemark.operators.spans import Segment, between
 
 WEEK = timedelta(days=7)
@@ -81,7 +80,6 @@ def join_spans(
     span_start: str = "span_start",
     span_end: str = "span_end",
     bin_width: timedelta = timedelta(days=1),
-    target_rows: int = TARGET_ROWS,
 ) -> DataFrame:
     """All pairs of a job and a span whose closed intervals meet, as an equi-join on time bins.
 
@@ -118,7 +116,7 @@ def join_spans(
         .withColumn("_bin", F.explode(F.sequence("_span_bin", F.floor(s_hi / F.col("_bin_us")).cast("long"))))
         .drop("_bin_us")
     )
-    pairs = fact_join(placed, laid, ["_bin_level", "_bin"], "inner", target_rows=target_rows)
+    pairs = placed.join(laid, ["_bin_level", "_bin"])
     return pairs.filter(
         (F.col("_bin") == F.greatest("_job_bin", "_span_bin"))
         & (F.col(start_col) <= F.col(span_end))

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.skew import BROADCAST_ROWS
 from tidemark.operators.snapshots import latest_state
 from tidemark.operators.sorting import Page, Sort, page
 
@@ -40,13 +39,13 @@ def latest_page(
     else:
         counted = log.select(*keys).distinct()
 
-    fetch = len(wide) > len(light) and limit <= BROADCAST_ROWS
+    fetch = len(wide) > len(light)
     found = page(kept(latest_state(log, keys, order, light if fetch else wide)), sort, None, limit, offset)
     rows = found.rows
     if fetch:
         # The light columns come before the heavy ones when rows of equal order are told apart, so
-        # this finds the same newest rows. A page is no longer than its limit.
-        ids = F.broadcast(rows.select(*[F.col(k).alias(f"_{k}") for k in keys]))
+        # this finds the same newest rows.
+        ids = rows.select(*[F.col(k).alias(f"_{k}") for k in keys])
         listed = reduce(lambda a, b: a & b, [log[k].eqNullSafe(F.col(f"_{k}")) for k in keys])
         rows = sort.apply(latest_state(log.join(ids, listed, "left_semi"), keys, order, wide))
     return Page(rows, counted, limit, offset)

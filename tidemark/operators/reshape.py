@@ -23,39 +23,38 @@ CDU_METRICS = {
 }
 CDU_PATH = r"^simulator\[1\]\.datacenter\[1\]\.computeBlock\[(\d+)\]\.cdu\[1\]\.summary\.(\w+)$"
 
-# Where each column of the central plant comes from; {hot} and {tower} are the loops.
-_PLANT = {"hot": "hotWaterLoop[1].summary", "tower": "coolingTowerLoop[1].summary"}
-_PLANT_PATHS = {
-    "htw_flowrate": "{hot}.V_flow_htw_GPM",
-    "ctw_flowrate": "{tower}.V_flow_ctw_GPM",
-    "htw_return_pressure": "{hot}.p_fac_htw_r_psig",
-    "htw_supply_pressure": "{hot}.p_fac_htw_s_psig",
-    "ctw_return_pressure": "{tower}.p_fac_ctw_r_psig",
-    "ctw_supply_pressure": "{tower}.p_fac_ctw_s_psig",
-    "htw_return_temp": "{hot}.T_fac_htw_r_C",
-    "htw_supply_temp": "{hot}.T_fac_htw_s_C",
-    "ctw_return_temp": "{tower}.T_fac_ctw_r_C",
-    "ctw_supply_temp": "{tower}.T_fac_ctw_s_C",
-    "power_consumption_htwps": "{hot}.W_flow_HTWP_kW",
-    "power_consumption_ctwps": "{tower}.W_flow_CTWP_kW",
-    "power_consumption_fan": "{tower}.W_flow_CT_kW",
-    "htwp_speed": "{hot}.N_HTWP",
-    "nctwps_staged": "{tower}.n_CTWPs",
-    "nhtwps_staged": "{hot}.n_HTWPs",
-    "nehxs_staged": "{hot}.n_EHXs",
-    "ncts_staged": "{tower}.n_CTs",
-    "facility_return_temp": "{hot}.T_fac_htw_r_C",
-}
+# Where each column of the central plant comes from.
 CEP_PATHS = {
-    **{c: "simulator[1].centralEnergyPlant[1]." + p.format(**_PLANT) for c, p in _PLANT_PATHS.items()},
+    "htw_flowrate": "simulator[1].centralEnergyPlant[1].hotWaterLoop[1].summary.V_flow_htw_GPM",
+    "ctw_flowrate": "simulator[1].centralEnergyPlant[1].coolingTowerLoop[1].summary.V_flow_ctw_GPM",
+    "htw_return_pressure": "simulator[1].centralEnergyPlant[1].hotWaterLoop[1].summary.p_fac_htw_r_psig",
+    "htw_supply_pressure": "simulator[1].centralEnergyPlant[1].hotWaterLoop[1].summary.p_fac_htw_s_psig",
+    "ctw_return_pressure": "simulator[1].centralEnergyPlant[1].coolingTowerLoop[1].summary.p_fac_ctw_r_psig",
+    "ctw_supply_pressure": "simulator[1].centralEnergyPlant[1].coolingTowerLoop[1].summary.p_fac_ctw_s_psig",
+    "htw_return_temp": "simulator[1].centralEnergyPlant[1].hotWaterLoop[1].summary.T_fac_htw_r_C",
+    "htw_supply_temp": "simulator[1].centralEnergyPlant[1].hotWaterLoop[1].summary.T_fac_htw_s_C",
+    "ctw_return_temp": "simulator[1].centralEnergyPlant[1].coolingTowerLoop[1].summary.T_fac_ctw_r_C",
+    "ctw_supply_temp": "simulator[1].centralEnergyPlant[1].coolingTowerLoop[1].summary.T_fac_ctw_s_C",
+    "power_consumption_htwps": "simulator[1].centralEnergyPlant[1].hotWaterLoop[1].summary.W_flow_HTWP_kW",
+    "power_consumption_ctwps": "simulator[1].centralEnergyPlant[1].coolingTowerLoop[1].summary.W_flow_CTWP_kW",
+    "power_consumption_fan": "simulator[1].centralEnergyPlant[1].coolingTowerLoop[1].summary.W_flow_CT_kW",
+    "htwp_speed": "simulator[1].centralEnergyPlant[1].hotWaterLoop[1].summary.N_HTWP",
+    "nctwps_staged": "simulator[1].centralEnergyPlant[1].coolingTowerLoop[1].summary.n_CTWPs",
+    "nhtwps_staged": "simulator[1].centralEnergyPlant[1].hotWaterLoop[1].summary.n_HTWPs",
+    "nehxs_staged": "simulator[1].centralEnergyPlant[1].hotWaterLoop[1].summary.n_EHXs",
+    "ncts_staged": "simulator[1].centralEnergyPlant[1].coolingTowerLoop[1].summary.n_CTs",
+    "facility_return_temp": "simulator[1].centralEnergyPlant[1].hotWaterLoop[1].summary.T_fac_htw_r_C",
     "pue_output": "pue",
     "cdu_loop_bypass_flowrate": "simulator[1].datacenter[1].summary.V_flow_bypass_GPM",
 }
 
-# A path is a leading name followed by .name, ['name'], ["name"] or [number] parts.
-_LATER_PART = r"""\['([^']+)'\]|\["([^"]+)"\]|\.(\w+)|(\[\d+\])"""
-_PATH = rf"^(?:\w+|{_LATER_PART})(?:{_LATER_PART})*$"
-_SEPARATOR = "\u0001"
+# The kinds of parts a path is made of; only the first may be a bare name.
+_FIRST = r"^\w+"
+_DOTTED = r"\.\w+"
+_QUOTED_ONCE = r"\['[^']+'\]"
+_QUOTED_TWICE = r"\[\"[^\"]+\"\]"
+_INDEX = r"\[\d+\]"
+_PART = "|".join([_FIRST, _DOTTED, _QUOTED_ONCE, _QUOTED_TWICE, _INDEX])
 
 
 def long_readings(df: DataFrame, key: Sequence[str], readings: str) -> DataFrame:
@@ -66,8 +65,10 @@ def long_readings(df: DataFrame, key: Sequence[str], readings: str) -> DataFrame
 def wide_cdus(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row per key and cooling unit from long readings; one aggregation, no pivot pass.
 
-    Duplicate readings are an input error (see :func:`path_conflicts`); their maximum is taken.
+    Paths may be spelt with dots or brackets. Duplicate readings are an input error (see
+    :func:`path_conflicts`); their maximum is taken.
     """
+    readings = readings.withColumn("path", plain_path(F.col("path")))
     metric = F.regexp_extract("path", CDU_PATH, 2)
     unit = F.regexp_extract("path", CDU_PATH, 1)
     found = readings.filter(F.col("path").rlike(CDU_PATH)).select(
@@ -81,7 +82,8 @@ def wide_cdus(readings: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def wide_plant(readings: DataFrame, key: Sequence[str]) -> DataFrame:
-    """One row per key with the central plant's columns from long readings."""
+    """One row per key with the central plant's columns from long readings, in either spelling of paths."""
+    readings = readings.withColumn("path", plain_path(F.col("path")))
     cells = [
         F.max(F.when(F.col("path") == path, F.col("value"))).alias(column)
         for column, path in CEP_PATHS.items()
@@ -90,10 +92,40 @@ def wide_plant(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     return known.groupBy(*key).agg(*cells)
 
 
+def _written_parts(path: Column) -> Column:
+    return F.regexp_extract_all(path, F.lit(f"({_PART})"), F.lit(1))
+
+
+def is_path(path: Column) -> Column:
+    """Whether the text consists of parts and nothing else."""
+    return (path != "") & (F.array_join(_written_parts(path), "") == path)
+
+
 def path_parts(path: Column) -> Column:
-    """Parts of a path in one spelling each, so that ``a.b`` and ``a['b']`` are the same place."""
-    marked = F.regexp_replace(path, _LATER_PART, f"{_SEPARATOR}$1$2$3$4")
-    return F.split(F.ltrim(marked, F.lit(_SEPARATOR)), _SEPARATOR)
+    """Parts of a path in one spelling each, so that ``a.b`` and ``a['b']`` are the same place.
+
+    Names lose their dots and quotes; indexes keep their brackets.
+    """
+
+    def bare(part: Column) -> Column:
+        quoted = part.startswith("['") | part.startswith('["')
+        return (
+            F.when(quoted, F.substring(part, F.lit(3), F.length(part) - 4))
+            .when(part.startswith("."), F.substring(part, F.lit(2), F.length(part)))
+            .otherwise(part)
+        )
+
+    return F.transform(_written_parts(path), bare)
+
+
+def plain_path(path: Column) -> Column:
+    """The dotted spelling; texts that are no paths, and names that only quotes can spell, stay as they are."""
+    parts = path_parts(path)
+    dotted = F.array_join(
+        F.transform(parts, lambda p: F.when(p.startswith("["), p).otherwise(F.concat(F.lit("."), p))), ""
+    )
+    plain = F.forall(parts, lambda p: p.rlike(r"^(\w+|\[\d+\])$"))
+    return F.when(is_path(path) & plain, F.ltrim(dotted, F.lit("."))).otherwise(path)
 
 
 def path_conflicts(readings: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -102,10 +134,10 @@ def path_conflicts(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     ``duplicate``: two readings for one place; ``nested``: a reading at a place that holds further
     places; ``invalid``: not a path. One aggregation over readings and their ancestors.
     """
-    is_path = F.col("path").rlike(_PATH)
+    legal = is_path(F.col("path"))
     parts = readings.select(
-        *key, F.when(is_path, path_parts(F.col("path"))).otherwise(F.array("path")).alias("parts"),
-        is_path.alias("is_path"),
+        *key, F.when(legal, path_parts(F.col("path"))).otherwise(F.array("path")).alias("parts"),
+        legal.alias("is_path"),
     )
     places = parts.select(
         "*", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth")

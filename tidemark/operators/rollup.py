@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.times import bucket, bucket_micros, micros
-from tidemark.operators.skew import TARGET_ROWS, fact_join
 from tidemark.operators.spans import Segment, Span
 
 
@@ -53,18 +52,18 @@ def rollup_groups(
     fields: Sequence[str] | None = None,
     *,
     ts: str = "ts",
-    target_rows: int = TARGET_ROWS,
     ordered: bool = True,
 ) -> DataFrame:
     """:func:`rollup` for many groups at once, each over its own span from ``group_spans``.
 
-    The spans are broadcast while they are few; beyond that, hot groups are split for the join. The
-    aggregation then combines map-side, so a hot group never meets in one task.
+    The join is a plain one, which adaptive execution broadcasts or splits by the bytes it measures. The
+    aggregation then combines map-side, so a hot group never meets in one task. A span that ends before
+    it starts is empty.
     """
     chosen = list(fields) if fields is not None else [*dims, *aggregates]
     us = micros(F.col(ts))
     placed = (
-        fact_join(series, spans, by, "inner", target_rows=target_rows)
+        series.join(spans, list(by))
         .filter((us >= F.col("span_start")) & (us < F.col("span_end")))
         .withColumn("_bucket_us", bucket_micros(us, F.col("span_width"), F.col("span_start")))
     )

@@ -1,7 +1,7 @@
-"""Splitting of hot keys, so that no task ever gets the whole of a group that may be unbounded.
+"""Splitting of hot keys for operators that need the order of rows within a key.
 
-A key is hot when it has more than ``target_rows`` rows. There are at most rows / target_rows such
-keys, so the list of them is small whatever the data and is the one thing broadcast here.
+Joins need none of this: a plain join on the key is split by adaptive execution where it is skewed. An
+ordered window is not, so keys with more than ``target_rows`` rows are cut into slices of their order.
 """
 
 from __future__ import annotations
@@ -9,28 +9,22 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows one task may comfortably sort or join.
+#: Rows one task may comfortably sort.
 TARGET_ROWS = 4_000_000
-#: Most rows of a lookup side that is sent whole to every executor.
-BROADCAST_ROWS = 100_000
-_KEYLESS_PARTS = 1 << 16
-#: A power of two.
-_QUANTILES = 32
+#: Sampled rows for each slice of a hot key.
+_SAMPLES = 64
 
 
-def fits(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows.
-
-    Looks for one row beyond the bound, partition by partition, and so stops early on a large frame.
-    """
-    return not df.select(F.lit(1)).offset(rows).take(1)
+def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Equality of keys by which NULL keys are one key."""
+    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[f"_{k}"]) for k in keys])
 
 
 def hot_keys(facts: DataFrame, keys: Sequence[str], target_rows: int = TARGET_ROWS) -> DataFrame:
-    """Keys above the target with the number of parts to cut them into (counted map-side first)."""
+    """Keys above the target, NULL keys among them, with the number of parts to cut them into."""
     return (
         facts.groupBy(*keys)
         .agg(F.count(F.lit(1)).alias("_rows"))
@@ -39,79 +33,52 @@ def hot_keys(facts: DataFrame, keys: Sequence[str], target_rows: int = TARGET_RO
     )
 
 
-def fact_join(
-    facts: DataFrame,
-    lookup: DataFrame,
-    on: Sequence[str],
-    how: str = "left",
-    *,
-    broadcast_rows: int = BROADCAST_ROWS,
-    target_rows: int = TARGET_ROWS,
+def slice_bounds(
+    log: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS
 ) -> DataFrame:
-    """Join a large side that may have hot keys with a lookup side.
+    """``_<key>`` columns and ``_bounds``, the sorted first places of all slices but the first.
 
-    A lookup of at most ``broadcast_rows`` rows is broadcast. A larger one is shuffled, with the hot
-    keys of ``facts`` spread over several parts and only their lookup rows repeated for each part.
-    Rows are spread by a hash of their content, so a repeated task sends each to the same part; a
-    part swollen by exact copies of one row is left to adaptive skew handling.
+    Places are order tuples. They are taken from a sample that the content of a row alone decides, sorted
+    exactly, so that every evaluation gives the same bounds.
     """
-    if fits(lookup, broadcast_rows):
-        return facts.join(F.broadcast(lookup), list(on), how)
-    hot = F.broadcast(hot_keys(facts, on, target_rows))
-    parts = F.coalesce(F.col("_parts"), F.lit(1))
-    others = [
-        f.name for f in facts.schema.fields if f.name not in on and f.dataType.typeName() not in ("map", "variant")
-    ] or list(on)
-    # Rows without a key match nothing, so they may go anywhere.
-    keyless = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    ways = F.when(keyless, F.lit(_KEYLESS_PARTS)).otherwise(parts)
-    spread = (
-        facts.join(hot, list(on), "left")
-        .withColumn("_part", F.pmod(F.xxhash64(*others), ways).cast("int"))
-        .drop("_parts")
-    )
-    copies = (
-        lookup.join(hot, list(on), "left")
-        .withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
-        .drop("_parts")
+    hot = hot_keys(log, keys, target_rows)
+    hot = hot.select(*[F.col(k).alias(f"_{k}") for k in keys])
+    every = max(1, target_rows // _SAMPLES)
+    place = F.struct(*order)
+    sampled = log.filter(F.pmod(F.xxhash64(*keys, *order), F.lit(every)) == 0).select(*keys, place.alias("_place"))
+    named = [f"_{k}" for k in keys]
+    sampled = sampled.join(hot, same_key(sampled, hot, keys)).select(*named, "_place").distinct()
+    per_slice = max(1, target_rows // every)
+    numbered = sampled.withColumn("_n", F.row_number().over(Window.partitionBy(*named).orderBy("_place")))
+    return (
+        numbered.filter(F.col("_n") % per_slice == 0)
+        .groupBy(*named)
+        .agg(F.array_sort(F.collect_list("_place")).alias("_bounds"))
     )
-    return spread.join(copies, [*on, "_part"], how).drop("_part")
 
 
-def time_slices(
-    log: DataFrame, keys: Sequence[str], ts: str, target_rows: int = TARGET_ROWS
+def ordered_slices(
+    log: DataFrame, keys: Sequence[str], order: Sequence[str], target_rows: int = TARGET_ROWS
 ) -> DataFrame:
     """``log`` with the columns ``_slice`` (a number) and ``_cut`` (whether the key was cut at all).
 
-    A hot key is cut into consecutive time slices of about ``target_rows`` rows; slice order is time
-    order within the key. The slices follow the key's quantiles, so a burst gets more of them. All
-    other keys stay whole in slice 0. Only rows of one key at the very same time cannot be parted.
+    A hot key is cut along its whole order, tie-breaks included, into slices of about ``target_rows``
+    rows; slice order is row order. All other keys stay whole in slice 0. Rows with equal order tuples have
+    no order among themselves and stay together.
     """
-    us = F.unix_micros(F.col(ts).cast("timestamp"))
-    inner = [i / _QUANTILES for i in range(1, _QUANTILES)]
-    cuts = (
-        log.select(*keys, us.alias("_us"))
-        .join(F.broadcast(hot_keys(log, keys, target_rows)), list(keys))
-        .groupBy(*keys, "_parts")
-        .agg(
-            F.concat(
-                F.array(F.min("_us")), F.percentile_approx("_us", inner), F.array(F.max("_us") + 1)
-            ).alias("_cuts")
-        )
-    )
-    placed = log.join(F.broadcast(cuts), list(keys), "left").withColumns({"_us": us, "_at": F.lit(0)})
-    # Binary search for the last cut at or before the row; each step is a projection of its own.
-    step = _QUANTILES // 2
-    while step:
-        reached = F.get("_cuts", F.col("_at") + step) <= F.col("_us")
-        placed = placed.withColumn("_at", F.col("_at") + F.when(reached, F.lit(step)).otherwise(F.lit(0)))
-        step //= 2
-    low, high = F.get("_cuts", F.col("_at")), F.get("_cuts", F.col("_at") + 1)
-    # Share of the key's rows before this one, taking them as evenly spread between two quantiles.
-    share = (F.col("_at") + (F.col("_us") - low) / (high - low)) / _QUANTILES
-    number = F.least(F.floor(share * F.col("_parts")), F.col("_parts") - 1)
+    bounds = slice_bounds(log, keys, order, target_rows)
+    placed = log.join(bounds, same_key(log, bounds, keys), "left").drop(*[f"_{k}" for k in keys])
+    place = F.struct(*order)
+    # Binary search: how many bounds the row has reached.
+    steps = F.reverse(F.sequence(F.lit(0), F.ceil(F.log2(F.size("_bounds") + 1.0)).cast("int")))
+
+    def reach(at: Column, k: Column) -> Column:
+        ahead = at + F.pow(F.lit(2.0), k).cast("int")
+        return F.when(F.get("_bounds", ahead - 1) <= place, ahead).otherwise(at)
+
+    number = F.when(F.col("_bounds").isNotNull(), F.aggregate(steps, F.lit(0), reach))
     return (
-        placed.withColumn("_slice", F.coalesce(number.cast("long"), F.lit(0).cast("long")))
-        .withColumn("_cut", F.col("_cuts").isNotNull())
-        .drop("_us", "_at", "_cuts", "_parts")
+        placed.withColumn("_slice", F.coalesce(number, F.lit(0)).cast("long"))
+        .withColumn("_cut", F.col("_bounds").isNotNull())
+        .drop("_bounds")
     )

@@ -13,7 +13,6 @@ from tidemark.operators.fields import expand_fields
 from tidemark.operators.filters import Filters
 from tidemark.operators.lifecycle import last_seen, stale_run_events, with_progress
 from tidemark.operators.pages import latest_page
-from tidemark.operators.skew import BROADCAST_ROWS
 from tidemark.operators.snapshots import latest_state
 from tidemark.operators.sorting import Page, Sort
 from tidemark.schemas import RUN_GROUPS, RUN_OPTION_FIELDS, RUN_SORT, RUNS
@@ -61,11 +60,7 @@ def list_runs(
         return replace(listed, rows=listed.rows.select(*chosen))
 
     open_ids = listed.rows.filter(F.col("execution_end").isNull()).select(F.col("id").alias("sim_id"))
-    if limit <= BROADCAST_ROWS:
-        # A page is no longer than its limit, so the series can be cut to it during the scan.
-        ticks = last_seen(series.join(F.broadcast(open_ids), "sim_id", "left_semi"))
-    else:
-        ticks = last_seen(series)
+    ticks = last_seen(series.join(open_ids, "sim_id", "left_semi"))
     rows = order.apply(with_progress(listed.rows, ticks)).select(*chosen)
     return replace(listed, rows=rows)
 

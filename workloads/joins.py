@@ -73,22 +73,27 @@ def replay_overlap_halfopen(t: Tables):
 
 
 @query(f"""
-    SELECT span, {LINE_SQL}, began, ended
-    FROM ({HISTORY_SQL}) JOIN (
-        SELECT p_partkey AS span, TIMESTAMP '1995-01-01' + to_days(p_size * 40) AS span_start,
-               TIMESTAMP '1995-01-01' + to_days(p_size * 40) + to_hours(p_size) AS span_end
-        FROM part WHERE p_size = 50 OR p_name = 'red gadget')
-    ON began <= span_end AND ended >= span_start
+    WITH parts AS (
+        SELECT TIMESTAMP '1995-01-01' + to_days(p_size * 40) AS span_start,
+               TIMESTAMP '1995-01-01' + to_days(p_size * 40) + to_hours(p_size) AS span_end, count(*) AS n_parts
+        FROM part GROUP BY 1, 2)
+    SELECT span_start, span_end, n_parts, count(*) AS n_jobs,
+           min(began) AS first_began, max(ended) AS last_ended
+    FROM ({HISTORY_SQL}) JOIN parts ON began <= span_end AND ended >= span_start
+    GROUP BY 1, 2, 3
 """)
 def range_join_spans(t: Tables):
-    """All pairs of a job and a maintenance span that meet, as an equi-join on time bins."""
+    """What runs during the maintenance span of any part: jobs meet each distinct span once, as an
+    equi-join on time bins, and are summed up per span."""
     start = F.expr("timestamp_ntz '1995-01-01'") + F.make_dt_interval(days=F.col("p_size") * 40)
-    spans = t.part.filter("p_size = 50 OR p_name = 'red gadget'").select(
-        F.col("p_partkey").alias("span"), start.alias("span_start"),
-        (start + F.make_dt_interval(hours=F.col("p_size"))).alias("span_end"),
-    )
+    spans = t.part.select(
+        start.alias("span_start"), (start + F.make_dt_interval(hours=F.col("p_size"))).alias("span_end")
+    ).groupBy("span_start", "span_end").agg(F.count(F.lit(1)).alias("n_parts"))
     pairs = join_spans(history(t), spans, "began", "ended", bin_width=timedelta(days=4))
-    return pairs.select("span", *LINE, "began", "ended")
+    return pairs.groupBy("span_start", "span_end", "n_parts").agg(
+        F.count(F.lit(1)).alias("n_jobs"),
+        F.min("began").alias("first_began"), F.max("ended").alias("last_ended"),
+    )
 
 
 @query(f"""

@@ -7,7 +7,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from tidemark.functions.durations import BREAKPOINT_SECONDS, snap_seconds
-from tidemark.functions.times import bucket, naive, offset_to_time
+from tidemark.functions.times import bucket, naive, offset_to_time, parse_instant
 from tidemark.operators.changes import downsample
 from tidemark.operators.filters import Filters
 from tidemark.operators.rollup import maxima, rollup, rollup_groups, rollup_table
@@ -193,6 +193,91 @@ def system_latest(t: Tables):
     return system_series(derived.system(t), derived.sims(t), tie_breaks=derived.SYSTEM_TIES).rows
 
 
+_ONE_SIM = "sim-R"
+
+
+def _one_run_sql(table: str, sim: str, bounds: str, width_us: str, columns: str, dims: str = "") -> str:
+    """Buckets of one run from ``lo`` to ``hi``, which ``bounds`` selects."""
+    return f"""
+        WITH d AS (SELECT * FROM ({table}) WHERE sim_id = '{sim}'),
+        b AS ({bounds}),
+        s AS (SELECT date_trunc('second', lo) AS origin,
+                     date_trunc('second', hi + INTERVAL 999999 MICROSECOND) AS until, {width_us} AS w FROM b)
+        SELECT make_timestamp(epoch_us(origin) + (epoch_us(ts) - epoch_us(origin)) // w * w) AS timestamp, {dims} {columns}
+        FROM d, s WHERE ts >= origin AND ts < until GROUP BY {dims} timestamp
+    """
+
+
+def _declared(sim: str) -> str:
+    return f"SELECT start AS lo, \"end\" AS hi FROM ({derived.SIMS_SQL}) WHERE id = '{sim}'"
+
+
+def _points(number: int) -> str:
+    per_point = f"(epoch_us(hi) - epoch_us(lo)) / {number * 10**6}"
+    return (
+        f"coalesce(list_max(list_filter({list(BREAKPOINT_SECONDS)}, lambda d: d <= {per_point})), 1)::BIGINT * 1000000"
+    )
+
+
+@query(_one_run_sql(
+    f"SELECT * FROM ({derived.CDUS_SQL}) WHERE NOT contains(name, '7')", _ONE_SIM, _declared(_ONE_SIM), _points(20),
+    "max(rack_1_power) AS rack_1_power, max(total_power) AS total_power", "name,",
+))
+def cdu_series_one(t: Tables):
+    """One run over its declared span: about 20 points, chosen fields, a filter."""
+    return cdu_series(
+        derived.cdus(t), derived.sims(t), _ONE_SIM, granularity=Granularity(resolution=20),
+        fields="name,rack_1_power,total_power", filters={"name": ["not_contains:7"]},
+    ).rows
+
+
+@query(_one_run_sql(
+    derived.CDUS_SQL, "sim-none", "SELECT TIMESTAMP '1998-01-01' AS lo, TIMESTAMP '1998-03-01' AS hi", "86400000000",
+    "max(total_power) AS total_power", "name,",
+))
+def cdu_series_unknown_run(t: Tables):
+    """A run that does not exist, between given bounds: no rows, but the same columns."""
+    return cdu_series(
+        derived.cdus(t), derived.sims(t), "sim-none", parse_instant("1998-01-01"), parse_instant("1998-03-01"),
+        Granularity(width="P1D"), fields="name,total_power",
+    ).rows
+
+
+@query(_one_run_sql(
+    derived.CEP_SQL, _ONE_SIM,
+    f"SELECT TIMESTAMP '1997-06-01' AS lo, greatest(TIMESTAMP '1997-06-01', hi) AS hi FROM ({_declared(_ONE_SIM)})",
+    "2592000000000", _maxima_sql(CEP_MEASURES),
+))
+def cep_series_one(t: Tables):
+    """One run from a given start to its declared end, by 30 days."""
+    return cep_series(
+        derived.cep(t), derived.sims(t), _ONE_SIM, start=parse_instant("1997-06-01"), granularity=Granularity(width="P30D")
+    ).rows
+
+
+@query(f"""
+    SELECT TIMESTAMP '1996-01-01' AS timestamp, jobs_running, average_power, down_nodes
+    FROM ({derived.SYSTEM_SQL}) WHERE sim_id = '{_ONE_SIM}' AND ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1998-01-01'
+    QUALIFY row_number() OVER (ORDER BY ts DESC, {", ".join(f"{c} DESC" for c in derived.SYSTEM_TIES)}) = 1
+""")
+def system_series_one(t: Tables):
+    """Latest statistics of one run between given bounds."""
+    return system_series(
+        derived.system(t), derived.sims(t), _ONE_SIM, parse_instant("1996-01-01"), parse_instant("1998-01-01"),
+        tie_breaks=derived.SYSTEM_TIES,
+    ).rows.select("timestamp", "jobs_running", "average_power", "down_nodes")
+
+
+@query(_one_run_sql(
+    f"SELECT * FROM ({derived.POWER_SQL}) WHERE job_id = 'job-7'", "sim-view",
+    f"SELECT min(ts) AS lo, max(ts) AS hi FROM ({derived.POWER_SQL}) WHERE sim_id = 'sim-view' AND job_id = 'job-7'",
+    "21600000000", "max(power) AS power, any_value(job_id) AS job_id",
+))
+def job_power_one(t: Tables):
+    """Power of one job between its first and its last sample."""
+    return job_power_series(derived.power(t), "sim-view", "job-7", granularity=Granularity(width="PT6H"), fields="all").rows
+
+
 @query("""
     SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2024-01-01') AS timestamp, event_type,
            arg_max_null(CASE WHEN value < 20 THEN NULL ELSE value END, ts) AS value,
