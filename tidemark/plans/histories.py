@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -112,9 +114,29 @@ LASSEN_STEPS = History(
 
 
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
-    """CSV with all columns as text, named by the header; a nameless first one is ``column_1``."""
-    raw = spark.read.option("header", "true").csv(path)
-    return raw.withColumnRenamed("_c0", "column_1")
+    """CSV with all columns as text, each file's named by its own header; a nameless one is ``column_1``.
+
+    Files may order their columns differently or lack some, which are NULL there. Files with the same
+    header are read together; only one header line per file is gathered.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    # The first line of the first split of a file.
+    headers = (
+        lines.filter("file_block_start = 0")
+        .withColumn("at", F.monotonically_increasing_id())
+        .groupBy("file_path")
+        .agg(F.min_by("value", "at").alias("header"))
+    )
+    files: dict[str, list[str]] = {}
+    for row in headers.collect():
+        files.setdefault(row.header, []).append(unquote(row.file_path))
+    if not files:
+        return spark.read.option("header", "true").csv(path)
+    parts = [
+        spark.read.option("header", "true").csv(sorted(group)).withColumnRenamed("_c0", "column_1")
+        for _, group in sorted(files.items())
+    ]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def load(raw: DataFrame, history: History) -> DataFrame:

@@ -7,23 +7,48 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.functions.times import DEFAULT_EVENT_TIME
+from tidemark.functions.times import DEFAULT_EVENT_TIME, event_time
 from tidemark.schemas import EVENT_TIME_FIELD, TABLES
 from tidemark.sources.sinks import SEGMENT, with_segment
 from tidemark.sources.tables import assign_event_time
 
-_BROKEN = "_broken"
-
-
-def wire_schema(schema: T.StructType, event_time_field: str) -> T.StructType:
-    """The table's JSON form: times travel as text, the event time under its own name."""
-    fields = [
-        T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType)
+def _fields(schema: T.StructType, event_time_field: str) -> list[tuple[str, T.DataType]]:
+    """The columns read from the text and their types; times travel as text."""
+    return [
+        (f.name, T.StringType() if isinstance(f.dataType, T.TimestampType) else f.dataType)
         for f in schema.fields
         if f.name not in ("ts", event_time_field)
     ]
-    text = [T.StructField(name, T.StringType()) for name in (event_time_field, _BROKEN)]
-    return T.StructType(fields + text)
+
+
+def _read(rows: DataFrame, schema: T.StructType, event_time_field: str) -> DataFrame:
+    """``value``, the event time's text, all columns, and ``_unread``: present fields of a wrong type.
+
+    Each field is decoded by itself, so a wrong one is NULL and leaves the others alone.
+    """
+    object_text = F.get_json_object("value", "$")
+    is_object = F.coalesce(object_text.startswith("{"), F.lit(False))
+    fields = _fields(schema, event_time_field)
+    texts = F.from_json(F.when(is_object, F.col("value")), T.MapType(T.StringType(), T.StringType())).alias("_texts")
+    taken = rows.select("value", is_object.alias("_is_object"), texts)
+
+    def decoded(name: str, kind: T.DataType):
+        text = F.element_at("_texts", name)
+        if isinstance(kind, T.StringType):
+            return text
+        if isinstance(kind, T.ArrayType):
+            return F.from_json(text, kind)
+        return text.try_cast(kind)
+
+    read = taken.select(
+        "*", F.element_at("_texts", event_time_field).alias(event_time_field),
+        *[decoded(name, kind).alias(name) for name, kind in fields],
+    )
+    unread = F.filter(
+        F.array(*[F.when(F.element_at("_texts", name).isNotNull() & F.col(name).isNull(), F.lit(name)) for name, _ in fields]),
+        lambda name: name.isNotNull(),
+    )
+    return read.withColumn("_unread", F.coalesce(unread, F.array().cast("array<string>")))
 
 
 def decode(
@@ -31,14 +56,11 @@ def decode(
 ) -> DataFrame:
     """Typed table rows from a ``value`` column of JSON text; works on batches and streams alike.
 
-    Rows that are not JSON are dropped, as are rows without an event time unless there is a default.
+    A field of a wrong type is NULL. Rows that are not JSON objects are dropped, as are rows without an
+    event time unless there is a default; :func:`rejects` has them all.
     """
-    wire = wire_schema(schema, event_time_field)
-    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}
-    parsed = rows.select(F.from_json("value", wire, options).alias("row")).select("row.*")
-    timed = assign_event_time(
-        parsed.filter(F.col(_BROKEN).isNull()), [event_time_field], default=default_time
-    )
+    parsed = _read(rows, schema, event_time_field).filter("_is_object")
+    timed = assign_event_time(parsed, [event_time_field], default=default_time)
     columns = [
         F.col(f.name).try_cast("timestamp").alias(f.name)
         if isinstance(f.dataType, T.TimestampType)
@@ -48,12 +70,31 @@ def decode(
     return timed.select(*columns)
 
 
+def rejects(rows: DataFrame, schema: T.StructType, event_time_field: str, default_time=None) -> DataFrame:
+    """(``value``, ``reason``, ``fields``) of what :func:`decode` lost: ``not an object``, ``no event time``,
+    or ``wrong type`` with the names of the fields that became NULL."""
+    read = _read(rows, schema, event_time_field)
+    timed = read.withColumn("_time", event_time(F.col(event_time_field), default=default_time))
+    reason = (
+        F.when(~F.col("_is_object"), "not an object")
+        .when(F.col("_time").isNull(), "no event time")
+        .when(F.size("_unread") > 0, "wrong type")
+    )
+    return timed.select("value", reason.alias("reason"), F.col("_unread").alias("fields")).filter("reason IS NOT NULL")
+
+
 def decode_table(rows: DataFrame, table: str) -> DataFrame:
     """:func:`decode` for one of the six tables. Run events without a time get the default one."""
     default = DEFAULT_EVENT_TIME if table == "runs" else None
     return decode(rows, TABLES[table], EVENT_TIME_FIELD[table], default)
 
 
+def rejects_of(rows: DataFrame, table: str) -> DataFrame:
+    """:func:`rejects` for one of the six tables; a side output to be kept beside the ingest."""
+    default = DEFAULT_EVENT_TIME if table == "runs" else None
+    return rejects(rows, TABLES[table], EVENT_TIME_FIELD[table], default)
+
+
 def start_ingest(
     table_rows: DataFrame,
     path: str,

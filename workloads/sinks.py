@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import parse_instant
 from tidemark.operators.spans import Segment, between
+from tidemark.plans.histories import read_csv_text
 from tidemark.session import shared_dir
 from tidemark.sources.sinks import json_row, write_daily, write_jsonl, write_segmented
 from tidemark.sources.tables import read_csv, read_jsonl, read_or_empty, read_parquet
@@ -62,3 +63,20 @@ def missing_table_empty(t: Tables):
     """A table that does not exist yet reads as empty and can be combined with one that does."""
     events = t.events.select(*COLUMNS)
     return events.unionByName(read_or_empty(t.spark, shared_dir(t.spark, "absent"), events.schema))
+
+
+@query("""
+    SELECT event_id, event_type, CASE WHEN event_id % 2 = 0 THEN user_id END AS user_id FROM events
+""")
+def csv_headers_differ(t: Tables):
+    """Two files whose headers differ in order and in columns, read by name."""
+    path = shared_dir(t.spark, "csv-headers")
+    rows = t.events.select("event_id", "user_id", "event_type")
+    even = rows.filter("event_id % 2 = 0").select("user_id", "event_type", "event_id")
+    odd = rows.filter("event_id % 2 = 1").select("event_type", "event_id")
+    for part in (even, odd):
+        part.write.mode("append").option("header", "true").csv(path)
+    found = read_csv_text(t.spark, path)
+    return found.select(
+        F.col("event_id").cast("long").alias("event_id"), "event_type", F.col("user_id").cast("long").alias("user_id")
+    )

@@ -12,7 +12,7 @@ from tidemark.sources.sinks import json_row
 from tidemark.sources.streams import parquet_stream
 from tidemark.sources.tables import read_jsonl, read_parquet
 from tidemark.streaming.changes import start_change_only
-from tidemark.streaming.ingest import decode_table, start_ingest, start_routing
+from tidemark.streaming.ingest import decode_table, rejects_of, start_ingest, start_routing
 from tidemark.streaming.live import live_latest, live_progress, live_rollup, read_upserts, start_upserts
 from workloads.logs import NEWEST
 from workloads.registry import Tables, query
@@ -28,6 +28,41 @@ def finish(started) -> None:
     started.awaitTermination()
 
 
+#: Every fifth event is spoilt in one of four ways.
+_SPOILT_SQL = """
+    SELECT event_id, CASE event_id % 20 WHEN 0 THEN 'wrong type' WHEN 5 THEN 'not an object' WHEN 10 THEN 'no event time'
+        WHEN 15 THEN 'wrong type' END AS reason FROM events
+"""
+
+
+def spoilt_rows(t: Tables):
+    """JSON rows of job power; some have a word for a number, no time, or are no objects at all."""
+    kind = F.col("event_id") % 20
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    row = json_row(
+        F.when(kind != 10, time).alias("timestamp"),
+        F.concat(F.lit("job-"), F.col("event_id").cast("string")).alias("job_id"),
+        F.when((kind == 0) | (kind == 15), "oops").otherwise(F.col("value").cast("string")).alias("power"),
+    )
+    return t.events.select(F.when(kind == 5, F.concat(F.lit("["), row)).otherwise(row).alias("value"))
+
+
+@query(f"SELECT reason, ['power'][1:(reason = 'wrong type')::INT] AS fields, count(*) AS lost FROM ({_SPOILT_SQL}) WHERE reason IS NOT NULL GROUP BY 1, 2")
+def ingest_rejects(t: Tables):
+    """What decoding could not use, with the reason and the fields."""
+    lost = rejects_of(spoilt_rows(t), "job_power")
+    return lost.groupBy("reason", "fields").agg(F.count(F.lit(1)).alias("lost"))
+
+
+@query(f"""
+    SELECT 'job-' || event_id AS job_id, CASE WHEN reason IS NULL THEN value END AS power
+    FROM events JOIN ({_SPOILT_SQL}) USING (event_id) WHERE reason IS NULL OR reason = 'wrong type'
+""")
+def ingest_keeps_the_rest(t: Tables):
+    """A field of a wrong type is NULL; the row's other fields arrive."""
+    return decode_table(spoilt_rows(t), "job_power").select("job_id", "power")
+
+
 @query("""
     SELECT ts, 'run-' || user_id AS sim_id, 'job-' || event_id AS job_id, value AS power, date_trunc('week', ts)::DATE AS seg
     FROM events
