@@ -32,12 +32,17 @@ def with_fingerprint(frame: DataFrame, text: Column, name: str, kmer: int = 2, b
     without words has no k-mers. Positions from 2^24 on count as equal, which can only weaken the order
     of pairs there.
     """
-    words, kmers, sorted_, numbered = (_name(name, s) for s in ("words", "kmers", "sorted", "numbered"))
-    shift = 64 - (bins - 1).bit_length()
-    # Each array is a column of its own, so that no step is evaluated twice.
-    frame = frame.withColumn(
-        words, F.transform(F.filter(F.split(text, "[ \\t-\\r]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
+    words, kmers, sorted_, numbered, least = (
+        _name(name, s) for s in ("words", "kmers", "sorted", "numbered", "least")
     )
+    shift = 64 - (bins - 1).bit_length()
+    # Each array is a column of its own, so that no step is evaluated twice. Functions are called once a
+    # word, so they are kept small.
+    plain = text
+    for space in "\t\n\x0b\x0c\r":
+        plain = F.replace(plain, F.lit(space), F.lit(" "))
+    hashed = F.transform(F.split(plain, " "), lambda w: F.xxhash64(w))
+    frame = frame.withColumn(words, F.array_remove(hashed, F.xxhash64(F.lit(""))))
     w = F.col(words)
 
     def place(h: Column, i: Column) -> Column:
@@ -69,35 +74,42 @@ def with_fingerprint(frame: DataFrame, text: Column, name: str, kmer: int = 2, b
                 same(x, i, acc + _power(k)), acc + _power(k)
             ).otherwise(acc),
         )
-        return F.when(same(x, i, F.lit(1)), found).otherwise(F.lit(0))
+        return found
 
-    # The number goes into the hash; then k-mers are sorted by the new hash.
+    # A k-mer's first occurrence keeps its hash, later ones get the number into it; then all are sorted.
     frame = frame.withColumn(
         numbered,
         F.sort_array(
             F.transform(
                 s,
-                lambda x, i: F.shiftleft(F.shiftrightunsigned(F.xxhash64(key(x), occurrence(x, i)), 24), 24).bitwiseOR(
-                    x.bitwiseAND(F.lit(POSITIONS).cast("long"))
-                ),
+                lambda x, i: F.when(
+                    key(F.get(s, i - 1)) == key(x),
+                    F.shiftleft(F.shiftrightunsigned(F.xxhash64(key(x), occurrence(x, i)), 24), 24).bitwiseOR(
+                        x.bitwiseAND(F.lit(POSITIONS).cast("long"))
+                    ),
+                ).otherwise(x),
             )
         ),
     )
-    n = F.col(numbered)
 
     def sampler(x: Column) -> Column:
         return F.shiftright(x, shift)
 
-    # The first two k-mers of each sampler: heads of the runs with equal leading bits.
+    # A sampler's k-mers are neighbours now; the first two are those with another sampler two places before.
+    n = F.col(numbered)
+    frame = frame.withColumn(
+        least, F.filter(n, lambda x, i: (i < 2) | (sampler(F.get(n, i - 2)) != sampler(x)))
+    )
+    m = F.col(least)
     heads = F.filter(
         F.transform(
-            n,
+            m,
             lambda x, i: F.when(
-                (i == 0) | (sampler(F.get(n, i - 1)) != sampler(x)),
+                (i == 0) | (sampler(F.get(m, i - 1)) != sampler(x)),
                 F.struct(
                     (sampler(x) + bins // 2).cast("int").alias("bin"),
                     x.alias("a"),
-                    F.when(sampler(F.get(n, i + 1)) == sampler(x), F.get(n, i + 1)).alias("b"),
+                    F.when(sampler(F.get(m, i + 1)) == sampler(x), F.get(m, i + 1)).alias("b"),
                 ),
             ),
         ),
@@ -116,16 +128,16 @@ def with_fingerprint(frame: DataFrame, text: Column, name: str, kmer: int = 2, b
         return F.pmod(mixed, F.lit(65536)).cast("int")
 
     frame = frame.withColumn(name, F.transform(heads, lambda h: h["bin"] * 65536 + pair(h)))
-    return frame.drop(words, kmers, sorted_, numbered)
+    return frame.drop(words, kmers, sorted_, numbered, least)
 
 
 def _power(k: Column) -> Column:
-    return F.pow(F.lit(2.0), k).cast("int")
+    return F.call_function("shiftleft", F.lit(1), k)
 
 
 def as_text(signature: Column) -> Column:
     """Six hexadecimal digits per filled sampler: its number and its pair."""
-    return F.array_join(F.transform(signature, lambda v: F.lpad(F.lower(F.hex(v)), 6, "0")), "")
+    return F.array_join(F.transform(signature, lambda v: F.lpad(F.hex(v), 6, "0")), "")
 
 
 def likeness(a: Column, b: Column) -> Column:
