@@ -102,11 +102,11 @@ def test_jobs(job_log):
 
 def test_jobs_in_an_interval(job_log):
     # Job b runs throughout but has no snapshot after the start.
-    by_snapshot = jobs(job_log, "s", start=utc(3, 30), end=utc(4, 30))
+    by_snapshot = jobs(job_log, "s", start=utc(3, 30), end=utc(4, 30), strict_overlap=False)
     assert listed(by_snapshot, "job_id") == [("a",)]
-    strict = jobs(job_log, "s", start=utc(3, 30), end=utc(4, 30), strict_overlap=True)
+    strict = jobs(job_log, "s", start=utc(3, 30), end=utc(4, 30))
     assert listed(strict, "job_id") == [("a",), ("b",)]
-    assert listed(jobs(job_log, "s", start=utc(2), end=utc(3, 30)), "job_id", "state_current") == [("a", "COMPLETED"), ("b", "RUNNING")]
+    assert listed(jobs(job_log, "s", start=utc(2), end=utc(3, 30), strict_overlap=False), "job_id", "state_current") == [("a", "COMPLETED"), ("b", "RUNNING")]
 
 
 def test_cdu_series(spark, runs):

@@ -1,9 +1,12 @@
-"""Field selection: comma lists and named groups of fields."""
+"""Field selection: comma lists and named groups of fields, fields inside JSON text."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 
 def parse_list(value: str | Iterable | None) -> list | None:
     """Items of a comma list (or of several), trimmed, empty ones dropped; None stays None."""
@@ -34,3 +37,11 @@ def expand_fields(
             opened.add(name)
             pending.extend(reversed(groups[name]))
     return list(fields)
+
+
+def decode_json(rows: DataFrame, column: str, fields: str, keep: bool = False) -> DataFrame:
+    """``rows`` with a JSON text column replaced by its ``fields`` (a schema); what is absent, of another
+    type, or in no readable text is NULL. ``keep`` leaves the text in place."""
+    read = rows.withColumn("_decoded", F.from_json(column, fields))
+    others = [c for c in rows.columns if keep or c != column]
+    return read.select(*others, "_decoded.*")

@@ -76,6 +76,18 @@ def rollup_groups(
     return grouped.select(*by, start.alias("timestamp"), *chosen)
 
 
+def distinct_counts(
+    rows: DataFrame, by: Sequence[str], counts: Mapping[str, str], exact: bool = True, error: float = 0.02
+) -> DataFrame:
+    """Number of different values per group, by result name. Exact counts shuffle the values; without
+    ``exact`` only sketches with that relative error are."""
+
+    def count(column: str) -> Column:
+        return F.count_distinct(column) if exact else F.approx_count_distinct(column, error)
+
+    return rows.groupBy(*by).agg(*[count(column).alias(name) for name, column in counts.items()])
+
+
 def rollup_table(
     series: DataFrame,
     width: timedelta,

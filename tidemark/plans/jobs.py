@@ -36,14 +36,14 @@ def jobs(
     offset: int = 0,
     *,
     tie_breaks: Sequence[str] = ("time_end",),
-    strict_overlap: bool = False,
+    strict_overlap: bool = True,
     segment: Segment | None = None,
 ) -> Page:
     """A page of jobs of one run, or of all runs (then ``sim_id`` comes first in every row).
 
-    ``start``/``end`` keep jobs queued or running in the interval. Snapshots from before ``start``
-    are not looked at, so a job without any snapshot in the interval is missed; ``strict_overlap``
-    judges the latest state up to ``end`` instead and misses none.
+    ``start``/``end`` keep jobs queued or running in the interval, judged by their latest state up to
+    ``end``. With ``strict_overlap=False`` snapshots from before ``start`` are not looked at: less is
+    read, and a job without any snapshot in the interval is missed.
     """
     chosen = expand_fields(fields, JOB_GROUPS)
     wanted = Filters.parse(JOB_OPTION_FIELDS, filters)

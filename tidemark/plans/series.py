@@ -24,15 +24,23 @@ class Series:
     span: Span | None
 
     def as_arrays(self) -> DataFrame:
-        """One array (numbers) or struct (mixed types) per row, in field order."""
+        """One array (numbers of one kind) or struct per row, in field order."""
         return row_values(self.rows)
 
 
-def row_values(rows: DataFrame, name: str = "row") -> DataFrame:
-    numeric = ("double", "float", "long", "bigint", "integer", "int", "short", "smallint")
-    alike = all(f.dataType.typeName() in numeric for f in rows.schema.fields)
-    pack = F.array if alike else F.struct
-    return rows.select(pack(*[F.col(c).cast("double") if alike else F.col(c) for c in rows.columns]).alias(name))
+def row_values(rows: DataFrame, name: str = "row", beside: Sequence[str] = ()) -> DataFrame:
+    """Rows packed into one column, ``beside`` columns kept next to it: an array of longs or of doubles
+    where all columns are whole numbers or all are fractions, else a struct, so that no value changes."""
+    packed = [f for f in rows.schema.fields if f.name not in beside]
+    kinds = {f.dataType.typeName() for f in packed}
+    values = [F.col(f.name) for f in packed]
+    if kinds <= {"byte", "short", "integer", "long"}:
+        pack = F.array(*[v.cast("long") for v in values])
+    elif kinds <= {"float", "double"}:
+        pack = F.array(*[v.cast("double") for v in values])
+    else:
+        pack = F.struct(*values)
+    return rows.select(*beside, pack.alias(name))
 
 
 def run_bounds(runs: DataFrame, run: str) -> tuple[datetime, datetime] | None:

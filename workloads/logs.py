@@ -83,6 +83,33 @@ def jobs_in_interval(t: Tables):
     return state.withColumnRenamed("ts", "time_snapshot")
 
 
+@query(f"""
+    SELECT * FROM (
+        SELECT sim_id, {JOB_COLUMNS} FROM ({derived.JOBS_SQL}) WHERE ts <= TIMESTAMP '1998-09-01' {JOB_NEWEST})
+    WHERE (time_end IS NULL OR time_end > TIMESTAMP '1998-06-01') AND time_submission < TIMESTAMP '1998-09-01'
+    ORDER BY {JOB_ORDER} LIMIT 100
+""")
+def jobs_strict_interval(t: Tables):
+    """First page of the jobs active in a quarter, by their latest state up to its end."""
+    return list_jobs(
+        derived.jobs(t), start=parse_instant("1998-06-01"), end=parse_instant("1998-09-01"), tie_breaks=derived.JOB_TIES
+    ).rows
+
+
+@query(f"""
+    SELECT sim_id, {JOB_COLUMNS} FROM ({derived.JOBS_SQL})
+    WHERE ts >= TIMESTAMP '1998-06-01' AND (time_end IS NULL OR time_end > TIMESTAMP '1998-06-01')
+      AND time_submission < TIMESTAMP '1998-09-01'
+    {JOB_NEWEST} ORDER BY {JOB_ORDER} LIMIT 100
+""")
+def jobs_seen_in_interval(t: Tables):
+    """The same by snapshots from the quarter's begin on alone."""
+    return list_jobs(
+        derived.jobs(t), start=parse_instant("1998-06-01"), end=parse_instant("1998-09-01"),
+        tie_breaks=derived.JOB_TIES, strict_overlap=False,
+    ).rows
+
+
 @query(f"""
     SELECT * FROM (
         SELECT sim_id, {JOB_COLUMNS} FROM ({derived.JOBS_SQL})

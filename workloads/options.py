@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.arrays import join_list, split_ints, split_list
 from tidemark.functions.times import day_text, iso_text, naive
-from tidemark.operators.fields import expand_fields
+from tidemark.operators.fields import decode_json, expand_fields
 from tidemark.operators.filters import Filters
 from tidemark.operators.options import FieldType, FilterOp, field_types
 from tidemark.sources.sinks import json_row
@@ -226,7 +226,7 @@ def select_shorthand(t: Tables):
     SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events
 """)
 def json_config_field(t: Tables):
-    return t.events.select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
+    return decode_json(t.events.select("event_id", "props"), "props", "k bigint")
 
 
 @query("SELECT event_id, ts AS at FROM events")

@@ -10,11 +10,12 @@ from tidemark.functions.durations import BREAKPOINT_SECONDS, snap_seconds
 from tidemark.functions.times import bucket, naive, offset_to_time, parse_instant
 from tidemark.operators.changes import downsample
 from tidemark.operators.filters import Filters
-from tidemark.operators.rollup import maxima, rollup, rollup_groups, rollup_table
+from tidemark.operators.rollup import distinct_counts, maxima, rollup, rollup_groups, rollup_table
 from tidemark.operators.snapshots import newest
 from tidemark.operators.spans import Granularity, Span, data_bounds, extent, fill_bounds, group_spans
 from tidemark.plans.cooling import cdu_series, cep_series
 from tidemark.plans.power import job_power_series
+from tidemark.plans.series import row_values
 from tidemark.plans.system import system_series
 from tidemark.schemas import CDU_MEASURES, CEP_MEASURES, SYSTEM_COUNTS, SYSTEM_MEASURES
 from workloads import derived
@@ -343,22 +344,20 @@ def rollup_table_query(t: Tables):
     FROM events GROUP BY 1
 """)
 def distinct_exact(t: Tables):
-    return t.events.groupBy("event_type").agg(
-        F.count_distinct("user_id").alias("users"), F.count_distinct("value").alias("readings")
-    )
+    return distinct_counts(t.events, ["event_type"], {"users": "user_id", "readings": "value"})
 
 
 @query("""
-    SELECT epoch_us(timestamp) AS bucket_us, [user_id::DOUBLE, value, n::DOUBLE] AS row FROM (
+    SELECT epoch_us(timestamp) AS bucket_us, value, [user_id, n, big] AS row FROM (
         SELECT time_bucket(INTERVAL 1 DAY, ts, TIMESTAMP '2024-01-01') AS timestamp, user_id,
-               max(value) AS value, count(*) AS n
+               max(value) AS value, count(*) AS n, max(9007199254740993 + event_id) AS big
         FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1, 2)
 """)
 def rows_as_arrays(t: Tables):
-    """Array layout of a numeric series."""
+    """Array layout of the whole numbers of a series, beyond what a double holds too."""
     rows = rollup(
         t.events, month(Granularity(width="P1D")),
-        {**maxima(["value"]), "n": F.count(F.lit(1))}, ["user_id"],
+        {**maxima(["value"]), "n": F.count(F.lit(1)), "big": F.max(F.lit(9007199254740993) + F.col("event_id"))}, ["user_id"],
     )
-    packed = F.array(*[F.col(c).cast("double") for c in ("user_id", "value", "n")])
-    return rows.select(F.unix_micros(F.col("timestamp").cast("timestamp")).alias("bucket_us"), packed.alias("row"))
+    rows = rows.withColumn("bucket_us", F.unix_micros(F.col("timestamp").cast("timestamp")))
+    return row_values(rows.drop("timestamp"), beside=["bucket_us", "value"])
