@@ -27,7 +27,9 @@ def arriving(spark, events, tmp_path):
     return parquet_stream(spark, str(folder), events.schema, files_per_trigger=1), events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def test_change_only_over_batches(spark, arriving, tmp_path):
+@pytest.mark.parametrize("compaction", [2, 32])
+def test_change_only_over_batches(spark, arriving, tmp_path, monkeypatch, compaction):
+    monkeypatch.setattr(changes, "COMPACTION", compaction)
     stream, events = arriving
     out = str(tmp_path / "out")
     changes.start_change_only(
@@ -39,7 +41,8 @@ def test_change_only_over_batches(spark, arriving, tmp_path):
     assert rows(got, "event_id") == rows(expected, "event_id")
 
 
-def test_finished_entities_are_forgotten(spark, arriving, tmp_path):
+def test_finished_entities_are_forgotten(spark, arriving, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "COMPACTION", 2)
     stream, _ = arriving
     out = str(tmp_path / "out")
     changes.start_change_only(

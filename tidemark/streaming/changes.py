@@ -1,8 +1,9 @@
 """Change-only snapshots over a stream.
 
-Each micro-batch runs the batch operator on its rows preceded by the newest row of every live
-entity, which the batch before wrote down. So an entity with very many rows in a batch is cut into
-slices just as in a batch query, and all work stays on the JVM side.
+Each micro-batch runs the batch operator on its rows preceded by the newest row of each entity it
+touches, which an earlier batch wrote down. So an entity with very many rows in a batch is cut into
+slices just as in a batch query, what is written follows what has changed, and all work stays on the
+JVM side.
 """
 
 from __future__ import annotations
@@ -12,12 +13,28 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from tidemark.operators.changes import previous_value
-from tidemark.operators.skew import TARGET_ROWS
+from tidemark.operators.skew import TARGET_ROWS, same_key
 from tidemark.operators.snapshots import latest_state
 
 
+#: Batches from one folder with all live entities to the next.
+COMPACTION = 32
+_DONE = "_done"
+
+
+def _newest(batch: DataFrame, path: str, batch_id: int, keys: Sequence[str]) -> DataFrame:
+    """The newest row per live entity before a batch."""
+    since = (batch_id - 1) // COMPACTION * COMPACTION
+    folders = [f"{path}/newest/batch_id={n}" for n in range(since, batch_id)]
+    schema = StructType([*batch.schema.fields, StructField(_DONE, BooleanType()), StructField("batch_id", LongType())])
+    log = batch.sparkSession.read.schema(schema).option("basePath", f"{path}/newest").parquet(*folders)
+    state = latest_state(log, keys, ["batch_id"], [c for c in (*batch.columns, _DONE) if c not in keys])
+    return state.filter(~F.col(_DONE)).select(*batch.columns)
+
+
 def start_change_only(
     stream: DataFrame,
     path: str,
@@ -33,9 +50,10 @@ def start_change_only(
 ) -> StreamingQuery:
     """Write the rows that change the state of their entity below ``path``/changes.
 
-    ``path``/newest holds the newest row per entity after each batch; entities whose newest row is
-    ``finished`` are forgotten. Both are written per batch number, so a repeated batch overwrites
-    itself and reads what it read before. A row older than the carried one counts as a change.
+    ``path``/newest holds the newest row of the entities a batch has touched; every
+    ``COMPACTION`` batches it holds all of them, and folders from before are read no more. Entities whose
+    newest row is ``finished`` are forgotten. Both are written per batch number, so a repeated batch
+    overwrites itself and reads what it read before. A row older than the carried one counts as a change.
     """
     current = F.struct(state.alias("state"))
 
@@ -43,9 +61,11 @@ def start_change_only(
         rows = batch.persist()
         try:
             log = rows.withColumn("_carried", F.lit(False))
-            if batch_id > 0:
-                newest = batch.sparkSession.read.parquet(f"{path}/newest/batch_id={batch_id - 1}")
-                log = log.unionByName(newest.withColumn("_carried", F.lit(True)))
+            carried = _newest(batch, path, batch_id, keys) if batch_id else None
+            touched = rows.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+            if carried is not None:
+                own = carried.join(touched, same_key(carried, touched, keys), "left_semi")
+                log = log.unionByName(own.withColumn("_carried", F.lit(True)))
             # Among equal times the carried row comes first.
             ordered = log.withColumn("_fresh", ~F.col("_carried"))
             marked = previous_value(ordered, keys, [*order, "_fresh"], current, "_previous", target_rows)
@@ -55,9 +75,11 @@ def start_change_only(
             changed = marked.filter(~F.col("_carried") & keep).select(*batch.columns)
             changed.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
 
-            last = latest_state(log.drop("_carried"), keys, order).select(*batch.columns)
-            if finished is not None:
-                last = last.filter(~F.coalesce(finished, F.lit(False)))
+            done = F.lit(False) if finished is None else F.coalesce(finished, F.lit(False))
+            last = latest_state(log.drop("_carried"), keys, order).select(*batch.columns).withColumn(_DONE, done)
+            if carried is not None and batch_id % COMPACTION == 0:
+                others = carried.join(touched, same_key(carried, touched, keys), "left_anti")
+                last = last.filter(~F.col(_DONE)).unionByName(others.withColumn(_DONE, F.lit(False)))
             last.write.mode("overwrite").parquet(f"{path}/newest/batch_id={batch_id}")
         finally:
             rows.unpersist()
