@@ -130,6 +130,8 @@ def scan(
     A NULL text is the empty text and has no spans; a NULL path is kept as a path. Repeated rows come
     back as often as they came. Columns other than the two named ones are ignored. The ledger must be a
     folder all executors share. A scan that fails adds nothing, one that is repeated finds its blobs done.
+    Beside its findings the ledger keeps the texts with probe hits of each scan (``-looked``), which may be
+    deleted when the scan is over.
     """
     spark = docs.sparkSession
     folder = f"{ledger.rstrip('/')}/rules={rule_version(rules)}"
@@ -140,11 +142,8 @@ def scan(
     )
     known = read_or_empty(spark, f"{folder}/*", FINDINGS)
     # Combined map-side: however many copies, a task sends each blob once.
-    unseen = (
-        versions.select("blob", "text").join(known.select("blob"), "blob", "left_anti").dropDuplicates(["blob"])
-    )
-    scanned = unseen.select("blob", "text")
-    _append(scanned, rules, folder)
+    unseen = versions.select("blob", "text").dropDuplicates(["blob"]).join(known.select("blob"), "blob", "left_anti")
+    _append(unseen.select("blob", "text"), rules, folder)
     found = spark.read.schema(FINDINGS).parquet(f"{folder}/*").filter(F.size("spans") > 0)
     none = F.array().cast(f"array<{SPAN}>")
     return (
@@ -155,8 +154,8 @@ def scan(
 
 
 def _append(blobs: DataFrame, rules: tuple[Rule, ...], folder: str) -> None:
-    """One row per blob: those with findings, and the rest as done. Blobs without any probe hit never
-    leave the task that read them."""
+    """One row per blob, those without findings included. The blobs are written once, with their text
+    only where a probe hits, so that a lost executor repeats no shuffle of texts."""
     spark = blobs.sparkSession
     batch = f"{folder}/batch={uuid.uuid4().hex}"
     hit = reduce(
