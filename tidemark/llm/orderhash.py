@@ -154,8 +154,8 @@ def with_next(
     and those of the next one in descending id order; after the last comes the first.
 
     Ids are cut into buckets along their quantiles; texts move once, to their bucket. Only the first
-    document of each bucket is looked up from elsewhere. Rows that share an id (or have none; those come
-    last) follow each other by text.
+    document of each bucket is looked up from elsewhere. Ids are numbers. Rows that share an id (or have
+    none; those come last) follow each other by text.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{id_column}`").alias("_id"), whole_text(text_column).alias("_text"))

@@ -13,6 +13,8 @@ Only counts reach the driver: blocks x shards and shards x ranges numbers.
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,7 +87,8 @@ def shard_rows(
     total = sum(sizes)
     targets = [total // shards + (shard < total % shards) for shard in range(shards)]
     cuts = communication_matrix(sizes, targets, seed).cumsum(axis=1).tolist()
-    cut_of_block = F.element_at(F.array(*[F.array(*map(F.lit, cut)) for cut in cuts]), F.col("_block") + 1)
+    # One literal, folded once, however many blocks there are.
+    cut_of_block = F.element_at(F.from_json(F.lit(json.dumps(cuts)), "array<array<bigint>>"), F.col("_block") + 1)
     local = F.row_number().over(Window.partitionBy("_block").orderBy("_local", "_id", "text_crc32"))
     dealt = (
         rows.withColumn("_rank", local)
