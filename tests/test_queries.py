@@ -5,6 +5,7 @@ import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
 from check_queries import TABLES, compare
+from workloads import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, con, name):
     result = compare(spark, con, name, FOLDER)
     assert result.startswith("ok"), result
@@ -25,7 +26,8 @@ def test_query_matches_sql(spark, con, name):
 
 
 def test_all_have_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert QUERIES.items() <= queries().items() and ORACLES.items() <= oracle_sql().items()
 
 
 def test_entry(spark):
