@@ -70,3 +70,55 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
 SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, c.component_id, v.vec_id = c.component_id AS kept
 FROM v LEFT JOIN n USING (vec_id) LEFT JOIN c USING (vec_id)
 """
+
+#: Usable vectors as whole numbers; list positions start at 1.
+_SCALED = """
+SELECT {columns}, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor({scale} * x)) AS e FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"""
+
+ORACLES["op11_hard_negatives"] = f"""
+WITH v AS ({_SCALED.format(columns="vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label", scale=256)}
+           AND label IS NOT NULL),
+s AS (SELECT a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+      FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 10
+"""
+
+
+def _assigned(name: str, centroids: str) -> str:
+    """Nearest centroid of each vector, smaller numbers first."""
+    square = "CAST(list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+    return f"""{name} AS MATERIALIZED (
+        SELECT vec_id, min({{'d': {square}, 'c': c.c}}) AS best FROM v CROSS JOIN {centroids} c GROUP BY vec_id)"""
+
+
+def _means(name: str, centroids: str, assigned: str) -> str:
+    """Floors of the means; the other centroids stay."""
+    return f"""{name} AS MATERIALIZED (
+        SELECT c.c, coalesce(m.e, c.e) AS e FROM {centroids} c LEFT JOIN (
+            SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS DOUBLE) ORDER BY i) AS e FROM (
+                SELECT best.c AS c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (
+                    SELECT best, unnest(v.e) AS x, generate_subscripts(v.e, 1) AS i FROM {assigned} JOIN v USING (vec_id)) GROUP BY 1, 2)
+            GROUP BY c) m USING (c))"""
+
+
+ORACLES["op12_centroids"] = f"""
+WITH v AS MATERIALIZED ({_SCALED.format(columns="vec_id", scale=64)} AND len(embedding) = 64),
+c0 AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS INTEGER) AS c, e
+    FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{_assigned("a0", "c0")}, {_means("c1", "c0", "a0")},
+{_assigned("a1", "c1")}, {_means("c2", "c1", "a1")},
+{_assigned("a2", "c2")}, {_means("c3", "c2", "a2")},
+{_assigned("a3", "c3")}
+SELECT vec_id, best.c AS cluster, best.d AS distance,
+       CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
+       sha256(array_to_string(list_transform(c3.e, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a3 JOIN c3 ON c3.c = best.c
+"""

@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import codec, licenses, neardup, orderhash, packing, secrets, sharding, tokenfiles, toxicity, vectors
+from tidemark.llm import (
+    centroids,
+    codec,
+    licenses,
+    neardup,
+    negatives,
+    orderhash,
+    packing,
+    personal,
+    secrets,
+    sharding,
+    tokenfiles,
+    toxicity,
+    vectors,
+)
 from tidemark.llm.oracles import ORACLES
 from tidemark.session import shared_dir
 
@@ -143,3 +157,36 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), words=4, percent=80)
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    moved = F.pmod(F.col("label") + 1, F.lit(10)).cast(rows.schema["label"].dataType)
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, moved).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10)
+
+
+@query
+def op12_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.cluster(table(spark, folder, "embeddings"), 16, 3)
+
+
+@query
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = personal.find_personal(table(spark, folder, "documents"))
+    kinds = F.array(*[F.lit(kind) for kind in personal.KINDS])
+
+    def listed(spans):
+        texts = F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["kind"]), s["start"], s["end"]))
+        return F.array_join(texts, ",")
+
+    def counted(number):
+        return F.size(F.filter("base", lambda s: s["kind"] == number)).cast("long")
+
+    return found.select(
+        "doc_id",
+        *[counted(number).alias(f"n_{kind}") for number, kind in enumerate(personal.KINDS)],
+        F.sha2(listed(F.col("base")).cast("binary"), 256).alias("base_sha256"),
+        listed(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
