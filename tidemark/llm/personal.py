@@ -39,8 +39,11 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Most tokens of a segment, and characters after which a stretch is cut for it.
 MOST_TOKENS = 24
 STRETCH_CHARS = 4096
-#: Without an ``@``, segments have so many digits, in so many groups at most.
+#: Segments have so many digits, in so many groups at most; without an ``@``, four groups or so many digits
+#: at least.
 LEAST_DIGITS, MOST_DIGITS, MOST_GROUPS = 7, 21, 8
+#: Most of ``@`` and its spellings, and of spelt-out dots, in a segment.
+MOST_MARKS = 4
 #: Stretches whose result a worker remembers, and their longest text.
 REMEMBERED, REMEMBERED_CHARS = 20_000, 200
 
@@ -161,9 +164,9 @@ def segment_features(tokens: list[str], kinds: str, i: int, j: int, before: str,
     size = sum(map(len, groups))
     text = "".join(part)
     at = "@" if "@" in text else "mark" if MARK.search(text) else ""
-    if not at and (size < LEAST_DIGITS or "a" in part_kinds) or at and kinds[i] == "p":
+    if not at and (size < LEAST_DIGITS and len(groups) != 4 or "a" in part_kinds) or at and kinds[i] == "p":
         return None
-    if any(k == "s" and t not in (" ", "  ") for t, k in zip(part, part_kinds)):
+    if text.count("@") > 1 or any(k == "s" and t not in (" ", "  ") for t, k in zip(part, part_kinds)):
         return None
     separators = "".join(sorted(set(t for t, k in zip(part, part_kinds) if k in "sp")))
     found = [f"before={before}", f"after={after}", f"separators={separators}", f"first={first if kinds[i] == 'p' else kinds[i]}"]
@@ -212,15 +215,15 @@ def lattice(text: str, before: str = "", after: str = "", word: str = "") -> Lat
         if kinds[i] == "s" or kinds[i] == "p" and tokens[i] not in "+([":
             continue
         left = _class(tokens[i - 1][-1] if i else before)
-        digits = groups = 0
-        marked = lettered = False
+        digits = groups = marked = 0
+        lettered = False
         for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
             if kinds[j - 1] == "d":
                 digits, groups = digits + len(tokens[j - 1]), groups + 1
-            marked, lettered = marked or at[j - 1], lettered or kinds[j - 1] == "a"
-            if digits > MOST_DIGITS or groups > MOST_GROUPS:
+            marked, lettered = marked + at[j - 1], lettered or kinds[j - 1] == "a"
+            if digits > MOST_DIGITS or groups > MOST_GROUPS or marked > MOST_MARKS:
                 break
-            if kinds[j - 1] not in "da" or not marked and (lettered or digits < LEAST_DIGITS):
+            if kinds[j - 1] not in "da" or not marked and (lettered or digits < LEAST_DIGITS and groups != 4):
                 continue
             right = _class(tokens[j][0] if j < len(tokens) else after)
             if right == kinds[j - 1]:
@@ -260,16 +263,19 @@ class Model:
         for row, (i, _, _) in enumerate(grid.segments):
             by_start.setdefault(i, []).append(row)
         for i in range(tokens):
-            previous = int(np.argmax(value[i]))
+            previous = int(value[i].argmax())
             if value[i, previous] > value[i + 1, outside]:
                 value[i + 1, outside], back[i + 1][outside] = value[i, previous], (i, previous)
-            for row in by_start.get(i, ()):
+            if i not in by_start:
+                continue
+            into = value[i][:, None] + self.transitions
+            parents = into.argmax(axis=0)
+            into = into.max(axis=0)
+            for row in by_start[i]:
                 j = grid.segments[row][1]
-                reached = value[i][:, None] + self.transitions + scores[row][None, :]
-                for kind in range(outside):
-                    previous = int(np.argmax(reached[:, kind]))
-                    if reached[previous, kind] > value[j, kind]:
-                        value[j, kind], back[j][kind] = reached[previous, kind], (i, previous)
+                reached = into + scores[row]
+                for kind in (reached > value[j, :outside]).nonzero()[0]:
+                    value[j, kind], back[j][kind] = reached[kind], (i, int(parents[kind]))
         found, at, kind = [], tokens, int(np.argmax(value[tokens]))
         while at:
             i, previous = back[at][kind]
