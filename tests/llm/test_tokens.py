@@ -46,11 +46,47 @@ def test_transducer_equals_merging(encoder, by_library, text):
 def test_transducer_on_random_tokens_and_after_reset(encoder, by_library):
     draw = random.Random(4)
     words = list(encoder.transducer.ranks)
-    encoder.transducer.MOST_STATES = 50
+    encoder.transducer.MOST_BYTES, encoder.transducer.MOST_PAIR_BYTES = 20_000, 500
+    before = encoder.transducer.restarts
     for _ in range(300):
         text = b"".join(draw.choices(words, k=5)).decode("utf-8", "replace")
         assert unpacked(encoder.encode(text)) == by_library.encode_ordinary(text)
-    encoder.transducer.MOST_STATES = 250_000
+    assert encoder.transducer.restarts > before
+    del encoder.transducer.MOST_BYTES, encoder.transducer.MOST_PAIR_BYTES
+
+
+def test_tables_stay_bounded_within_one_long_word(encoder):
+    """Random letters of 10 MB without a break: the transducer starts anew amid the word."""
+    draw = np.random.default_rng(7)
+    word = bytes(draw.integers(97, 123, 10_000_000, dtype=np.uint8))
+    transducer = encoder.transducer
+    transducer.MOST_BYTES, most, size = 8 << 20, 0, 0
+    step = transducer._step
+
+    def watched(state, byte):
+        nonlocal most
+        most = max(most, transducer.used)
+        return step(state, byte)
+
+    transducer._step = watched
+    ids = transducer.encode(word)
+    del transducer._step, transducer.MOST_BYTES
+    assert most < (8 << 20) + 10_000
+    assert bpe.decode_bytes(ids, transducer.tokens) == word
+    # The encoding is the one in which every token and every two neighbours encode themselves.
+    assert all(transducer._is_own_encoding(t) for t in set(ids))
+    assert all(transducer._may_follow(a, b) for a, b in set(zip(ids, ids[1:])))
+
+
+def test_remembered_chunks_make_room(by_library):
+    encoder = bpe.Encoder(bpe.read_ranks(RANKS), P.PATTERN)
+    encoder.MOST_NEW_BYTES = encoder.MOST_KNOWN_BYTES = 2_000
+    draw = random.Random(1)
+    for _ in range(300):
+        text = " ".join("".join(draw.choices("abé1.", k=draw.randint(1, 3))) for _ in range(20))
+        assert unpacked(encoder.encode(text)) == by_library.encode_ordinary(text)
+        assert encoder.new_bytes < 3_000 and encoder.known_bytes < 3_000
+    assert encoder.known_bytes == sum(5 * len(c) + encoder.CHUNK_BYTES for c in encoder.known)
 
 
 def test_unfinished_characters_wait(encoder):
@@ -84,6 +120,12 @@ def test_codec(spark, odd_docs, odd_rows, no_docs, by_library):
     assert all(bytes(r.raw).decode() == r.text for r in back)
     assert {r.ids_sha256 for r in back} == {hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest() for _, x in wanted}
     assert codec.decode(codec.encode(no_docs, RANKS, P.PATTERN), RANKS).count() == 0
+    both = codec.round_trip(odd_docs, RANKS, P.PATTERN).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256) for r in both) == sorted(
+        (str(i), len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest()) for i, x in wanted
+    )
+    assert sorted(r.decoded_sha256 for r in both) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t in odd_rows)
+    assert codec.round_trip(no_docs, RANKS, P.PATTERN).count() == 0
 
 
 def test_token_files(spark, odd_docs, odd_rows, no_docs):

@@ -16,6 +16,8 @@ from __future__ import annotations
 import base64
 import codecs
 import re
+import sys
+from array import array
 from collections.abc import Iterator, Sequence
 
 import regex
@@ -35,36 +37,73 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Transducer:
     """Encodes the bytes of one piece by the merges implied by the ranks.
 
-    A configuration is (tokens not emitted yet, last token or -1, bytes of the token under way); a state
-    is the tuple of those still possible, the longest part first.
+    A configuration is (tokens not emitted yet, place in the trie of tokens); a state is the last emitted token,
+    where it still matters, with the configurations still possible, the longest part first. States are packed
+    integers. What is remembered is bounded in bytes: beyond that the transducer is made anew and goes on from
+    the configurations it stands at, in the middle of a piece too, which costs time but changes no output.
     """
 
-    #: States kept; beyond that the transducer is made anew, which costs time but changes no output.
-    MOST_STATES = 250_000
+    #: Bounds on states with their arcs, and on the pairs of tokens that have been tried.
+    MOST_BYTES = 144 << 20
+    MOST_PAIR_BYTES = 24 << 20
+    #: What an entry takes besides its packed integers: objects, table slots.
+    STATE_BYTES, ARC_BYTES, PAIR_BYTES = 180, 170, 130
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.prefixes = {token[:i]: token[:i] for token in ranks for i in range(1, len(token) + 1)}
-        self._own: dict[bytes, bool] = {}
+        self.children: dict[int, int] = {}
+        self.token_at = [-1]
+        for token, rank in ranks.items():
+            node = 0
+            for byte in token:
+                below = self.children.get(node << 8 | byte)
+                if below is None:
+                    below = self.children[node << 8 | byte] = len(self.token_at)
+                    self.token_at.append(-1)
+                node = below
+            self.token_at[node] = rank
+        self._own: dict[int, bool] = {}
+        self._pairs: dict[int, bool] = {}
+        self._alone = {rank: (rank,) for rank in self.tokens}
+        self.numbers: dict[bytes, int] = {}
+        self.states: list[bytes] = []
+        #: state * 256 + byte -> next state, or its complement if tokens are emitted
+        self.arcs: dict[int, int] = {}
+        self.emitted: dict[int, tuple[int, ...]] = {}
+        self.ends: dict[int, tuple[int, ...]] = {}
+        self.restarts = 0
         self._reset()
 
     def _reset(self) -> None:
-        self._pairs: dict[tuple[int, int], bool] = {}
-        self.numbers: dict[tuple, int] = {}
-        self.states: list[tuple] = []
-        #: state * 256 + byte -> (next state, tokens emitted)
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.ends: dict[int, tuple[int, ...]] = {}
-        self._number((((), -1, b""),))
+        for table in (self.numbers, self.states, self.arcs, self.emitted, self.ends):
+            table.clear()
+        self.used = 0
+        self._number(-1, [([], 0)])
 
-    def _number(self, state: tuple) -> int:
-        number = self.numbers.get(state)
+    def _number(self, last: int, configurations: list[tuple[list[int], int]]) -> int:
+        packed = array("i", [last if any(not pending for pending, _ in configurations) else -1])
+        for pending, node in configurations:
+            packed.extend((node, len(pending), *pending))
+        key = packed.tobytes()
+        number = self.numbers.get(key)
         if number is None:
-            number = self.numbers[state] = len(self.states)
-            self.states.append(state)
+            number = self.numbers[key] = len(self.states)
+            self.states.append(key)
+            self.used += len(key) + self.STATE_BYTES
         return number
 
+    def _configurations(self, state: int) -> tuple[int, list[tuple[list[int], int]]]:
+        packed = array("i")
+        packed.frombytes(self.states[state])
+        numbers = packed.tolist()
+        found, at = [], 1
+        while at < len(numbers):
+            end = at + 2 + numbers[at + 1]
+            found.append((numbers[at + 2 : end], numbers[at]))
+            at = end
+        return numbers[0], found
+
     def merged(self, text: bytes) -> list[bytes]:
         """Merging by rank as the definition has it; used on single tokens and pairs of tokens."""
         parts = [text[i : i + 1] for i in range(len(text))]
@@ -80,97 +119,142 @@ class Transducer:
                 costs[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
-    def _is_own_encoding(self, token: bytes) -> bool:
+    def _is_own_encoding(self, token: int) -> bool:
         known = self._own.get(token)
         if known is None:
-            known = self._own[token] = self.merged(token) == [token]
+            text = self.tokens[token]
+            known = self._own[token] = self.merged(text) == [text]
         return known
 
     def _may_follow(self, left: int, right: int) -> bool:
-        known = self._pairs.get((left, right))
+        key = left << 32 | right
+        known = self._pairs.get(key)
         if known is None:
+            if len(self._pairs) * self.PAIR_BYTES > self.MOST_PAIR_BYTES:
+                self._pairs.clear()
             a, b = self.tokens[left], self.tokens[right]
-            known = self._pairs[left, right] = self.merged(a + b) == [a, b]
+            known = self._pairs[key] = self.merged(a + b) == [a, b]
         return known
 
     def _step(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        last, configurations = self._configurations(state)
         reached = []
         between = None
-        for pending, last, part in self.states[state]:
-            part = self.prefixes.get(part + bytes((byte,)))
-            if part is None:
+        for pending, node in configurations:
+            below = self.children.get(node << 8 | byte)
+            if below is None:
                 continue
-            reached.append((pending, last, part))
-            token = self.ranks.get(part)
-            if token is not None and self._is_own_encoding(part) and (last < 0 or self._may_follow(last, token)):
-                # At most one: the encoding of the bytes so far.
-                between = ((*pending, token), token, b"")
+            reached.append((pending, below))
+            token = self.token_at[below]
+            if between is None and token >= 0 and self._is_own_encoding(token):
+                before = pending[-1] if pending else last
+                if before < 0 or self._may_follow(before, token):
+                    # At most one: the encoding of the bytes so far.
+                    between = ([*pending, token], 0)
         if between:
             reached.append(between)
         if not reached:
             raise ValueError("the vocabulary lacks some single bytes")
+        agreed = min(len(pending) for pending, _ in reached)
         first = reached[0][0]
-        agreed = min(len(pending) for pending, _, _ in reached)
-        while agreed and any(pending[:agreed] != first[:agreed] for pending, _, _ in reached):
+        while agreed and any(pending[:agreed] != first[:agreed] for pending, _ in reached):
             agreed -= 1
-        following = tuple((pending[agreed:], last, part) for pending, last, part in reached)
-        arc = self.arcs[state * 256 + byte] = (self._number(following), first[:agreed])
-        return arc
+        if agreed:
+            reached = [(pending[agreed:], node) for pending, node in reached]
+            last = first[agreed - 1]
+        tokens = self._alone[first[0]] if agreed == 1 else tuple(first[:agreed])
+        if self.used > self.MOST_BYTES:
+            self._reset()
+            self.restarts += 1
+            return self._number(last, reached), tokens
+        following = self._number(last, reached)
+        key = state << 8 | byte
+        if tokens:
+            self.emitted[key] = tokens
+            self.used += self.ARC_BYTES // 2
+        self.arcs[key] = ~following if tokens else following
+        self.used += self.ARC_BYTES
+        return following, tokens
 
     def encode(self, piece: bytes) -> list[int]:
-        if len(self.states) > self.MOST_STATES:
-            self._reset()
-        arcs, state, out = self.arcs, 0, []
+        arcs, emitted, state, out = self.arcs, self.emitted, 0, []
         for byte in piece:
-            arc = arcs.get(state * 256 + byte) or self._step(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out += arc[1]
+            key = state << 8 | byte
+            following = arcs.get(key)
+            if following is None:
+                state, tokens = self._step(state, byte)
+                out += tokens
+            elif following < 0:
+                out += emitted[key]
+                state = ~following
+            else:
+                state = following
         end = self.ends.get(state)
         if end is None:
             # The configuration that stands between tokens; the encoding is unique, so there is one.
-            end = self.ends[state] = next(pending for pending, _, part in self.states[state] if not part)
+            _, configurations = self._configurations(state)
+            end = self.ends[state] = tuple(next(pending for pending, node in configurations if not node))
+            self.used += self.ARC_BYTES
         out += end
         return out
 
 
 class Encoder:
-    """Whole texts to ids: chunks between which the pattern cuts are looked up, new ones transduced."""
+    """Whole texts to ids: chunks between which the pattern cuts are looked up, new ones transduced.
+
+    Chunks seen once and chunks seen again are kept apart, each up to a number of bytes; the former, of which
+    there is no end, make room first.
+    """
 
-    MOST_CHUNKS = 400_000
+    MOST_NEW_BYTES = 24 << 20
+    MOST_KNOWN_BYTES = 40 << 20
+    CHUNK_BYTES = 190
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.transducer = Transducer(ranks)
         self.pieces = regex.compile(pattern)
         self.known: dict[str, bytes] = {}
+        self.new: dict[str, bytes] = {}
+        self.known_bytes = self.new_bytes = 0
 
     def _chunk(self, chunk: str) -> bytes:
-        ids: list[int] = []
+        size = 5 * len(chunk) + self.CHUNK_BYTES
+        packed = self.new.pop(chunk, None)
+        if packed is not None:
+            self.new_bytes -= size
+            if self.known_bytes > self.MOST_KNOWN_BYTES:
+                self.known.clear()
+                self.known_bytes = 0
+            self.known[chunk] = packed
+            self.known_bytes += size
+            return packed
+        ids = array("I")
         for piece in self.pieces.findall(chunk):
             raw = piece.encode()
             whole = self.transducer.ranks.get(raw)
             if whole is None:
-                ids += self.transducer.encode(raw)
+                ids.extend(self.transducer.encode(raw))
             else:
                 ids.append(whole)
-        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        packed = ids.tobytes()
         if len(chunk) <= 64:
-            self.known[chunk] = packed
+            if self.new_bytes > self.MOST_NEW_BYTES:
+                self.new.clear()
+                self.new_bytes = 0
+            self.new[chunk] = packed
+            self.new_bytes += size
         return packed
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
-        if len(self.known) > self.MOST_CHUNKS:
-            self.known.clear()
-        known, out = self.known, []
-        for chunk in CHUNKS.findall(text):
-            packed = known.get(chunk)
-            out.append(self._chunk(chunk) if packed is None else packed)
-        return b"".join(out)
+        known, chunk = self.known.get, self._chunk
+        return b"".join([known(m) or chunk(m) for m in CHUNKS.findall(text)])
 
 
 def decode_bytes(ids: Sequence[int], tokens: dict[int, bytes]) -> bytes:
-    return b"".join(map(tokens.__getitem__, ids))
+    return b"".join(map(tokens.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
 
 
 def stream_decode(

@@ -50,6 +50,42 @@ def encode(
     return in_batches(rows, f"_id {kind}, n_tokens bigint, ids binary", work).withColumnRenamed("_id", id_column)
 
 
+def round_trip(
+    docs: DataFrame, ranks_path: str, pattern: str, *, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """(id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256``): texts encoded, and the ids decoded again, in one
+    Python stage; hashes are lowercase hex of the packed ids and of the decoded bytes.
+
+    As :func:`encode` and :func:`decode` one after the other, but neither ids nor texts go back to the JVM,
+    and a worker keeps one set of tables. The decoded text is hashed piece by piece.
+    """
+    rows = docs.select(F.col(f"`{id_column}`").alias("_id"), whole_text(text_column).alias("_text"))
+
+    def work():
+        code = encoder(ranks_path, pattern)
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            counts, named, decoded = [], [], []
+            for text in batch.column(1):
+                ids = code.encode(text.as_py())
+                digest = hashlib.sha256()
+                for piece in stream_decode(np.frombuffer(ids, "<u4"), code.transducer.tokens, step=4096):
+                    digest.update(piece.encode())
+                counts.append(len(ids) // 4)
+                named.append(hashlib.sha256(ids).hexdigest())
+                decoded.append(digest.hexdigest())
+            return pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(named, pa.string()), pa.array(decoded, pa.string())],
+                ["_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+        return step
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    made = in_batches(rows, f"_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string", work)
+    return made.withColumnRenamed("_id", id_column)
+
+
 def decode(encoded: DataFrame, ranks_path: str, *, id_column: str = "doc_id") -> DataFrame:
     """(id, ``text``, ``raw``, ``ids_sha256``): ids back to text; ``raw`` are the bytes, which are the
     text's unless ids were cut amid a character. Empty or NULL ids give the empty text."""

@@ -65,12 +65,7 @@ def op1_licenses(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_bpe_codec(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = codec.encode(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
-    # The id column carries the count along; decoding leaves ids as they are.
-    keyed = ids.select(F.struct("doc_id", "n_tokens").alias("doc_id"), "ids")
-    return codec.decode(keyed, ranks).select(
-        "doc_id.doc_id", "doc_id.n_tokens", "ids_sha256", F.sha2("raw", 256).alias("decoded_sha256")
-    )
+    return codec.round_trip(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
 
 
 @query
