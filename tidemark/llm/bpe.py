@@ -44,8 +44,8 @@ class Transducer:
     """
 
     #: Bounds on states with their arcs, and on the pairs of tokens that have been tried.
-    MOST_BYTES = 144 << 20
-    MOST_PAIR_BYTES = 24 << 20
+    MOST_BYTES = 320 << 20
+    MOST_PAIR_BYTES = 48 << 20
     #: What an entry takes besides its packed integers: objects, table slots.
     STATE_BYTES, ARC_BYTES, PAIR_BYTES = 180, 170, 130
 
@@ -82,10 +82,12 @@ class Transducer:
         self._number(-1, [([], 0)])
 
     def _number(self, last: int, configurations: list[tuple[list[int], int]]) -> int:
-        packed = array("i", [last if any(not pending for pending, _ in configurations) else -1])
+        # Only a part begun where the last emitted token ends has none pending, and the longest part comes first.
+        packed = [-1 if configurations[0][0] else last]
         for pending, node in configurations:
-            packed.extend((node, len(pending), *pending))
-        key = packed.tobytes()
+            packed += (node, len(pending))
+            packed += pending
+        key = array("i", packed).tobytes()
         number = self.numbers.get(key)
         if number is None:
             number = self.numbers[key] = len(self.states)
@@ -140,12 +142,13 @@ class Transducer:
         last, configurations = self._configurations(state)
         reached = []
         between = None
+        children, token_at = self.children.get, self.token_at
         for pending, node in configurations:
-            below = self.children.get(node << 8 | byte)
+            below = children(node << 8 | byte)
             if below is None:
                 continue
             reached.append((pending, below))
-            token = self.token_at[below]
+            token = token_at[below]
             if between is None and token >= 0 and self._is_own_encoding(token):
                 before = pending[-1] if pending else last
                 if before < 0 or self._may_follow(before, token):
@@ -155,10 +158,15 @@ class Transducer:
             reached.append(between)
         if not reached:
             raise ValueError("the vocabulary lacks some single bytes")
-        agreed = min(len(pending) for pending, _ in reached)
         first = reached[0][0]
-        while agreed and any(pending[:agreed] != first[:agreed] for pending, _ in reached):
-            agreed -= 1
+        agreed = len(first)
+        for pending, _ in reached[1:]:
+            # Pending tokens never reach back beyond those of a longer part, so this is cut short at once.
+            agreed = min(agreed, len(pending))
+            while agreed and pending[:agreed] != first[:agreed]:
+                agreed -= 1
+            if not agreed:
+                break
         if agreed:
             reached = [(pending[agreed:], node) for pending, node in reached]
             last = first[agreed - 1]
@@ -206,8 +214,8 @@ class Encoder:
     there is no end, make room first.
     """
 
-    MOST_NEW_BYTES = 24 << 20
-    MOST_KNOWN_BYTES = 40 << 20
+    MOST_NEW_BYTES = 40 << 20
+    MOST_KNOWN_BYTES = 64 << 20
     CHUNK_BYTES = 190
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
