@@ -315,3 +315,27 @@ def test_completion_and_stale_runs(spark):
     swept = lifecycle.stale_run_events(state, live, now)
     same_rows(swept, [("c", "fail", lifecycle.CRASH_MESSAGE, now.replace(tzinfo=None))], "id", "state", "error_messages", "execution_end")
     assert lifecycle.stale_run_events(state, spark.createDataFrame([("c",)], "id string"), now).count() == 0
+
+
+@pytest.mark.parametrize(
+    "path, parts",
+    [
+        ("a", ["a"]),
+        ("a.b_2[10].c", ["a", "b_2", "[10]", "c"]),
+        ("a['b']", ["a", "b"]),
+        ("a[\"it's\"]['say \"hi\"'].x", ["a", "it's", 'say "hi"', "x"]),
+        ("['a b']['c.d[1]']", ["a b", "c.d[1]"]),
+        ("[3][4]", ["[3]", "[4]"]),
+        ("é.ß1", ["é", "ß1"]),
+        *[(bad, None) for bad in ("", ".", "a.", "a..b", "a b", "a[]", "a['']", "a['b", "a['b'", "a['b\"]", "a[1", "a[x]", "a[1]b", "['a']b", "a]", "a[1 ]")],
+    ],
+)
+def test_path_reader(spark, path, parts):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert df.select(reshape.path_parts(F.col("path")).alias("p")).first().p == parts
+
+
+def test_plain_spelling(spark):
+    cases = {"a.b": "a.b", "['a']['b'][1][\"c\"]": "a.b[1].c", "['a']b": "['a']b", "a['b c'].d": "a['b c'].d", "a['b\"]": "a['b\"]"}
+    df = spark.createDataFrame([(p,) for p in cases], "path string")
+    assert {r.path: r.plain for r in df.select("path", reshape.plain_path(F.col("path")).alias("plain")).collect()} == cases

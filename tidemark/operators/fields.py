@@ -7,6 +7,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.options import OptionError
 
 def parse_list(value: str | Iterable | None) -> list | None:
     """Items of a comma list (or of several), trimmed, empty ones dropped; None stays None."""
@@ -22,9 +23,12 @@ def parse_list(value: str | Iterable | None) -> list | None:
 
 
 def expand_fields(
-    requested: str | Iterable[str] | None, groups: Mapping[str, Sequence[str]]
+    requested: str | Iterable[str] | None, groups: Mapping[str, Sequence[str]], known: Iterable[str] | None = None
 ) -> list[str]:
-    """Field names with group names replaced by their members, in order, without repeats."""
+    """Field names with group names replaced by their members, in order, without repeats.
+
+    With ``known``, a name that is neither a group nor among these is an error.
+    """
     pending = parse_list(requested) or [name for name in ("default",) if name in groups]
     pending.reverse()
     opened: set[str] = set()
@@ -36,6 +40,8 @@ def expand_fields(
         elif name not in opened:
             opened.add(name)
             pending.extend(reversed(groups[name]))
+    if known is not None and (unknown := [name for name in fields if name not in set(known)]):
+        raise OptionError(f"unknown field {unknown[0]!r}")
     return list(fields)
 
 

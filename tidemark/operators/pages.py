@@ -19,6 +19,7 @@ def latest_page(
     columns: Sequence[str],
     sort: Sort,
     *,
+    ties: Sequence[str] = (),
     heavy: Sequence[str] = (),
     keep: Callable[[DataFrame], DataFrame] | None = None,
     keep_columns: Sequence[str] = (),
@@ -27,10 +28,12 @@ def latest_page(
 ) -> Page:
     """A page of entities with ``columns`` of their newest rows.
 
-    ``keep`` filters the resulting states and needs ``keep_columns`` for it; the total is counted from
-    a frame that carries nothing else. ``heavy`` columns (long lists, documents) are left out of the
+    ``ties`` are columns that settle equal ``order``, in this order and whatever is selected; without them
+    rows, total and filters could each take another of several newest rows. ``keep`` filters the resulting
+    states and needs ``keep_columns`` for it; the total is counted from a frame that selects nothing else. ``heavy`` columns (long lists, documents) are left out of the
     pass that finds the page and are fetched for its entities alone.
     """
+    order = [*order, *[c for c in ties if c not in order and c not in heavy]]
     kept = keep or (lambda states: states)
     light = [c for c in columns if c not in heavy]
     wide = [*light, *[c for c in columns if c in heavy]]
@@ -43,8 +46,7 @@ def latest_page(
     found = page(kept(latest_state(log, keys, order, light if fetch else wide)), sort, None, limit, offset)
     rows = found.rows
     if fetch:
-        # The light columns come before the heavy ones when rows of equal order are told apart, so
-        # this finds the same newest rows.
+        # The ties are settled before any heavy column is compared, so this finds the same newest rows.
         ids = rows.select(*[F.col(k).alias(f"_{k}") for k in keys])
         listed = reduce(lambda a, b: a & b, [log[k].eqNullSafe(F.col(f"_{k}")) for k in keys])
         rows = sort.apply(latest_state(log.join(ids, listed, "left_semi"), keys, order, wide))

@@ -48,15 +48,6 @@ CEP_PATHS = {
     "cdu_loop_bypass_flowrate": "simulator[1].datacenter[1].summary.V_flow_bypass_GPM",
 }
 
-# The kinds of parts a path is made of; only the first may be a bare name.
-_FIRST = r"^\w+"
-_DOTTED = r"\.\w+"
-_QUOTED_ONCE = r"\['[^']+'\]"
-_QUOTED_TWICE = r"\[\"[^\"]+\"\]"
-_INDEX = r"\[\d+\]"
-_PART = "|".join([_FIRST, _DOTTED, _QUOTED_ONCE, _QUOTED_TWICE, _INDEX])
-
-
 def long_readings(df: DataFrame, key: Sequence[str], readings: str) -> DataFrame:
     """Rows of ``key, path, value`` from a map column of path-keyed readings."""
     return df.select(*key, F.explode(readings).alias("path", "value"))
@@ -68,12 +59,9 @@ def wide_cdus(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     Paths may be spelt with dots or brackets. Duplicate readings are an input error (see
     :func:`path_conflicts`); their maximum is taken.
     """
-    readings = readings.withColumn("path", plain_path(F.col("path")))
-    metric = F.regexp_extract("path", CDU_PATH, 2)
-    unit = F.regexp_extract("path", CDU_PATH, 1)
-    found = readings.filter(F.col("path").rlike(CDU_PATH)).select(
-        *key, unit.cast("int").alias("cdu"), metric.alias("metric"), "value"
-    )
+    found = readings.withColumn("path", plain_path(F.col("path"))).filter(F.col("path").rlike(CDU_PATH))
+    unit = F.substring_index(F.substring_index("path", "computeBlock[", -1), "]", 1)
+    found = found.select(*key, unit.cast("int").alias("cdu"), F.substring_index("path", ".", -1).alias("metric"), "value")
     cells = [
         F.max(F.when(F.col("metric") == name, F.col("value"))).alias(column)
         for name, column in CDU_METRICS.items()
@@ -92,52 +80,74 @@ def wide_plant(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     return known.groupBy(*key).agg(*cells)
 
 
-def _written_parts(path: Column) -> Column:
-    return F.regexp_extract_all(path, F.lit(f"({_PART})"), F.lit(1))
+def plain_path(path: Column) -> Column:
+    """Brackets around plain names written as dots, so that ``a['b']`` becomes ``a.b``; all else stays as it is."""
+    dotted = F.regexp_replace(path, r"""\[(['"])(\w+)\1\](?=[.\[]|$)""", ".$2")
+    return F.when(F.contains(path, F.lit("']")) | F.contains(path, F.lit('"]')), F.ltrim(dotted, F.lit("."))).otherwise(path)
 
 
-def is_path(path: Column) -> Column:
-    """Whether the text consists of parts and nothing else."""
-    return (path != "") & (F.array_join(_written_parts(path), "") == path)
+# What the reader of a path expects or is amid.
+_BEGIN, _NAME, _AFTER_DOT, _OPENED, _INDEX, _QUOTED, _UNQUOTED, _CLOSED, _BROKEN = range(9)
 
 
 def path_parts(path: Column) -> Column:
-    """Parts of a path in one spelling each, so that ``a.b`` and ``a['b']`` are the same place.
+    """Parts of a path in one spelling each, so that ``a.b`` and ``a['b']`` are the same place; NULL if the text
+    is no path. Names lose their dots and quotes; indexes keep their brackets.
 
-    Names lose their dots and quotes; indexes keep their brackets.
+    A path is read from left to right, a character at a time: names of letters, digits and ``_``, after a dot
+    unless they come first; or brackets around a whole number, or around a name in quotes of either kind, which
+    may hold anything but that quote and is not empty.
     """
 
-    def bare(part: Column) -> Column:
-        quoted = part.startswith("['") | part.startswith('["')
-        return (
-            F.when(quoted, F.substring(part, F.lit(3), F.length(part) - 4))
-            .when(part.startswith("."), F.substring(part, F.lit(2), F.length(part)))
-            .otherwise(part)
+    def read(seen: Column, char: Column) -> Column:
+        state, part, quote = seen["state"], seen["part"], seen["quote"]
+        plain = char.rlike(r"^[\p{L}\p{N}_]$")
+        digit = char.between("0", "9")
+        between = state.isin(_BEGIN, _NAME, _CLOSED)
+        quoting = state == _QUOTED
+        following = (
+            F.when(quoting, F.when(char != quote, _QUOTED).when(part != "", _UNQUOTED).otherwise(_BROKEN))
+            .when(state.isin(_BEGIN, _NAME, _AFTER_DOT) & plain, _NAME)
+            .when(between & (char == "."), _AFTER_DOT)
+            .when(between & (char == "["), _OPENED)
+            .when((state == _OPENED) & char.isin("'", '"'), _QUOTED)
+            .when(state.isin(_OPENED, _INDEX) & digit, _INDEX)
+            .when(state.isin(_INDEX, _UNQUOTED) & (char == "]"), _CLOSED)
+            .otherwise(_BROKEN)
+        )
+        grows = F.when(quoting, char != quote).otherwise(following.isin(_NAME, _INDEX))
+        # A name ends with the dot or bracket after it, what stands in brackets with the closing one.
+        ends = ((state == _NAME) & ~plain) | (following == _CLOSED)
+        ended = F.when(state == _INDEX, F.concat(F.lit("["), part, F.lit("]"))).otherwise(part)
+        return F.struct(
+            following.cast("int").alias("state"),
+            F.when(grows, F.concat(part, char)).when(ends, "").otherwise(part).alias("part"),
+            F.when((state == _OPENED) & ~digit, char).otherwise(quote).alias("quote"),
+            F.when(ends, F.array_append(seen["parts"], ended)).otherwise(seen["parts"]).alias("parts"),
         )
 
-    return F.transform(_written_parts(path), bare)
-
+    def parts_of(seen: Column) -> Column:
+        whole = F.when(seen["state"] == _NAME, F.array_append(seen["parts"], seen["part"])).otherwise(seen["parts"])
+        return F.when(seen["state"].isin(_NAME, _CLOSED), whole)
 
-def plain_path(path: Column) -> Column:
-    """The dotted spelling; texts that are no paths, and names that only quotes can spell, stay as they are."""
-    parts = path_parts(path)
-    dotted = F.array_join(
-        F.transform(parts, lambda p: F.when(p.startswith("["), p).otherwise(F.concat(F.lit("."), p))), ""
+    nothing = F.struct(
+        F.lit(_BEGIN).alias("state"), F.lit("").alias("part"), F.lit("").alias("quote"),
+        F.array().cast("array<string>").alias("parts"),
     )
-    plain = F.forall(parts, lambda p: p.rlike(r"^(\w+|\[\d+\])$"))
-    return F.when(is_path(path) & plain, F.ltrim(dotted, F.lit("."))).otherwise(path)
+    return F.aggregate(F.split(path, ""), nothing, read, parts_of)
 
 
 def path_conflicts(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     """Places that make a record unusable: ``key, place, problem``.
 
     ``duplicate``: two readings for one place; ``nested``: a reading at a place that holds further
-    places; ``invalid``: not a path. One aggregation over readings and their ancestors.
+    places; ``invalid``: not a path. Each distinct path is read once; then one aggregation over readings and
+    their ancestors.
     """
-    legal = is_path(F.col("path"))
-    parts = readings.select(
-        *key, F.when(legal, path_parts(F.col("path"))).otherwise(F.array("path")).alias("parts"),
-        legal.alias("is_path"),
+    paths = readings.select("path").distinct().withColumn("_parts", path_parts(F.col("path")))
+    legal = F.col("_parts").isNotNull()
+    parts = readings.join(paths, "path").select(
+        *key, F.coalesce("_parts", F.array("path")).alias("parts"), legal.alias("is_path")
     )
     places = parts.select(
         "*", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth")

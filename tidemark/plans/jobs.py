@@ -41,11 +41,12 @@ def jobs(
 ) -> Page:
     """A page of jobs of one run, or of all runs (then ``sim_id`` comes first in every row).
 
-    ``start``/``end`` keep jobs queued or running in the interval, judged by their latest state up to
+    Of several snapshots at a job's newest time, ``tie_breaks`` and then all other fields but ``nodes`` decide, the
+    larger value first, whatever is selected. ``start``/``end`` keep jobs queued or running in the interval, judged by their latest state up to
     ``end``. With ``strict_overlap=False`` snapshots from before ``start`` are not looked at: less is
     read, and a job without any snapshot in the interval is missed.
     """
-    chosen = expand_fields(fields, JOB_GROUPS)
+    chosen = expand_fields(fields, JOB_GROUPS, JOB_FIELDS)
     wanted = Filters.parse(JOB_OPTION_FIELDS, filters)
     order = Sort.parse(JOB_OPTION_FIELDS, sort, JOB_SORT)
     entity = ["job_id"] if run else ["sim_id", "job_id"]
@@ -78,7 +79,7 @@ def jobs(
         chosen = ["sim_id", *chosen]
     found = latest_page(
         log, entity, ["ts", *tie_breaks], [f for f in JOB_FIELDS if f in used and f not in entity], order,
-        heavy=["nodes"], keep=keep if later else None, keep_columns=[f for f in JOB_FIELDS if f in later],
+        ties=[f for f in JOB_FIELDS if f not in entity], heavy=["nodes"], keep=keep if later else None, keep_columns=[f for f in JOB_FIELDS if f in later],
         limit=limit, offset=offset,
     )
     return replace(found, rows=found.rows.select(*chosen))

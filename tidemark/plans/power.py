@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.fields import expand_fields
 from tidemark.operators.spans import Granularity, Segment, data_bounds, extent
 from tidemark.plans.series import Series, series_of_all, series_of_run
-from tidemark.schemas import JOB_POWER_GROUPS
+from tidemark.schemas import JOB_POWER_FIELDS, JOB_POWER_GROUPS
 
 
 def job_power_series(
@@ -27,7 +27,7 @@ def job_power_series(
 
     Missing bounds come from the data of the job itself.
     """
-    chosen = expand_fields(fields, JOB_POWER_GROUPS)
+    chosen = expand_fields(fields, JOB_POWER_GROUPS, JOB_POWER_FIELDS)
     if run is None and job is None:
         by = ["sim_id", "job_id"]
         return series_of_all(

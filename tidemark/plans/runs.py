@@ -15,7 +15,7 @@ from tidemark.operators.lifecycle import last_seen, stale_run_events, with_progr
 from tidemark.operators.pages import latest_page
 from tidemark.operators.snapshots import latest_state
 from tidemark.operators.sorting import Page, Sort
-from tidemark.schemas import RUN_GROUPS, RUN_OPTION_FIELDS, RUN_SORT, RUNS
+from tidemark.schemas import RUN_FIELDS, RUN_GROUPS, RUN_OPTION_FIELDS, RUN_SORT, RUNS
 
 PROGRESS = ("progress", "progress_date")
 _NEWEST = ["ts", "execution_end"]
@@ -39,9 +39,10 @@ def list_runs(
     """A page of runs; ``series`` (with ``sim_id, ts``) is read only if progress is selected.
 
     A filter on ``state`` sees the resulting state. Filters on other fields choose among a run's
-    events first, and the latest of those that pass gives the result.
+    events first, and the latest of those that pass gives the result. Of several events at a run's newest
+    time the one with an end of execution wins, then all other fields but ``config`` decide.
     """
-    chosen = list(dict.fromkeys(["id", *expand_fields(fields, RUN_GROUPS)]))
+    chosen = list(dict.fromkeys(["id", *expand_fields(fields, RUN_GROUPS, RUN_FIELDS)]))
     wanted = Filters.parse(RUN_OPTION_FIELDS, filters)
     order = Sort.parse(RUN_OPTION_FIELDS, sort, RUN_SORT)
     with_dates = any(f in chosen for f in PROGRESS)
@@ -53,7 +54,7 @@ def list_runs(
     by_state = bool(wanted.on_field("state"))
     listed = latest_page(
         log, ["id"], _NEWEST, list(dict.fromkeys([*columns, "state"])) if by_state else columns, order,
-        heavy=["config"], keep=(lambda states: wanted.apply(states, {"state": F.col("state")})) if by_state else None,
+        ties=[f for f in RUNS.fieldNames() if f not in ("id", "ts")], heavy=["config"], keep=(lambda states: wanted.apply(states, {"state": F.col("state")})) if by_state else None,
         keep_columns=["state"], limit=limit, offset=offset,
     )
     if not with_dates:
