@@ -155,3 +155,21 @@ def test_replay_needs_rows(spark):
     assert found.first().nodes == [1, 2] and found.schema["a"].dataType.typeName() == "timestamp_ntz"
     with pytest.raises(NoDataError):
         replay_jobs(df, utc(5), utc(6), "a", "b", must_exist=True)
+
+
+def test_rows_and_total_agree_on_ties(spark):
+    """Two newest snapshots at one time: whatever is selected, the same one counts."""
+    at = datetime(2024, 1, 1, 12)
+    columns = "ts timestamp, sim_id string, job_id string, name string, node_count long, time_submission timestamp, time_limit long, time_start timestamp, time_end timestamp, state_current string, nodes array<string>"
+    same = (at, "s", "j", "n", 1, at, 60, at, None)
+    log = spark.createDataFrame([(*same, "RUNNING", ["a"]), (*same, "COMPLETED", ["b"])], columns)
+    for fields in (None, "state_current", "job_id", "job_id,nodes"):
+        for state, found in (("RUNNING", 1), ("COMPLETED", 0)):
+            page = jobs(log, "s", filters={"state_current": [f"eq:{state}"]}, fields=fields)
+            assert (page.rows.count(), page.total()) == (found, found)
+
+
+def test_unknown_fields_are_option_errors(spark):
+    log = spark.createDataFrame([], "ts timestamp, sim_id string")
+    with pytest.raises(OptionError, match="unknown field 'x'"):
+        jobs(log, fields="job_id,x")

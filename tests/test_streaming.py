@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from tests.helpers import rows, same_rows
 from tidemark.functions.times import bucket
-from tidemark.operators.changes import change_only
+from tidemark.operators.changes import change_only, new_samples_only
 from tidemark.operators.snapshots import latest_state
 from tidemark.schemas import TABLES
 from tidemark.sources.sinks import write_jsonl
 from tidemark.sources.streams import file_rows, parquet_stream
 from tidemark.sources.tables import read_parquet
 from tidemark.streaming import changes, ingest, live
+from tidemark.streaming.upserts import UpsertTable
 
 NOW = {"availableNow": True}
 
@@ -27,30 +28,102 @@ def arriving(spark, events, tmp_path):
     return parquet_stream(spark, str(folder), events.schema, files_per_trigger=1), events.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@pytest.mark.parametrize("compaction", [2, 32])
-def test_change_only_over_batches(spark, arriving, tmp_path, monkeypatch, compaction):
+@pytest.fixture
+def shuffled(spark, events, tmp_path):
+    """The events as six files, each reaching over the whole month; the last repeats entities of the first alone."""
+    folder = tmp_path / "mixed"
+    part = F.pmod(F.xxhash64("event_id"), F.lit(6))
+    for n in range(6):
+        events.filter(part == n).coalesce(1).write.mode("append").parquet(str(folder))
+    return parquet_stream(spark, str(folder), events.schema, files_per_trigger=1), events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+KEYS, ORDER = ["user_id"], ["ts", "event_id"]
+
+
+@pytest.mark.parametrize(("compaction", "target"), [(2, 20), (32, 4_000_000)])
+@pytest.mark.parametrize("source", ["arriving", "shuffled"])
+def test_change_only_over_batches(spark, request, source, tmp_path, monkeypatch, compaction, target):
     monkeypatch.setattr(changes, "COMPACTION", compaction)
-    stream, events = arriving
+    stream, events = request.getfixturevalue(source)
     out = str(tmp_path / "out")
+    always = F.col("value") > 180
     changes.start_change_only(
-        stream, out, f"{out}/cp", ["user_id"], ["ts", "event_id"], F.col("event_type"), target_rows=20, trigger=NOW
+        stream, out, f"{out}/cp", KEYS, ORDER, F.col("event_type"), always=always, target_rows=target, trigger=NOW
+    ).awaitTermination()
+    got = changes.read_kept(spark, out, KEYS, ORDER, stream.schema)
+    expected = change_only(events, KEYS, ORDER, F.col("event_type"), always=always)
+    assert rows(got.select(*expected.columns)) == rows(expected)
+    if source == "shuffled":  # some rows were kept for a while
+        assert spark.read.parquet(f"{out}/kept/delta").filter("not _kept").count() > 0
+
+
+@pytest.mark.parametrize(("compaction", "target"), [(2, 20), (32, 4_000_000)])
+def test_new_samples_over_batches(spark, shuffled, tmp_path, monkeypatch, compaction, target):
+    monkeypatch.setattr(changes, "COMPACTION", compaction)
+    stream, events = shuffled
+    counted = F.when(F.col("event_id") % 5 > 0, F.col("event_id") % 97 - 3)
+    out = str(tmp_path / "out")
+    changes.start_new_samples(
+        stream.withColumn("n", counted), out, f"{out}/cp", KEYS, ORDER, "n", target_rows=target, trigger=NOW
     ).awaitTermination()
-    got = read_parquet(spark, f"{out}/changes")
-    assert got.select("batch_id").distinct().count() == 5
-    expected = change_only(events, ["user_id"], ["ts", "event_id"], F.col("event_type"))
-    assert rows(got, "event_id") == rows(expected, "event_id")
+    got = changes.read_kept(spark, out, KEYS, ORDER, stream.withColumn("n", counted).schema)
+    expected = new_samples_only(events.withColumn("n", counted), KEYS, ORDER, "n")
+    assert got.count() > 10 and rows(got.select(*expected.columns)) == rows(expected)
 
 
 def test_finished_entities_are_forgotten(spark, arriving, tmp_path, monkeypatch):
-    monkeypatch.setattr(changes, "COMPACTION", 2)
+    monkeypatch.setattr(changes, "COMPACTION", 5)
     stream, _ = arriving
     out = str(tmp_path / "out")
     changes.start_change_only(
-        stream, out, f"{out}/cp", ["user_id"], ["ts", "event_id"], F.col("event_type"),
-        finished=F.col("event_type") == "error", trigger=NOW,
+        stream, out, f"{out}/cp", KEYS, ORDER, F.col("event_type"), finished=F.col("event_type") == "error", trigger=NOW
     ).awaitTermination()
-    newest = spark.read.parquet(f"{out}/newest/batch_id=4")
-    assert newest.count() > 0 and newest.filter("event_type = 'error'").count() == 0
+    carried = spark.read.parquet(f"{out}/carried/base/batch_id=4")
+    assert carried.count() > 0 and carried.filter("event_type = 'error'").count() == 0
+
+
+def test_last_ticks(spark, arriving, tmp_path):
+    stream, events = arriving
+    out = str(tmp_path / "out")
+    ended = changes.last_ticks(stream, KEYS, ORDER, ["ts", "event_id", "value"], "36 hours")
+    changes.start_appends(ended, out, f"{out}-cp", NOW).awaitTermination()
+    by_user, newest = {}, None
+    for r in sorted(events.collect(), key=lambda r: (r.ts, r.event_id)):
+        by_user.setdefault(r.user_id, []).append(r)
+        newest = r.ts
+    silent = timedelta(hours=36)
+    wanted = [
+        (user, a.ts, a.event_id, a.value)
+        for user, seen in by_user.items()
+        for a, b in zip(seen, [r.ts for r in seen[1:]] + [newest])
+        if b >= a.ts + silent
+    ]
+    assert len(wanted) > 20
+    same_rows(spark.read.parquet(out), wanted, "user_id", "ts", "event_id", "value")
+
+
+def test_upsert_table_stays_small_and_whole(spark, tmp_path):
+    """Two hundred batches, one of them twice, and a reader that chose its folders before a compaction."""
+    path = str(tmp_path / "t")
+    frame = spark.createDataFrame([(0, 0)], "k int, v int")
+    table = UpsertTable(path, ["k"], frame.schema, compaction=8)
+    early = None
+    for n in range(200):
+        table.write(spark.createDataFrame([(n % 5, n), (100 + n % 3, n)], frame.schema), n)
+        if n == 60:
+            early = table.current(spark)
+            chosen = rows(early)
+            table.write(spark.createDataFrame([(0, -1)], frame.schema), n)  # comes again, and was written
+        if n == 65:  # past the compaction at 63
+            assert rows(early) == chosen
+    assert rows(table.current(spark)) == sorted([(k, 195 + k) for k in range(5)] + [(100, 198), (101, 199), (102, 197)], key=repr)
+    folders = list((tmp_path / "t").glob("*/batch_id=*"))
+    assert len(folders) <= 2 * 8 + 3
+    # What a broken write leaves is not read.
+    (tmp_path / "t" / "delta" / "batch_id=200").mkdir()
+    assert table.current(spark).count() == 8
+    assert rows(table.current(spark, before=195)) != rows(table.current(spark))
 
 
 def test_live_aggregates_over_batches(spark, arriving, tmp_path):
@@ -68,13 +141,10 @@ def test_live_aggregates_over_batches(spark, arriving, tmp_path):
     for name, (aggregate, keys) in cases.items():
         out = str(tmp_path / name)
         assert live.read_upserts(spark, f"{out}/log", keys, aggregate.schema).count() == 0
-        live.start_upserts(aggregate, f"{out}/log", f"{out}/cp", NOW).awaitTermination()
+        live.start_upserts(aggregate, f"{out}/log", f"{out}/cp", keys, NOW, compaction=2).awaitTermination()
         got = live.read_upserts(spark, f"{out}/log", keys, aggregate.schema)
         assert rows(got.select(*expected[name].columns)) == rows(expected[name])
-        written = spark.read.parquet(f"{out}/log")
-        assert written.select("batch_id").distinct().count() == 5
-        if name == "rollup":  # update mode: closed buckets are not written again
-            assert written.count() < 5 * got.count()
+        assert (tmp_path / name / "log" / "base").exists()
 
 
 def test_watermark_gives_append_rows(spark, arriving, tmp_path):

@@ -19,17 +19,15 @@ _UNIT_SECONDS = {
     "year": 365 * 86_400,
 }
 
-# The granularities a resolution may snap to (a month is 30 days, a year 365).
-_MULTIPLES = {
-    "second": (1, 2, 3, 4, 5, 10, 15, 20, 30),
-    "minute": (1, 2, 3, 4, 5, 10, 15, 20, 30),
-    "hour": (1, 2, 3, 4, 6, 8, 12),
-    "day": (1, 2, 3, 4, 5, 7, 14),
-    "month": (1, 2, 3, 4, 6),
-    "year": (1, 2, 3, 4, 5, 10),
-}
-
-BREAKPOINT_SECONDS = tuple(n * _UNIT_SECONDS[u] for u, ns in _MULTIPLES.items() for n in ns)
+# The granularities a resolution may snap to, in seconds (a month is 30 days, a year 365).
+BREAKPOINT_SECONDS = (
+    1, 2, 3, 4, 5, 10, 15, 20, 30,
+    60, 120, 180, 240, 300, 600, 900, 1200, 1800,
+    3600, 7200, 10800, 14400, 21600, 28800, 43200,
+    86400, 172800, 259200, 345600, 432000, 604800, 1209600,
+    2592000, 5184000, 7776000, 10368000, 15552000,
+    31536000, 63072000, 94608000, 126144000, 157680000, 315360000,
+)
 
 _ISO = re.compile(
     r"(?P<sign>[+-])?P(?!$)"

@@ -124,7 +124,7 @@ def new_samples_only(
 ) -> DataFrame:
     """Rows whose sample count exceeds every earlier count of the key (initially 0)."""
     marked = running_max_before(log, keys, order, F.col(samples), "_max_before", target_rows)
-    return marked.filter(F.col(samples) > F.coalesce("_max_before", F.lit(0))).select(*log.columns)
+    return marked.filter(F.col(samples) > F.greatest("_max_before", F.lit(0))).select(*log.columns)
 
 
 def downsample(log: DataFrame, run: Sequence[str], ts: str, rate_seconds: int) -> DataFrame:

@@ -59,31 +59,45 @@ def wide_cdus(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     Paths may be spelt with dots or brackets. Duplicate readings are an input error (see
     :func:`path_conflicts`); their maximum is taken.
     """
-    found = readings.withColumn("path", plain_path(F.col("path"))).filter(F.col("path").rlike(CDU_PATH))
-    unit = F.substring_index(F.substring_index("path", "computeBlock[", -1), "]", 1)
-    found = found.select(*key, unit.cast("int").alias("cdu"), F.substring_index("path", ".", -1).alias("metric"), "value")
+    unit = {
+        "cdu": lambda path: F.substring_index(F.substring_index(path, "computeBlock[", -1), "]", 1).cast("int"),
+        "metric": lambda path: F.substring_index(path, ".", -1),
+    }
+
+    def place(path: Column) -> Column:
+        return F.when(path.rlike(CDU_PATH), F.struct(*[part(path).alias(name) for name, part in unit.items()]))
+
+    found = readings.select(*key, _once(_once(F.col("path"), plain_path), place).alias("_place"), "value")
+    found = found.select(*key, "_place.cdu", "_place.metric", "value")
     cells = [
         F.max(F.when(F.col("metric") == name, F.col("value"))).alias(column)
         for name, column in CDU_METRICS.items()
     ]
-    return found.groupBy(*key, "cdu").agg(*cells)
+    # Other readings make one group per key, which goes after the aggregation: a filter before it would be
+    # pushed down to where paths are made, and make and read each of them twice.
+    return found.groupBy(*key, "cdu").agg(*cells, F.count("metric").alias("_found")).filter("_found > 0").drop("_found")
 
 
 def wide_plant(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     """One row per key with the central plant's columns from long readings, in either spelling of paths."""
-    readings = readings.withColumn("path", plain_path(F.col("path")))
+    found = readings.select(*key, _once(F.col("path"), plain_path).alias("_path"), "value")
     cells = [
-        F.max(F.when(F.col("path") == path, F.col("value"))).alias(column)
+        F.max(F.when(F.col("_path") == path, F.col("value"))).alias(column)
         for column, path in CEP_PATHS.items()
     ]
-    known = readings.filter(F.col("path").isin(sorted(set(CEP_PATHS.values()))))
-    return known.groupBy(*key).agg(*cells)
+    known = F.count_if(F.col("_path").isin(sorted(set(CEP_PATHS.values())))).alias("_found")
+    return found.groupBy(*key).agg(*cells, known).filter("_found > 0").drop("_found")
+
+
+def _once(value: Column, then) -> Column:
+    """``then(value)`` with ``value`` worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), 0)
 
 
 def plain_path(path: Column) -> Column:
     """Brackets around plain names written as dots, so that ``a['b']`` becomes ``a.b``; all else stays as it is."""
     dotted = F.regexp_replace(path, r"""\[(['"])(\w+)\1\](?=[.\[]|$)""", ".$2")
-    return F.when(F.contains(path, F.lit("']")) | F.contains(path, F.lit('"]')), F.ltrim(dotted, F.lit("."))).otherwise(path)
+    return F.when(path.contains("']") | path.contains('"]'), F.ltrim(dotted, F.lit("."))).otherwise(path)
 
 
 # What the reader of a path expects or is amid.

@@ -1,8 +1,7 @@
-"""Live aggregates over growing tables, kept as upsert logs.
+"""Live aggregates over growing tables, kept as upsert tables.
 
-An aggregate runs in update mode: every micro-batch appends just the groups it changed. Reading
-takes the newest version of each group, so a table is never rewritten and never held by the driver.
-A batch that is repeated after a failure overwrites its own folder.
+An aggregate runs in update mode: every micro-batch writes just the groups it changed. Reading takes the newest
+version of each group from one compacted base and the batches since (:mod:`tidemark.streaming.upserts`).
 """
 
 from __future__ import annotations
@@ -18,9 +17,7 @@ from pyspark.sql.types import StructType
 from tidemark.functions.times import tumbling_window
 from tidemark.operators.rollup import maxima
 from tidemark.operators.snapshots import latest_state
-from tidemark.sources.tables import read_or_empty
-
-BATCH = "batch_id"
+from tidemark.streaming.upserts import UpsertTable
 
 
 def live_rollup(
@@ -55,16 +52,14 @@ def live_progress(stream: DataFrame, run: str = "sim_id", ts: str = "ts") -> Dat
 
 
 def start_upserts(
-    aggregate: DataFrame, path: str, checkpoint: str, trigger: dict | None = None
+    aggregate: DataFrame, path: str, checkpoint: str, keys: Sequence[str], trigger: dict | None = None, compaction: int = 32
 ) -> StreamingQuery:
-    """Append the changed groups of every micro-batch below ``path``."""
-
-    def write(changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{path}/{BATCH}={batch_id}")
+    """Write the changed groups of every micro-batch into the upsert table at ``path``, by ``keys``."""
+    table = UpsertTable(path, keys, StructType(aggregate.schema.fields), compaction)
 
     return (
         aggregate.writeStream.outputMode("update")
-        .foreachBatch(write)
+        .foreachBatch(table.write)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": "2 seconds"}))
         .start()
@@ -72,7 +67,5 @@ def start_upserts(
 
 
 def read_upserts(spark: SparkSession, path: str, keys: Sequence[str], schema: StructType) -> DataFrame:
-    """Current content of an upsert log: per key the row of the newest batch."""
-    log = read_or_empty(spark, path, schema.add(BATCH, "long") if BATCH not in schema.names else schema)
-    columns = [c for c in log.columns if c not in (*keys, BATCH)]
-    return latest_state(log, keys, [BATCH], columns)
+    """Current content of an upsert table: per key the row of the newest batch."""
+    return UpsertTable(path, keys, StructType(schema.fields)).current(spark)

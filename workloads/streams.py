@@ -11,7 +11,7 @@ from tidemark.session import shared_dir
 from tidemark.sources.sinks import json_row
 from tidemark.sources.streams import parquet_stream
 from tidemark.sources.tables import read_jsonl, read_parquet
-from tidemark.streaming.changes import start_change_only
+from tidemark.streaming.changes import last_ticks, read_kept, start_appends, start_change_only, start_new_samples
 from tidemark.streaming.ingest import decode_table, rejects_of, start_ingest, start_routing
 from tidemark.streaming.live import live_latest, live_progress, live_rollup, read_upserts, start_upserts
 from workloads.logs import NEWEST
@@ -101,7 +101,7 @@ def stream_ingest(t: Tables):
 def stream_rollup(t: Tables):
     rolled = live_rollup(event_stream(t), timedelta(hours=6), ["event_type"], ["value"])
     path = shared_dir(t.spark, "rollup")
-    finish(start_upserts(rolled, f"{path}/log", f"{path}/checkpoint", ALL_THERE_IS))
+    finish(start_upserts(rolled, f"{path}/log", f"{path}/checkpoint", ["timestamp", "event_type"], ALL_THERE_IS, compaction=2))
     current = read_upserts(t.spark, f"{path}/log", ["timestamp", "event_type"], rolled.schema)
     return current.withColumn("timestamp", naive(F.col("timestamp")))
 
@@ -112,7 +112,7 @@ def stream_latest_state(t: Tables):
         event_stream(t), ["user_id"], ["ts", "event_id"], ["ts", "event_id", "event_type", "value"]
     )
     path = shared_dir(t.spark, "latest")
-    finish(start_upserts(state, f"{path}/log", f"{path}/checkpoint", ALL_THERE_IS))
+    finish(start_upserts(state, f"{path}/log", f"{path}/checkpoint", ["user_id"], ALL_THERE_IS, compaction=2))
     current = read_upserts(t.spark, f"{path}/log", ["user_id"], state.schema)
     return current.withColumn("ts", naive(F.col("ts")))
 
@@ -122,15 +122,39 @@ def stream_latest_state(t: Tables):
     QUALIFY lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type
 """)
 def stream_change_only(t: Tables):
+    """Batches bring rows older than those before; what they change is taken back."""
     path = shared_dir(t.spark, "changes")
-    stream = event_stream(t, in_order=True).select("event_id", "user_id", "ts", "event_type", "value")
-    finish(
-        start_change_only(
-            stream, path, f"{path}/checkpoint", ["user_id"], ["ts", "event_id"], F.col("event_type"),
-            trigger=ALL_THERE_IS,
-        )
-    )
-    return read_parquet(t.spark, f"{path}/changes").drop("batch_id").withColumn("ts", naive(F.col("ts")))
+    stream = event_stream(t).select("event_id", "user_id", "ts", "event_type", "value")
+    keys, order = ["user_id"], ["ts", "event_id"]
+    finish(start_change_only(stream, path, f"{path}/checkpoint", keys, order, F.col("event_type"), trigger=ALL_THERE_IS))
+    return read_kept(t.spark, path, keys, order, stream.schema).withColumn("ts", naive(F.col("ts")))
+
+
+@query("""
+    SELECT event_id, user_id, ts, samples FROM (SELECT *, event_id % 97 AS samples FROM events)
+    QUALIFY samples > coalesce(max(samples) OVER (PARTITION BY user_id ORDER BY ts, event_id
+                                                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+""")
+def stream_new_samples(t: Tables):
+    """Sample counters over out-of-order batches."""
+    path = shared_dir(t.spark, "samples")
+    stream = event_stream(t).select("event_id", "user_id", "ts", (F.col("event_id") % 97).alias("samples"))
+    keys, order = ["user_id"], ["ts", "event_id"]
+    finish(start_new_samples(stream, path, f"{path}/checkpoint", keys, order, "samples", trigger=ALL_THERE_IS))
+    return read_kept(t.spark, path, keys, order, stream.schema).withColumn("ts", naive(F.col("ts")))
+
+
+@query("""
+    SELECT user_id, ts, event_id, event_type FROM (
+        SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS next_ts, max(ts) OVER () AS newest FROM events)
+    WHERE coalesce(next_ts, newest) >= ts + INTERVAL 12 HOUR
+""")
+def stream_last_ticks(t: Tables):
+    """The last row of each run, given out by a timer when the run has been silent for half a day."""
+    path = shared_dir(t.spark, "ticks")
+    ended = last_ticks(event_stream(t, in_order=True), ["user_id"], ["ts", "event_id"], ["ts", "event_id", "event_type"], "12 hours")
+    finish(start_appends(ended, f"{path}/table", f"{path}/checkpoint", ALL_THERE_IS))
+    return read_parquet(t.spark, f"{path}/table").withColumn("ts", naive(F.col("ts")))
 
 
 @query("""
@@ -142,7 +166,7 @@ def stream_progress(t: Tables):
     """Newest tick per run from the stream, joined with the runs when queried."""
     seen = live_progress(event_stream(t), "user_id")
     path = shared_dir(t.spark, "progress")
-    finish(start_upserts(seen, f"{path}/log", f"{path}/checkpoint", ALL_THERE_IS))
+    finish(start_upserts(seen, f"{path}/log", f"{path}/checkpoint", ["user_id"], ALL_THERE_IS, compaction=2))
     current = read_upserts(t.spark, f"{path}/log", ["user_id"], seen.schema)
     runs = t.events.groupBy("user_id").agg(F.min("ts").alias("first_seen"))
     passed = F.unix_micros("last_tick") - F.unix_micros(F.col("first_seen").cast("timestamp"))
