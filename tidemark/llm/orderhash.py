@@ -1,13 +1,14 @@
 """Order MinHash fingerprints of whole texts, sensitive to edit distance.
 
 K-mers are runs of ``kmer`` words, numbered by occurrence, so that repeats count. Every numbered k-mer gets
-one hash. The hash's leading bits deal it to one of ``bins`` samplers; each sampler selects its two
-smallest, puts them back into text order and hashes the pair. Two texts agree in a sampler if they share
-its minimal k-mers in the same order. (One hash per k-mer with bins, instead of one hash per sampler,
-is what makes this affordable: texts are hashed once, not ``bins`` times.)
-
-Everything is array functions on longs: a k-mer is its hash in the upper 40 bits and its position in the
-lower 24, so sorting longs sorts k-mers and keeps their places.
+one hash, a point on a circle. Each of ``bins`` samplers has an order of its own: the way from its own
+point around the circle. It selects the two minimal k-mers, puts them back into text order and hashes
+the pair. Two texts agree in a sampler if they share its minimal k-mers in the same order. (One hash per k-mer
+and a turned order per sampler, instead of a hash per sampler, is what makes this affordable: texts are hashed
+once, not ``bins`` times. Short texts, whose samplers find their k-mers farther around, keep pairs and so order.)
+
+Everything is array functions on longs: a k-mer is its hash in the upper 34 bits and its position in the
+lower 30, so sorting longs sorts k-mers and keeps their places. No text that Spark holds has 2^30 words.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import whole_text
 
 BINS = 64
-POSITIONS = (1 << 24) - 1
+POSITION_BITS = 30
+POSITIONS = (1 << POSITION_BITS) - 1
 
 
 def _name(name: str, step: str) -> str:
@@ -26,11 +28,10 @@ def _name(name: str, step: str) -> str:
 
 
 def with_fingerprint(frame: DataFrame, text: Column, name: str, kmer: int = 2, bins: int = BINS) -> DataFrame:
-    """Adds ``name``, array<int>: for each sampler that got a k-mer, its number and the hash of its pair.
+    """Adds ``name``, array<int>: for each sampler its number and the hash of its pair.
 
     Words are separated by ASCII white space. A text of fewer than ``kmer`` words is one k-mer; a text
-    without words has no k-mers. Positions from 2^24 on count as equal, which can only weaken the order
-    of pairs there.
+    without words, or that is NULL, has no k-mers and an empty array. A text of one k-mer has that in all samplers.
     """
     words, kmers, sorted_, numbered, least = (
         _name(name, s) for s in ("words", "kmers", "sorted", "numbered", "least")
@@ -46,7 +47,7 @@ def with_fingerprint(frame: DataFrame, text: Column, name: str, kmer: int = 2, b
     w = F.col(words)
 
     def place(h: Column, i: Column) -> Column:
-        return F.shiftleft(F.shiftrightunsigned(h, 24), 24).bitwiseOR(F.least(i, F.lit(POSITIONS)).cast("long"))
+        return F.shiftleft(F.shiftrightunsigned(h, POSITION_BITS), POSITION_BITS).bitwiseOR(i.cast("long"))
 
     runs = F.transform(
         F.slice(w, 1, F.greatest(F.size(w) - (kmer - 1), F.lit(0))),
@@ -58,7 +59,7 @@ def with_fingerprint(frame: DataFrame, text: Column, name: str, kmer: int = 2, b
     s = F.col(sorted_)
 
     def key(x: Column) -> Column:
-        return F.shiftrightunsigned(x, 24)
+        return F.shiftrightunsigned(x, POSITION_BITS)
 
     def same(x: Column, i: Column, back: Column) -> Column:
         """The k-mer ``back`` places before in the sorted array is the same one."""
@@ -84,7 +85,7 @@ def with_fingerprint(frame: DataFrame, text: Column, name: str, kmer: int = 2, b
                 s,
                 lambda x, i: F.when(
                     key(F.get(s, i - 1)) == key(x),
-                    F.shiftleft(F.shiftrightunsigned(F.xxhash64(key(x), occurrence(x, i)), 24), 24).bitwiseOR(
+                    F.shiftleft(F.shiftrightunsigned(F.xxhash64(key(x), occurrence(x, i)), POSITION_BITS), POSITION_BITS).bitwiseOR(
                         x.bitwiseAND(F.lit(POSITIONS).cast("long"))
                     ),
                 ).otherwise(x),
@@ -100,34 +101,25 @@ def with_fingerprint(frame: DataFrame, text: Column, name: str, kmer: int = 2, b
     frame = frame.withColumn(
         least, F.filter(n, lambda x, i: (i < 2) | (sampler(F.get(n, i - 2)) != sampler(x)))
     )
+    # From a sampler's point on, the next two k-mers are among these: its own, or the first ones of later samplers.
     m = F.col(least)
-    heads = F.filter(
-        F.transform(
-            m,
-            lambda x, i: F.when(
-                (i == 0) | (sampler(F.get(m, i - 1)) != sampler(x)),
-                F.struct(
-                    (sampler(x) + bins // 2).cast("int").alias("bin"),
-                    x.alias("a"),
-                    F.when(sampler(F.get(m, i + 1)) == sampler(x), F.get(m, i + 1)).alias("b"),
-                ),
-            ),
-        ),
-        lambda h: h.isNotNull(),
-    )
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((2 * bins).bit_length()))])
 
-    def pair(h: Column) -> Column:
-        at = F.lit(POSITIONS).cast("long")
-        first, second = key(h["a"]), key(h["b"])
-        forward = h["a"].bitwiseAND(at) <= h["b"].bitwiseAND(at)
-        mixed = (
-            F.when(h["b"].isNull(), F.xxhash64(first))
-            .when(forward, F.xxhash64(first, second))
-            .otherwise(F.xxhash64(second, first))
+    def pair(number: Column) -> Column:
+        before = F.aggregate(
+            steps, F.lit(0), lambda at, k: F.when(sampler(F.get(m, at + k - 1)) < number - bins // 2, at + k).otherwise(at)
         )
-        return F.pmod(mixed, F.lit(65536)).cast("int")
+        around = F.transform(F.array(before, before + 1), lambda at: F.get(m, at % F.size(m)))
+        return F.transform(F.array(around), lambda ab: hashed_pair(number, F.get(ab, 0), F.get(ab, 1)))[0]
+
+    def hashed_pair(number: Column, a: Column, b: Column) -> Column:
+        at = F.lit(POSITIONS).cast("long")
+        forward = a.bitwiseAND(at) <= b.bitwiseAND(at)
+        mixed = F.when(forward, F.xxhash64(key(a), key(b))).otherwise(F.xxhash64(key(b), key(a)))
+        return number * 65536 + F.pmod(mixed, F.lit(65536)).cast("int")
 
-    frame = frame.withColumn(name, F.transform(heads, lambda h: h["bin"] * 65536 + pair(h)))
+    every = F.array(*map(F.lit, range(bins)))
+    frame = frame.withColumn(name, F.when(F.size(m) > 0, F.transform(every, pair)).otherwise(F.array().cast("array<int>")))
     return frame.drop(words, kmers, sorted_, numbered, least)
 
 

@@ -144,7 +144,9 @@ def scan(
     # Combined map-side: however many copies, a task sends each blob once.
     unseen = versions.select("blob", "text").dropDuplicates(["blob"]).join(known.select("blob"), "blob", "left_anti")
     _append(unseen.select("blob", "text"), rules, folder)
+    # Scans at the same time may have added the same blobs, with the same findings.
     found = spark.read.schema(FINDINGS).parquet(f"{folder}/*").filter(F.size("spans") > 0)
+    found = found.groupBy("blob").agg(F.first("spans").alias("spans"))
     none = F.array().cast(f"array<{SPAN}>")
     return (
         versions.select("path", "blob")
@@ -166,8 +168,11 @@ def _append(blobs: DataFrame, rules: tuple[Rule, ...], folder: str) -> None:
     rows = spark.read.schema("blob string, text string").parquet(looked)
     none = F.array().cast(f"array<{SPAN}>")
     found = scan_blobs(rows.filter("text IS NOT NULL"), rules)
+    # What another scan has added meanwhile is left out again.
+    since = read_or_empty(spark, f"{folder}/*", FINDINGS).select("blob")
     (
         rows.select("blob")
+        .join(since, "blob", "left_anti")
         .join(found, "blob", "left")
         .select("blob", F.coalesce("spans", none).alias("spans"))
         .write.option("compression", "zstd")

@@ -14,6 +14,7 @@ Only counts reach the driver: blocks x shards and shards x ranges numbers.
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -43,11 +44,32 @@ def communication_matrix(block_sizes: list[int], shard_sizes: list[int], seed: i
 
 
 def _split(draw: np.random.Generator, good: int, bad: int, taken: int) -> int:
+    """How many of ``taken`` rows, drawn without replacement, are among the ``good`` ones."""
     if not good or not taken:
         return 0
-    if good + bad >= 10**9:  # the library's bound; the binomial differs by less than its sampling error there
-        return int(min(good, max(taken - bad, draw.binomial(taken, good / (good + bad)))))
-    return int(draw.hypergeometric(good, bad, taken))
+    if good + bad < 10**9:  # the library's bound
+        return int(draw.hypergeometric(good, bad, taken))
+    return _large_split(draw, good, bad, taken)
+
+
+def _large_split(draw: np.random.Generator, good: int, bad: int, taken: int) -> int:
+    """The same law by inversion, for any size.
+
+    Neighbouring probabilities have a simple ratio, so relative probabilities follow from the mode outwards, in
+    logarithms. 14 standard deviations to either side hold all but 1e-40 of the mass; that many numbers are in
+    memory, some millions at 10^12 rows.
+    """
+    total = good + bad
+    mode = (good + 1) * (taken + 1) // (total + 2)
+    deviation = math.sqrt(taken * (good / total) * (bad / total) * ((total - taken) / max(1, total - 1)))
+    reach = int(14 * deviation) + 50
+    least, most = max(0, taken - bad, mode - reach), min(good, taken, mode + reach)
+    k = np.arange(least, most, dtype=np.float64)
+    ratios = np.log(good - k) + np.log(taken - k) - np.log(k + 1) - np.log(bad - taken + k + 1)
+    weights = np.concatenate([[0.0], np.cumsum(ratios)])
+    weights = np.exp(weights - weights.max())
+    sums = np.cumsum(weights)
+    return least + int(np.searchsorted(sums, draw.random() * sums[-1], side="right"))
 
 
 def shard_rows(
