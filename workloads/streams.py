@@ -101,7 +101,7 @@ def stream_ingest(t: Tables):
 def stream_rollup(t: Tables):
     rolled = live_rollup(event_stream(t), timedelta(hours=6), ["event_type"], ["value"])
     path = shared_dir(t.spark, "rollup")
-    finish(start_upserts(rolled, f"{path}/log", f"{path}/checkpoint", ["timestamp", "event_type"], ALL_THERE_IS, compaction=2))
+    finish(start_upserts(rolled, f"{path}/log", f"{path}/checkpoint", ["timestamp", "event_type"], ALL_THERE_IS, compaction=4))
     current = read_upserts(t.spark, f"{path}/log", ["timestamp", "event_type"], rolled.schema)
     return current.withColumn("timestamp", naive(F.col("timestamp")))
 
