@@ -82,3 +82,32 @@ def test_calibration():
     assert vectors.tables_needed(0, 0.93) == 1
     assert vectors.tables_needed(4, 0.93) == 11
     assert 0 < vectors.calibrated_count(32) < 32
+
+
+def test_window_collisions_are_those_of_all_pairs():
+    draw = np.random.default_rng(8)
+    a, b = draw.normal(size=(37, 9)), draw.normal(size=(23, 9))
+    a[5] = a[6] = b[3]
+    a[:, 4] = 0.25
+    near = (np.abs(a[:, None, :] - b[None, :, :]) <= 0.4).sum(axis=2)
+    assert (vectors.collision_counts(a, b, 0.4) == near).all()
+    same = np.triu((np.abs(a[:, None, :] - a[None, :, :]) <= 0.4).sum(axis=2), 1)
+    assert (vectors.collision_counts(a, None, 0.4) == same).all()
+    assert vectors.collision_counts(a[:0], b, 0.4).shape == (0, 23)
+    assert vectors.collision_counts(a[:1], None, 0.4).tolist() == [[0]]
+
+
+def test_cells_do_not_depend_on_the_rows_beside():
+    draw = np.random.default_rng(9)
+    rows = draw.normal(size=(50, 64))
+    signs = vectors._signs(1, 2, 7, 64)
+    whole = vectors._cell_numbers(rows, signs)
+    assert [vectors._cell_numbers(rows[k : k + 1], signs)[0] for k in range(50)] == whole.tolist()
+    assert vectors._cell_numbers(rows, signs[:, :0]).tolist() == [0] * 50
+
+
+def test_links_of_many_tables_count_once(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL_ROWS", 4)
+    rows = data(5, 60, 6, 0.2)
+    found, wanted = check(spark, rows)
+    assert wanted > 500 and 0.99 * wanted <= found <= wanted

@@ -50,20 +50,32 @@ def calibrated_count(projections: int, miss: float = MISS, width: float = WIDTH)
     return projections
 
 
-def collision_counts(a: np.ndarray, b: np.ndarray, half_width: float) -> np.ndarray:
-    """How many columns of projections each row of ``a`` shares a window with each row of ``b`` in."""
-    counts = np.zeros((len(a), len(b)), np.int16)
-    rows = np.arange(len(a))
+def collision_counts(a: np.ndarray, b: np.ndarray | None, half_width: float) -> np.ndarray:
+    """How many columns of projections each row of ``a`` shares a window with each row of ``b`` in.
+
+    Each column of ``b`` is sorted and each row of ``a`` opens its window there; only the pairs inside windows are
+    made, and each adds one to its counter. Without ``b`` the rows of ``a`` meet each other: a window then reaches
+    onward from its row only, and a pair is counted once, above the diagonal.
+    """
+    queries, line_of = len(a), a if b is None else b
+    counts = np.zeros(queries * len(line_of), np.int16)
     for j in range(a.shape[1]):
-        order = np.argsort(b[:, j], kind="stable")
-        line = b[order, j]
-        marks = np.zeros((len(a), len(b) + 1), np.int8)
-        marks[rows, np.searchsorted(line, a[:, j] - half_width, "left")] += 1
-        marks[rows, np.searchsorted(line, a[:, j] + half_width, "right")] -= 1
-        rank = np.empty(len(b), np.int64)
-        rank[order] = np.arange(len(b))
-        counts += np.cumsum(marks, axis=1, dtype=np.int8)[:, rank]
-    return counts
+        order = np.argsort(line_of[:, j], kind="stable")
+        line = line_of[order, j]
+        if b is None:
+            asking, first = order, np.arange(1, queries + 1)
+        else:
+            asking, first = np.arange(queries), np.searchsorted(line, a[:, j] - half_width, "left")
+        last = np.maximum(first, np.searchsorted(line, a[asking, j] + half_width, "right"))
+        sizes = last - first
+        begins = np.cumsum(sizes) - sizes
+        met = order[np.arange(sizes.sum()) + np.repeat(first - begins, sizes)]
+        asked = np.repeat(asking, sizes)
+        if b is None:
+            asked, met = np.minimum(asked, met), np.maximum(asked, met)
+        # A pair stands in one window of a column at most, so no counter is named twice here.
+        counts[asked * len(line_of) + met] += 1
+    return counts.reshape(queries, len(line_of))
 
 
 def _roots(linked: np.ndarray, numbers: np.ndarray) -> np.ndarray:
@@ -77,9 +89,22 @@ def _roots(linked: np.ndarray, numbers: np.ndarray) -> np.ndarray:
         roots = spread
 
 
+def _signs(seed: int, table: int, bits: int, dims: int) -> np.ndarray:
+    """The directions whose signs name the cells of a table."""
+    return np.random.default_rng([seed, table, bits, dims]).normal(size=(dims, bits))
+
+
+def _cell_numbers(vectors: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    # Added up component by component, so that a vector's cell is the same to the last bit whatever rows are beside it.
+    heights = np.zeros((len(vectors), signs.shape[1]))
+    for component, direction in zip(vectors.T, signs):
+        heights += component[:, None] * direction
+    return (heights > 0) @ (1 << np.arange(signs.shape[1], dtype=np.int64))
+
+
 def _cells(classes: DataFrame, threshold: float, seed: int) -> DataFrame:
-    """One row per class and table: (``number``, ``copies``, ``vector``, ``label``, ``dims``, ``table``,
-    ``cell``, ``cells``: the class's cells in all tables)."""
+    """One row per class and table: (``number``, ``copies``, ``vector``, ``label``, ``dims``, ``bits``, ``table``,
+    ``cell``)."""
     sizes = classes.groupBy("label", "dims").agg(F.count("*").alias("of"))
     rows = classes.join(sizes, ["label", "dims"]).select("number", "copies", "vector", "label", "dims", "of")
 
@@ -88,38 +113,38 @@ def _cells(classes: DataFrame, threshold: float, seed: int) -> DataFrame:
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             cells: list = [None] * batch.num_rows
+            bits_of = [sign_bits(of) for of in batch.column(5).to_pylist()]
             groups: dict[tuple[int, int], list[int]] = {}
-            for k, (dims, of) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
-                groups.setdefault((dims, sign_bits(of)), []).append(k)
+            for k, key in enumerate(zip(batch.column(4).to_pylist(), bits_of)):
+                groups.setdefault(key, []).append(k)
             vectors = batch.column(2).to_pylist()
             for (dims, bits), members in groups.items():
                 block = np.stack([np.frombuffer(vectors[k], "<f8") for k in members])
                 found = []
                 for table in range(tables_needed(bits, threshold)):
                     if (dims, bits, table) not in signs:
-                        draw = np.random.default_rng([seed, table, bits, dims])
-                        signs[dims, bits, table] = draw.normal(size=(dims, bits))
-                    positive = block @ signs[dims, bits, table] > 0
-                    found.append(positive @ (1 << np.arange(bits, dtype=np.int64)))
+                        signs[dims, bits, table] = _signs(seed, table, bits, dims)
+                    found.append(_cell_numbers(block, signs[dims, bits, table]))
                 for row, k in zip(np.stack(found, axis=1), members):
                     cells[k] = row
             return pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array(cells, pa.list_(pa.int64()))],
-                ["number", "copies", "vector", "label", "dims", "cells"],
+                [*batch.columns[:5], pa.array(bits_of, pa.int32()), pa.array(cells, pa.list_(pa.int64()))],
+                ["number", "copies", "vector", "label", "dims", "bits", "cells"],
             )
 
         return step
 
     label = rows.schema["label"].dataType.simpleString()
     made = in_batches(
-        rows, f"number bigint, copies bigint, vector binary, label {label}, dims int, cells array<bigint>", work
+        rows, f"number bigint, copies bigint, vector binary, label {label}, dims int, bits int, cells array<bigint>", work
     )
-    return made.select("*", F.posexplode("cells").alias("table", "cell"))
+    kept = [c for c in made.columns if c != "cells"]
+    return made.select(*kept, F.posexplode("cells").alias("table", "cell"))
 
 
 def _compare(cells: DataFrame, threshold: float, projections: int, seed: int) -> DataFrame:
     """(``number``, ``links``, ``root``) from every cell; cells that are too large go in pairs of blocks."""
-    key = ["label", "dims", "table", "cell"]
+    key = ["label", "dims", "bits", "table", "cell"]
     blocks = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     sizes = cells.groupBy(*key).agg(F.count("*").alias("rows")).filter("rows > 1").withColumn("blocks", blocks)
     own = F.pmod(F.xxhash64("number"), F.col("blocks")).cast("int")
@@ -134,26 +159,27 @@ def _compare(cells: DataFrame, threshold: float, projections: int, seed: int) ->
     needed = calibrated_count(projections)
 
     def group(keys: tuple[pa.Scalar, ...], data: pa.Table) -> pa.Table:
-        dims, low, high = keys[1].as_py(), keys[4].as_py(), keys[5].as_py()
-        table = keys[2].as_py()
+        dims, bits, table, _, low, high = (k.as_py() for k in keys[1:])
         vectors = np.frombuffer(b"".join(data.column("vector").to_pylist()), "<f8").reshape(-1, dims)
         numbers, copies = data.column("number").to_numpy(), data.column("copies").to_numpy()
         own_block = data.column("own").to_numpy()
         lines = vectors @ np.random.default_rng([seed + 1, dims]).normal(size=(dims, projections))
         left = np.flatnonzero(own_block == low)
         right = np.flatnonzero(own_block == high)
-        counts = collision_counts(lines[left], lines[right], WIDTH * distance)
+        counts = collision_counts(lines[left], None if low == high else lines[right], WIDTH * distance)
         x, y = np.nonzero(counts >= needed)
         x, y = left[x], right[y]
-        if low == high:
-            x, y = x[x < y], y[x < y]
         close = np.einsum("ij,ij->i", vectors[x], vectors[y]) >= threshold
         x, y = x[close], y[close]
-        # The pair has been seen if the two meet in an earlier table.
-        if table and len(x):
-            seen = np.array(data.column("cells").to_pylist(), np.int64)[:, :table]
-            fresh = ~(seen[x] == seen[y]).any(axis=1)
+        # The pair has been seen if the two meet in an earlier table; cells are worked out again, not carried.
+        for earlier in range(table if len(x) else 0):
+            rows = np.unique(np.concatenate([x, y]))
+            cell = np.zeros(len(numbers), np.int64)
+            cell[rows] = _cell_numbers(vectors[rows], _signs(seed, earlier, bits, dims))
+            fresh = cell[x] != cell[y]
             x, y = x[fresh], y[fresh]
+            if not len(x):
+                break
         linked = np.zeros((len(numbers), len(numbers)), bool)
         linked[x, y] = linked[y, x] = True
         with_links = np.flatnonzero(linked.any(axis=1))
@@ -163,10 +189,10 @@ def _compare(cells: DataFrame, threshold: float, projections: int, seed: int) ->
         )
 
     ship(cells.sparkSession)
-    columns = ["number", "copies", "vector", "cells", "own"]
+    columns = ["number", "copies", "vector", "own"]
     return (
-        paired.select("label", "dims", "table", "cell", "low", "high", *columns)
-        .groupBy("label", "dims", "table", "cell", "low", "high")
+        paired.select(*key, "low", "high", *columns)
+        .groupBy(*key, "low", "high")
         .applyInArrow(group, "number bigint, links bigint, root bigint")
     )
 
