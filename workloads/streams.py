@@ -11,9 +11,11 @@ from tidemark.session import shared_dir
 from tidemark.sources.sinks import json_row
 from tidemark.sources.streams import parquet_stream
 from tidemark.sources.tables import read_jsonl, read_parquet
+from tidemark.sources.topics import append_topics, topic_rows
 from tidemark.streaming.changes import last_ticks, read_kept, start_appends, start_change_only, start_new_samples
 from tidemark.streaming.ingest import decode_table, rejects_of, start_ingest, start_routing
 from tidemark.streaming.live import live_latest, live_progress, live_rollup, read_upserts, start_upserts
+from tidemark.streaming.ticks import REJECTS, TickStore, start_ticks
 from workloads.logs import NEWEST
 from workloads.registry import Tables, query
 
@@ -187,3 +189,42 @@ def stream_route_by_type(t: Tables):
     path = shared_dir(t.spark, "routes")
     finish(start_routing(rows, f"{path}/topics", f"{path}/checkpoint", ALL_THERE_IS))
     return read_jsonl(t.spark, f"{path}/topics", "event_id bigint, user_id bigint, value double, topic string")
+
+
+@query("""
+    SELECT 'e' || event_id AS event_key,
+           CASE WHEN event_id % 7 = 6 THEN 'unknown topic' WHEN event_id % 20 = 5 THEN 'not an object'
+                ELSE ['runs', 'jobs', 'cdus', 'cep', 'job_power', 'system'][event_id % 7 + 1] END AS arrived_as,
+           CASE WHEN event_id % 7 <> 6 AND event_id % 20 <> 5 THEN ts END AS ts,
+           CASE WHEN event_id % 7 <> 6 AND event_id % 20 <> 5 THEN date_trunc('week', ts)::DATE END AS seg
+    FROM events
+""")
+def stream_six_tables(t: Tables):
+    """Six topics and a stray one, read from a topic log by one query that is started three times; some rows are
+    spoilt."""
+    tables = ["runs", "jobs", "cdus", "cep", "job_power", "system"]
+    time = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")
+    key = F.concat(F.lit("e"), F.col("event_id").cast("string"))
+    row = json_row(time.alias("timestamp"), time.alias("time_snapshot"), key.alias("id"), key.alias("sim_id"))
+    topics = F.array(*[F.lit(f"topic-{name}") for name in [*tables, "stray"]])
+    rows = t.events.select(
+        "event_id",
+        F.get(topics, (F.col("event_id") % 7).cast("int")).alias("topic"),
+        F.when(F.col("event_id") % 20 == 5, F.concat(F.lit("["), row)).otherwise(row).alias("value"),
+    )
+    path = shared_dir(t.spark, "six")
+    store = TickStore(f"{path}/store", {name: f"topic-{name}" for name in tables}, merge=2)
+    for number in range(3):
+        append_topics(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(3)) == number), f"{path}/topics", number)
+        finish(start_ticks(topic_rows(t.spark, f"{path}/topics", start="earliest"), store, ALL_THERE_IS))
+    read = store.tables(t.spark)
+    lost = read.pop(REJECTS).select(
+        F.regexp_extract("value", "e[0-9]+", 0).alias("event_key"), F.col("reason").alias("arrived_as"),
+        F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast("date").alias("seg"),
+    )
+    for name, rows in read.items():
+        own = rows.select(
+            F.col("id" if name == "runs" else "sim_id").alias("event_key"), F.lit(name).alias("arrived_as"), "ts", "seg"
+        )
+        lost = lost.unionByName(own)
+    return lost.withColumn("ts", naive(F.col("ts")))
