@@ -1,3 +1,4 @@
+import gzip
 from datetime import datetime, timezone
 
 import pytest
@@ -63,3 +64,19 @@ def test_lists_come_as_arrays_or_text(spark):
 def test_catalogues():
     assert len(h.FUGAKU.columns) == 44 and len(h.MARCONI100.columns) == 34
     assert h.MARCONI100.int_lists[0] == "nodes" and h.FUGAKU.times[0] == "adt"
+
+
+def test_headers_of_files_are_their_own(spark, tmp_path):
+    folder = tmp_path / "with space"
+    folder.mkdir()
+    (folder / "a.csv").write_text("x,y\n1,2\n")
+    (folder / "b.csv").write_text("y,x\n3,4\n")
+    (folder / "c.csv").write_text("x\r\n5\r\n")
+    (folder / "d.csv").write_text("")
+    (folder / "e.csv").write_text("y,x")
+    with gzip.open(folder / "f.csv.gz", "wt") as zipped:
+        zipped.write("x,y\n6,7\n")
+    same_rows(h.read_csv_text(spark, str(folder)), [("1", "2"), ("4", "3"), ("5", None), ("6", "7")], "x", "y")
+    # Only beginnings are read: a line that never ends is not met, as it comes second.
+    (tmp_path / "long.csv").write_text("x\n" + "1" * 3_000_000)
+    assert [r.header for r in h._first_lines(spark, str(tmp_path / "long.csv")).collect()] == ["x"]

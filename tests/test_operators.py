@@ -1,3 +1,4 @@
+import json
 import random
 from collections import defaultdict
 from datetime import datetime, timedelta, timezone
@@ -339,3 +340,37 @@ def test_plain_spelling(spark):
     cases = {"a.b": "a.b", "['a']['b'][1][\"c\"]": "a.b[1].c", "['a']b": "['a']b", "a['b c'].d": "a['b c'].d", "a['b\"]": "a['b\"]"}
     df = spark.createDataFrame([(p,) for p in cases], "path string")
     assert {r.path: r.plain for r in df.select("path", reshape.plain_path(F.col("path")).alias("plain")).collect()} == cases
+
+
+@pytest.mark.parametrize("readings, expected", [
+    ({"a": 1.5, "b.c": 2.0, "b['d']": None, 'b["e"].f': 4.0, "b[10]": 5.0, "b[9].x": 6.0, "z.z.z.z": 7.0, "z.z.y": 8.0},
+     {"a": 1.5, "b": {"c": 2.0, "d": None, "e": {"f": 4.0}, "[10]": 5.0, "[9]": {"x": 6.0}}, "z": {"z": {"z": {"z": 7.0}, "y": 8.0}}}),
+    ({"q['\"\\ é']": 1.0}, {"q": {'"\\ é': 1.0}}),
+    ({"a[1]": 1.0, "a['1']": 2.0}, {"a": {"[1]": 1.0, "1": 2.0}}),
+    ({"a.b": 1.0, "a['b']": 2.0, "c": 1.0}, 1),
+    ({"a": 1.0, "a.b": 2.0, "a.c": 3.0, "b..": 1.0}, 2),
+    ({"": 1.0, "x": 2.0}, 1),
+])
+def test_nested_rows(spark, readings, expected):
+    df = spark.createDataFrame([(1, p, v) for p, v in readings.items()], "r int, path string, value double")
+    row = reshape.nested_rows(df, ["r"]).select(F.to_json("nested").alias("n"), "conflicts").first()
+    if isinstance(expected, int):
+        assert row.n is None and row.conflicts >= 1
+        wrong = reshape.path_conflicts(df, ["r"]).count()
+        assert wrong == expected
+    else:
+        assert json.loads(row.n) == expected and row.conflicts == 0
+
+
+def test_nested_values_and_odd_rows(spark):
+    df = spark.createDataFrame(
+        [(1, "a['it''s']", 1.0), (1, "a[2].b", 3.0), (1, "a.t", None), (None, "a", 2.0), (2, None, 1.0), (2, "a", 1.0)],
+        "r int, path string, value double",
+    )
+    got = reshape.nested_rows(df.replace("a['it''s']", 'a["it\'s"]', "path"), ["r"])
+    same_rows(
+        got.select("r", "conflicts", reshape.nested_value("nested", ["a", "it's"]), reshape.nested_value("nested", ["a", 2, "b"]),
+                   reshape.nested_value("nested", ["a"]), reshape.nested_value("nested", ["a", "t"])),
+        [(1, 0, 1.0, 3.0, None, None), (None, 0, None, None, 2.0, None), (2, 1, None, None, None, None)],
+    )
+    assert reshape.nested_rows(df.limit(0), ["r"]).count() == 0

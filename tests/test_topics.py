@@ -34,7 +34,7 @@ def drain(stream, tmp_path, name):
 
 
 def test_earliest_latest_and_restart(spark, tmp_path):
-    log = str(tmp_path / "log")
+    log = f"file:{tmp_path}/a log 100%"
     write(spark, log, 3, ("a", "1"), ("b", "2"), (None, "3"), ("x/y z", "4"))
     assert drain(topic_rows(spark, log), tmp_path, "late") == []
     first = [("a", "1"), ("b", "2"), ("x/y z", "4"), (None, "3")]

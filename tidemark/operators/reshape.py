@@ -185,6 +185,73 @@ def path_conflicts(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     )
 
 
+def nested_rows(readings: DataFrame, key: Sequence[str]) -> DataFrame:
+    """One row per key: ``nested``, a VARIANT with every reading at its path, and ``conflicts``.
+
+    Names are object keys; so are indexes, with their brackets, which keeps ``a[1]`` and ``a['1']`` apart (read with
+    :func:`nested_value`). Values keep their kind; NULL stays, NaN and infinities are texts. ``conflicts`` counts
+    readings that are no path, for a place that has one already, or below such a place; a record that has any
+    has no ``nested`` (:func:`path_conflicts` tells which). Each distinct path is read once.
+
+    Sorted by parts, the readings of an object lie together: each one closes what the one before has open beyond
+    their common parts, and opens its own. A row holds all readings of its record, as its result does.
+    """
+    paths = readings.select("path").distinct().withColumn("_parts", path_parts(F.col("path")))
+
+    def json(value: Column) -> Column:
+        listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
+    leaves = readings.join(paths, "path", "left").select(
+        *key, "_parts", json(F.col("value")).alias("_text")
+    )
+    legal = F.col("_parts").isNotNull()
+    records = leaves.groupBy(*key).agg(
+        F.sort_array(F.collect_list(F.when(legal, F.struct("_parts", "_text")))).alias("_leaves"),
+        F.count_if(~legal).alias("_broken"),
+    )
+
+    def parts_at(i: Column) -> Column:
+        before = F.get(F.col("_leaves"), i)["_parts"]
+        return F.coalesce(before, F.array().cast("array<string>"))
+
+    def differs(before: Column, own: Column) -> Column:
+        """The first part in which two leaves differ, from 1; 0 if in none."""
+        return F.array_position(F.zip_with(before, own, lambda a, b: a.eqNullSafe(b)), False).cast("int")
+
+    def clashes(leaf: Column, i: Column) -> Column:
+        before = parts_at(i - 1)
+        at = differs(before, leaf["_parts"])
+        return (i > 0) & ((at == 0) | (at > F.size(before)))
+
+    def written(leaf: Column, i: Column) -> Column:
+        before, own = parts_at(i - 1), leaf["_parts"]
+        shared = differs(before, own) - 1
+        opened = F.slice(own, shared + 1, F.size(own) - 1 - shared)
+        return F.concat(
+            F.when(i > 0, F.concat(F.repeat(F.lit("}"), F.size(before) - 1 - shared), F.lit(","))).otherwise(""),
+            F.array_join(F.transform(opened, lambda name: F.concat(json(name), F.lit(":{"))), ""),
+            json(F.element_at(own, -1)), F.lit(":"), leaf["_text"],
+        )
+
+    clashing = F.size(F.filter(F.transform("_leaves", clashes), lambda clash: clash))
+    counted = records.select(*key, "_leaves", (clashing + F.col("_broken")).cast("long").alias("conflicts"))
+    last = F.size(parts_at(F.size("_leaves") - 1))
+    text = F.concat(F.lit("{"), F.array_join(F.transform("_leaves", written), ""), F.repeat(F.lit("}"), last))
+    return counted.select(*key, F.when(F.col("conflicts") == 0, F.parse_json(text)).alias("nested"), "conflicts")
+
+
+def nested_value(nested: str, parts: Sequence[str | int], kind: str = "double") -> Column:
+    """The value at a place of ``nested``, as ``kind``; NULL if there is none or it is of another kind. Whole numbers
+    among the parts are indexes."""
+    steps = []
+    for part in parts:
+        name = f"[{part}]" if isinstance(part, int) else part
+        quote = '"' if "'" in name else "'"
+        steps.append(f"[{quote}{name}{quote}]")
+    return F.try_variant_get(F.col(nested), "$" + "".join(steps), kind)
+
+
 def merge_sides(key: Sequence[str], *sides: DataFrame) -> DataFrame:
     """Full outer merge of sides with one row per key each and different measures.
 

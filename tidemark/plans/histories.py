@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
-from urllib.parse import unquote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ from tidemark.operators.spans import Segment
 from tidemark.plans.replay import replay_jobs
 from tidemark.sources.sinks import SEGMENT, write_segmented
 from tidemark.sources.tables import assign_event_time
+from tidemark.sources.topics import open_place
 
 
 @dataclass(frozen=True)
@@ -113,28 +115,39 @@ LASSEN_STEPS = History(
 )
 
 
+def _first_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path`` and ``header`` of the files that have a line; of each file only its beginning is read."""
+
+    def step(batches):
+        # Made here, so that workers need not be able to import this package.
+        for batch in batches:
+            found, headers = [], []
+            for file in batch.column(0).to_pylist():
+                system, place = open_place(file)
+                with system.open_input_stream(place, buffer_size=64 << 10) as stream:
+                    line = io.BufferedReader(stream).readline()
+                if line:
+                    found.append(file)
+                    headers.append(line.rstrip(b"\r\n").decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(headers, pa.string())], ["path", "header"])
+
+    # Without the column of contents, files are listed and not opened.
+    listed = spark.read.format("binaryFile").load(path).select("path")
+    return listed.mapInArrow(step, "path string, header string")
+
+
 def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
     """CSV with all columns as text, each file's named by its own header; a nameless one is ``column_1``.
 
     Files may order their columns differently or lack some, which are NULL there. Files with the same
-    header are read together; only one header line per file is gathered.
+    header are read together; to find them only the first line of each file is read.
     """
-    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
-    # The first line of the first split of a file.
-    headers = (
-        lines.filter("file_block_start = 0")
-        .withColumn("at", F.monotonically_increasing_id())
-        .groupBy("file_path")
-        .agg(F.min_by("value", "at").alias("header"))
-    )
-    files: dict[str, list[str]] = {}
-    for row in headers.collect():
-        files.setdefault(row.header, []).append(unquote(row.file_path))
-    if not files:
+    groups = _first_lines(spark, path).groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header").collect()
+    if not groups:
         return spark.read.option("header", "true").csv(path)
     parts = [
-        spark.read.option("header", "true").csv(sorted(group)).withColumnRenamed("_c0", "column_1")
-        for _, group in sorted(files.items())
+        spark.read.option("header", "true").csv(sorted(group.paths)).withColumnRenamed("_c0", "column_1")
+        for group in groups
     ]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 

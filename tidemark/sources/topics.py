@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Iterator
-from urllib.parse import unquote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as files
@@ -37,9 +37,12 @@ class Piece(InputPartition):
         super().__init__((topic, file, begin, end))
 
 
-def _open(path: str) -> tuple[files.FileSystem, str]:
-    # Hadoop writes file:/x where a URI has file:///x.
-    return files.FileSystem.from_uri(re.sub(r"^file:/(?!/)", "file:///", path))
+def open_place(path: str) -> tuple[files.FileSystem, str]:
+    """The file system of a path as Hadoop spells it, and the path in it."""
+    if not re.match(r"[a-zA-Z][a-zA-Z0-9+.-]+:/", path):
+        return files.FileSystem.from_uri(path)
+    # Hadoop escapes nothing, and writes file:/x where a URI has file:///x.
+    return files.FileSystem.from_uri(quote(re.sub(r"^file:/(?!/)", "file:///", path), safe="/:@"))
 
 
 class TopicReader(DataSourceStreamReader):
@@ -52,13 +55,13 @@ class TopicReader(DataSourceStreamReader):
         self.next: int | None = None
 
     def _numbers(self) -> list[int]:
-        system, root = _open(self.path)
+        system, root = open_place(self.path)
         found = system.get_file_info(files.FileSelector(root, allow_not_found=True))
         return sorted(int(m[1]) for f in found if (m := re.fullmatch(r"batch_id=(\d+)", f.base_name)))
 
     def _end(self) -> int:
         """The number after the last batch that counts; marks before the last answer are not looked at again."""
-        system, root = _open(self.path)
+        system, root = open_place(self.path)
         if self.next is None:
             self.next = next(iter(self._numbers()), 0)
         while system.get_file_info(f"{root}/batch_id={self.next}/_SUCCESS").type == files.FileType.File:
@@ -76,7 +79,7 @@ class TopicReader(DataSourceStreamReader):
         return {"next": self._end()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        system, root = _open(self.path)
+        system, root = open_place(self.path)
         pieces: list[InputPartition] = []
         for number in range(start["next"], end["next"]):
             # A batch that is gone is an error here, as rows would be lost in silence.
@@ -92,7 +95,7 @@ class TopicReader(DataSourceStreamReader):
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         topic, file, begin, end = partition.value
-        system, _ = _open(self.path)
+        system, _ = open_place(self.path)
         with system.open_input_file(file) as source:
             for lines in lines_between(source, begin, end):
                 values = pa.array(lines, pa.binary()).cast(pa.string())

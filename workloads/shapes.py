@@ -67,6 +67,31 @@ def flat_keys_to_plant(t: Tables):
     return reshape.wide_plant(readings(t), ["record"])
 
 
+#: Places read back from nested rows.
+_NESTED = {
+    "pue": ["pue"],
+    "return_temp": ["simulator", 1, "datacenter", 1, "computeBlock", 1, "cdu", 1, "summary", "T_sec_r_C"],
+    "fan_power": ["simulator", 1, "centralEnergyPlant", 1, "coolingTowerLoop", 1, "summary", "W_flow_CT_kW"],
+}
+
+
+@query(f"""
+    SELECT record, count(*) - count(DISTINCT path) AS conflicts,
+           CASE WHEN count(*) = count(DISTINCT path) THEN max(value) FILTER (WHERE path = 'pue') END AS pue,
+           CASE WHEN count(*) = count(DISTINCT path) THEN max(value) FILTER (
+               WHERE path = 'simulator[1].datacenter[1].computeBlock[1].cdu[1].summary.T_sec_r_C') END AS return_temp,
+           CASE WHEN count(*) = count(DISTINCT path) THEN max(value) FILTER (
+               WHERE path = 'simulator[1].centralEnergyPlant[1].coolingTowerLoop[1].summary.W_flow_CT_kW') END AS fan_power
+    FROM ({READINGS_SQL}) GROUP BY 1
+""")
+def flat_keys_nested(t: Tables):
+    """Every reading at its path, whatever the spelling; some places read back."""
+    rows = reshape.nested_rows(readings(t), ["record"])
+    return rows.select(
+        "record", "conflicts", *[reshape.nested_value("nested", parts).alias(name) for name, parts in _NESTED.items()]
+    )
+
+
 @query("""
     SELECT record, replace(place, '.', '/') AS place, 'duplicate' AS problem FROM (
         SELECT l_orderkey AS record, 'a.' || l_linenumber || '.x' AS place FROM lineitem WHERE l_linenumber < 4)
