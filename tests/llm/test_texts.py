@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -255,6 +256,42 @@ def test_near_duplicates_of_odd_rows(odd_docs, odd_rows, no_docs):
     assert neardup.near_duplicates(no_docs).count() == 0
 
 
+def test_near_duplicates_with_many_null_and_repeated_ids(spark):
+    """Texts are looked up by id and text: 300 rows without an id, and 300 with one, cost 600 lookups."""
+    texts = near_copies(11, 20, 30)
+    rows = [(None if k % 2 else 7, t) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = neardup.signatures(docs, 4, 2, 2, 3, 5).filter("set_key IS NOT NULL")
+    wanted = signed.select("_id", "text_key", "set_key").distinct().withColumn("number", F.xxhash64("set_key"))
+    assert neardup._class_sets(docs, wanted, 4, "doc_id", "text").count() == len(set(texts))
+    roots = components_by_hand([shingles(t, 4) for t in texts], 80)
+    named = {root for root, (doc_id, _) in zip(roots, rows) if doc_id == 7}
+    wanted = Counter((doc_id, 7 if root in named else None, doc_id == 7) for root, (doc_id, _) in zip(roots, rows))
+    found = neardup.near_duplicates(docs, words=4).collect()
+    assert Counter((r.doc_id, r.component_id, r.kept) for r in found) == wanted
+
+
+@pytest.mark.parametrize("strangers", [1, 6])
+def test_members_of_a_group_are_not_paired_with_each_other(spark, strangers):
+    rows = [("s", k, 100, 0, 3) for k in range(5000)] + [("s", 9000 + k, 100, 9000 + k, 4) for k in range(strangers)]
+    rows += [("own", k, 100, 0, 5) for k in range(5000)] + [("two", 1, 100, 0, 1), ("two", 9000, 100, 9000, 1)]
+    first = spark.createDataFrame(rows, "shingle string, number long, n int, label long, at int")
+    pairs = neardup._across(first)
+    found = Counter((r.shingle, *sorted((r.number_a, r.number_b))) for r in pairs.collect())
+    wanted = {("s", k, 9000 + x) for k in range(5000) for x in range(strangers)} | {("two", 1, 9000)}
+    wanted |= {("s", 9000 + x, 9000 + y) for y in range(strangers) for x in range(y)}
+    assert set(found) == wanted and set(found.values()) == {1}
+
+
+def test_least_ids_of_heavy_and_light_components(spark):
+    rows = [(str(k), None if k % 3 == 0 else 5000 - k, 1 if k < 3000 else k) for k in range(4000)]
+    classes = spark.createDataFrame(rows, "set_key string, _id long, component long")
+    found = {r.set_key: r.component_id for r in neardup._with_least_id(classes).collect()}
+    assert len(found) == 4000
+    assert {found[str(k)] for k in range(3000)} == {5000 - 2999}
+    assert all(found[str(k)] == (None if k % 3 == 0 else 5000 - k) for k in range(3000, 4000))
+
+
 def test_components(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     found = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
