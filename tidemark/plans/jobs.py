@@ -38,13 +38,15 @@ def jobs(
     tie_breaks: Sequence[str] = ("time_end",),
     strict_overlap: bool = True,
     segment: Segment | None = None,
+    deep: bool = False,
 ) -> Page:
     """A page of jobs of one run, or of all runs (then ``sim_id`` comes first in every row).
 
     Of several snapshots at a job's newest time, ``tie_breaks`` and then all other fields but ``nodes`` decide, the
     larger value first, whatever is selected. ``start``/``end`` keep jobs queued or running in the interval, judged by their latest state up to
     ``end``. With ``strict_overlap=False`` snapshots from before ``start`` are not looked at: less is
-    read, and a job without any snapshot in the interval is missed.
+    read, and a job without any snapshot in the interval is missed. ``deep`` is for large offsets: the page is
+    located by counts, which starts jobs.
     """
     chosen = expand_fields(fields, JOB_GROUPS, JOB_FIELDS)
     wanted = Filters.parse(JOB_OPTION_FIELDS, filters)
@@ -80,6 +82,6 @@ def jobs(
     found = latest_page(
         log, entity, ["ts", *tie_breaks], [f for f in JOB_FIELDS if f in used and f not in entity], order,
         ties=[f for f in JOB_FIELDS if f not in entity], heavy=["nodes"], keep=keep if later else None, keep_columns=[f for f in JOB_FIELDS if f in later],
-        limit=limit, offset=offset,
+        limit=limit, offset=offset, deep=deep,
     )
     return replace(found, rows=found.rows.select(*chosen))

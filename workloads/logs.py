@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.times import parse_instant
 from tidemark.operators.changes import change_only, job_fingerprint, mask_future_end, new_samples_only
+from tidemark.operators.deep import deep_page
 from tidemark.operators.lifecycle import completion_events, last_seen, with_progress
 from tidemark.operators.overlap import active_between
 from tidemark.operators.snapshots import as_of, earliest_state, latest_state
@@ -206,6 +207,20 @@ def page(t: Tables):
     ).rows
 
 
+@query("""
+    SELECT o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders
+    ORDER BY o_orderpriority DESC, o_totalprice DESC, o_orderkey
+    LIMIT 100 OFFSET (SELECT 2 * count(*) // 3 FROM orders)
+""")
+def page_far_down(t: Tables):
+    """A page behind two thirds of all rows, located by counts: a value with a fifth of the rows is divided by the next key."""
+    fields = {"o_orderkey": "number", "o_totalprice": "number", "o_orderpriority": "string"}
+    sort = Sort.parse(fields, ["desc:o_orderpriority", "desc:o_totalprice"], ["asc:o_orderkey"])
+    offset = 2 * t.orders.count() // 3
+    columns = ["o_orderkey", "o_custkey", "o_totalprice", "o_orderpriority"]
+    return deep_page(t.orders, sort, columns, 100, offset, small=1000).rows
+
+
 PROGRESS_SQL = f"""
     SELECT s.* EXCLUDE (progress_date),
            CASE WHEN execution_end IS NOT NULL THEN round((epoch_us(progress_date) - epoch_us(start)) / (epoch_us("end") - epoch_us(start)), 3)

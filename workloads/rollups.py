@@ -10,6 +10,7 @@ from tidemark.functions.durations import BREAKPOINT_SECONDS, snap_seconds
 from tidemark.functions.times import bucket, naive, offset_to_time, parse_instant
 from tidemark.operators.changes import downsample
 from tidemark.operators.filters import Filters
+from tidemark.operators.grids import Grid, grid_rollup as rollup_from_grids
 from tidemark.operators.rollup import distinct_counts, maxima, rollup, rollup_groups, rollup_table
 from tidemark.operators.snapshots import newest
 from tidemark.operators.spans import Granularity, Span, data_bounds, extent, fill_bounds, group_spans
@@ -18,6 +19,7 @@ from tidemark.plans.power import job_power_series
 from tidemark.plans.series import row_values
 from tidemark.plans.system import system_series
 from tidemark.schemas import CDU_MEASURES, CEP_MEASURES, SYSTEM_COUNTS, SYSTEM_MEASURES
+from tidemark.session import shared_dir
 from workloads import derived
 from workloads.registry import Tables, query
 
@@ -339,6 +341,22 @@ def rollup_table_query(t: Tables):
     return rollup_table(t.events, timedelta(hours=1), ["user_id", "event_type"], ["value"])
 
 
+@query("""
+    SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '2024-01-01') AS timestamp, event_type, max(value) AS value
+    FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-28 17:20:00' GROUP BY 1, 2
+""")
+def grid_rollup(t: Tables):
+    """Maxima from a stored two-hour grid that was extended twice, raw rows behind it."""
+    grids = [
+        Grid(shared_dir(t.spark, f"grid-{hours}h"), timedelta(hours=hours), ["event_type"], ["value"]) for hours in (2, 5)
+    ]
+    for grid in grids:
+        for upto in ("2024-01-12T03:30Z", "2024-01-25T05:10Z"):
+            grid.extend(t.events, parse_instant(upto))
+    span = Span("2024-01-01T00:00Z", "2024-01-28T17:20Z", timedelta(hours=6))
+    return rollup_from_grids(t.events, grids, span, ["value"], ["event_type"])
+
+
 @query("""
     SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT value) AS readings
     FROM events GROUP BY 1
