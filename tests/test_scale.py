@@ -1,5 +1,6 @@
 """Reads that touch little of large tables: deep pages, stored grids, Bloom filters."""
 
+import random
 import re
 from datetime import datetime, timedelta, timezone
 
@@ -13,6 +14,7 @@ from tidemark.operators.options import OptionError
 from tidemark.operators.rollup import maxima, rollup
 from tidemark.operators.sorting import Sort, page
 from tidemark.operators.spans import Span
+from tidemark.operators.sweep import overlap_totals
 from tidemark.sources import sinks, tables
 
 FIELDS = {"site": "string", "load": "number", "seen": "date", "id": "number"}
@@ -114,6 +116,37 @@ def test_stored_buckets_are_not_read_raw(spark, events, tmp_path):
     assert len(filters) == 2 and sum(">= 2024-01-25 00:00:00" in line for line in filters) == 1
 
 
+def test_totals_of_overlaps(spark):
+    draw = random.Random(5)
+    jobs = [(draw.randrange(300), draw.choice([0, 0, 3, 40, -2]), draw.choice([None, 1, 5])) for _ in range(900)]
+    # A third of all jobs begin at one moment.
+    jobs = [(a, a + d, m) for a, d, m in jobs] + [(150, 150 + k % 9, 2) for k in range(450)] + [(None, 3, 1), (3, None, 1)]
+    spans = [(k, a, a + draw.choice([0, 1, 25])) for k, a in enumerate(range(-5, 350, 2))]
+    spans += [(900, None, 4), (901, 10, 3), (902, 100, 101), (903, 100, 101), (904, 5000, 6000)]
+
+    def table(rows, names):
+        seconds = [F.timestamp_seconds(c).alias(c) if c in ("a", "b", "span_start", "span_end") else F.col(c) for c in names]
+        return spark.createDataFrame(rows, ", ".join(f"{c} long" for c in names)).select(*seconds)
+
+    def meets(a, b, lo, hi):
+        return None not in (a, b, lo, hi) and a <= b and lo <= hi and a <= hi and b >= lo
+
+    expected = []
+    for k, lo, hi in spans:
+        met = [m for a, b, m in jobs if meets(a, b, lo, hi)]
+        expected.append((k, len(met), sum(m or 0 for m in met)))
+    log, asked = table(jobs, ["a", "b", "m"]), table(spans, ["k", "span_start", "span_end"])
+    for target in (16, 100_000):
+        found = overlap_totals(log, asked, "a", "b", {"total": "m"}, target_rows=target)
+        assert sorted(tuple(r) for r in found.select("k", "jobs", "total").collect()) == sorted(expected)
+    assert overlap_totals(log.limit(0), asked, "a", "b").filter("jobs <> 0").count() == 0
+    assert overlap_totals(log, asked.limit(0), "a", "b").count() == 0
+    with pytest.raises(OptionError):
+        overlap_totals(log.withColumn("m", F.lit(0.5)), asked, "a", "b", {"total": "m"})
+    with pytest.raises(OptionError):
+        overlap_totals(log, asked, "a", "b", count="k")
+
+
 def test_bloom_filters_skip_row_groups(spark, tmp_path):
     key = F.sha2(F.col("id").cast("string"), 256)
     log = spark.range(60_000).select(key.alias("job"), F.timestamp_seconds(F.col("id")).alias("ts"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.times import parse_instant
 from tidemark.operators.lookup import enrich, having_id, names_of, orphans
 from tidemark.operators.overlap import join_spans, looking_back
+from tidemark.operators.sweep import overlap_totals
 from tidemark.plans.replay import replay_jobs, replay_summary
 from workloads.registry import Tables, query
 
@@ -96,6 +97,26 @@ def range_join_spans(t: Tables):
     )
 
 
+@query(f"""
+    WITH spans AS (SELECT DISTINCT o_orderdate FROM orders),
+    met AS (
+        SELECT o_orderdate, count(*) AS n_jobs, sum(l_linenumber) AS n_nodes
+        FROM ({HISTORY_SQL}) JOIN spans ON began <= o_orderdate + INTERVAL 12 HOUR AND ended >= o_orderdate
+        GROUP BY 1)
+    SELECT o_orderkey, coalesce(n_jobs, 0) AS n_jobs, coalesce(n_nodes, 0)::BIGINT AS n_nodes
+    FROM orders LEFT JOIN met USING (o_orderdate)
+""")
+def span_totals(t: Tables):
+    """Jobs and nodes at work around the time of each order, by running sums in place of pairs."""
+    spans = t.orders.select(
+        "o_orderkey", F.col("o_orderdate").alias("span_start"),
+        (F.col("o_orderdate") + F.expr("interval 12 hours")).alias("span_end"),
+    )
+    jobs = history(t).withColumn("nodes_used", F.col("l_linenumber").cast("long"))
+    found = overlap_totals(jobs, spans, "began", "ended", {"n_nodes": "nodes_used"}, count="n_jobs", target_rows=1000)
+    return found.select("o_orderkey", "n_jobs", "n_nodes")
+
+
 @query(f"""
     SELECT {LINE_SQL}, ts FROM ({HISTORY_SQL})
     WHERE ts >= TIMESTAMP '1998-05-29' AND ts <= TIMESTAMP '1998-08-01'
