@@ -283,6 +283,19 @@ def test_members_of_a_group_are_not_paired_with_each_other(spark, strangers):
     assert set(found) == wanted and set(found.values()) == {1}
 
 
+def test_parities_bound_differences(spark):
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 63, 300, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[k:], draw.integers(0, 1 << 63, k, dtype=np.uint64)])) for k in (0, 5, 40, 299)]
+    table = spark.createDataFrame([(k, bytearray(s.tobytes())) for k, s in enumerate(sets)], "number long, set binary")
+    made = {r.number: [r[p] for p in neardup._PARITIES] for r in neardup._parities(table).collect()}
+    for x in range(4):
+        for y in range(4):
+            apart = sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(made[x], made[y]))
+            differ = len(set(sets[x]) ^ set(sets[y]))
+            assert apart <= differ and (apart == 0) == (x == y) and (differ - apart) % 2 == 0
+
+
 def test_least_ids_of_heavy_and_light_components(spark):
     rows = [(str(k), None if k % 3 == 0 else 5000 - k, 1 if k < 3000 else k) for k in range(4000)]
     classes = spark.createDataFrame(rows, "set_key string, _id long, component long")
