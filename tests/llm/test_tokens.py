@@ -1,3 +1,4 @@
+import array
 import base64
 import hashlib
 import math
@@ -210,3 +211,20 @@ def test_pack(spark, odd_docs, odd_rows, no_docs):
         part = whole[r.sequence_id][r.offset : r.offset + r.length]
         assert zlib.crc32(np.array(part, "<u4").tobytes()) == r.ids_crc32
     assert packing.pack(no_docs, vocabulary).placement.count() == 0
+
+
+def test_words_of_letters_go_to_the_model_itself():
+    """What the library does per text costs more than the merges; the ids are those of whole texts."""
+    path = P.path("byte_bpe_50k.json")
+    ids = WordIds(path, True)
+    words = ["lettering", "Zuteber", "ci\u00f3nragado", "\nEnausch", "\u0130stanbul", "\u0250x", "don't", "a1", "x\u0301y", "\u01c5", "\u4e2d\u6587", "_a", "\n"]
+    text = "Start " + " ".join(words) + " end. Full, stop."
+    library = Tokenizer.from_file(path)
+    whole = ids.encode_all([text, text.replace(" ", "\n")])
+    assert [list(array.array("I", x)) for x in whole] == [
+        library.encode(t, add_special_tokens=False).ids for t in (text, text.replace(" ", "\n"))
+    ]
+    seen = []
+    ids._encode = lambda texts, encode=ids._encode: seen.extend(texts) or encode(texts)
+    assert list(array.array("I", ids.encode_all(["and unheardof\nlinebegin"])[0])) == library.encode("and unheardof\nlinebegin").ids
+    assert not [t for t in seen if "unheardof" in t or "linebegin" in t]

@@ -22,6 +22,18 @@ SLICE = 1 << 20
 #: Where white space meets white space, or an end of the text, words alone don't tell the ids. Such words
 #: are never kept, so only words that are not known yet need a look.
 _UNEVEN = re.compile(f"\\A\\Z|\\A(?!\n)[{SPACE}]|[{SPACE}][{SPACE}]|[{SPACE}]\\Z")
+#: Words of these letters, with the space before them, are one match of the byte-level pattern.
+_LETTERS = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """The characters by which byte-level vocabularies write bytes."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = (b for b in range(256) if b not in shown)
+    return {b: chr(b) for b in shown} | {b: chr(256 + n) for n, b in enumerate(others)}
+
+
+_BYTE_LETTERS = _byte_letters()
 
 
 class WordIds:
@@ -36,10 +48,20 @@ class WordIds:
     def __init__(self, path: str, spaces_kept: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
         self.spaces_kept = spaces_kept
+        # Making a text byte-level takes the library longer than the merges: words that are one match of its
+        # pattern go to the model itself.
+        byte_level = isinstance(self.model.pre_tokenizer, ByteLevel) and self.model.pre_tokenizer.use_regex
+        added = self.model.get_added_tokens_decoder().values()
+        self.direct = (
+            spaces_kept and byte_level and self.model.normalizer is None
+            and not any(_LETTERS(token.content.strip()) for token in added)
+        )
+        self.merges = self.model.model
         self.known: dict[bytes, bytes] = {}
         self.missed = 0
 
@@ -47,6 +69,27 @@ class WordIds:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [array.array("I", x.ids).tobytes() for x in found]
 
+    def _encode_words(self, words: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of words as they stand in a text, with the space before them where spaces are kept."""
+        found, rest = {}, words
+        if self.direct:
+            rest = []
+            space, tokenize = _BYTE_LETTERS[ord(" ")], self.merges.tokenize
+            line = self._encode(["\n"])[0]
+            for word in words:
+                # Between a line feed and a letter there is a cut.
+                new_line = word[:1] == b"\n"
+                letters = word[1:] if new_line else word
+                if _LETTERS(letters.decode()):
+                    shown = letters.decode("latin-1").translate(_BYTE_LETTERS)
+                    tokens = tokenize(shown if new_line else space + shown)
+                    ids = array.array("I", [token.id for token in tokens]).tobytes()
+                    found[word] = line + ids if new_line else ids
+                else:
+                    rest.append(word)
+        found.update(zip(rest, self._encode([self._meaning(word) for word in rest])))
+        return found
+
     def _meaning(self, word: bytes) -> str:
         return word.decode() if not self.spaces_kept or word[:1] == b"\n" else " " + word.decode()
 
@@ -61,7 +104,7 @@ class WordIds:
                 new.append(word)
         more = {stem for stem in stems.values() if stem not in known and stem not in words}
         new += more
-        learnt = dict(zip(new, self._encode([self._meaning(word) for word in new])))
+        learnt = self._encode_words(new)
         if stems:
             marks = dict(zip(b".,", self._encode([".", ","])))
             for word, stem in stems.items():
