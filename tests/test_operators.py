@@ -374,3 +374,21 @@ def test_nested_values_and_odd_rows(spark):
         [(1, 0, 1.0, 3.0, None, None), (None, 0, None, None, 2.0, None), (2, 1, None, None, None, None)],
     )
     assert reshape.nested_rows(df.limit(0), ["r"]).count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_group_is_combined_after_its_join(spark):
+    """The join's partitions are not those of the aggregation, so a group is dealt among tasks and combined map-side."""
+    log = spark.range(20_000).select((F.col("id") < 0).alias("k"), F.timestamp_seconds(F.col("id")).alias("ts"), F.col("id").alias("n"))
+    spans = group_spans(extent(log, "ts", ["k"]), ["k"], Granularity(resolution=1))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rollup_groups(log, spans, ["k"], maxima(["n"]))
+        above, _, below = plan_of(got).partition("SortMergeJoin")
+        assert "Exchange hashpartitioning(k" in above and "hashpartitioning(k" in below
+        same_rows(got.select("k", "n"), [(False, 19_999)])
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

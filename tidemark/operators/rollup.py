@@ -12,6 +12,10 @@ from tidemark.functions.times import bucket, bucket_micros, micros
 from tidemark.operators.spans import Segment, Span
 
 
+#: Into how many parts the rows of a group are dealt where they meet its span.
+_DEAL = 16
+
+
 def maxima(columns: Sequence[str]) -> dict[str, Column]:
     return {c: F.max(c) for c in columns}
 
@@ -56,14 +60,18 @@ def rollup_groups(
 ) -> DataFrame:
     """:func:`rollup` for many groups at once, each over its own span from ``group_spans``.
 
-    The join is a plain one, which adaptive execution broadcasts or splits by the bytes it measures. The
-    aggregation then combines map-side, so a hot group never meets in one task. A span that ends before
-    it starts is empty.
+    The join is a plain one, which adaptive execution broadcasts or splits by the bytes it measures. Its keys
+    include a number that the aggregation does not group by: were they a part of the grouping, the aggregation
+    would count on the join's partitions, which then could not be split, and a hot group would meet in one task.
+    So it combines map-side instead. The number also deals a group's rows by time among some tasks, so that the
+    join sorts no group whole. A span that ends before it starts is empty.
     """
     chosen = list(fields) if fields is not None else [*dims, *aggregates]
     us = micros(F.col(ts))
+    dealt = spans.select("*", F.explode(F.sequence(F.lit(0), F.lit(_DEAL - 1))).alias("_deal"))
     placed = (
-        series.join(spans, list(by))
+        series.withColumn("_deal", F.pmod(F.xxhash64(ts), F.lit(_DEAL)).cast("int"))
+        .join(dealt, [*by, "_deal"])
         .filter((us >= F.col("span_start")) & (us < F.col("span_end")))
         .withColumn("_bucket_us", bucket_micros(us, F.col("span_width"), F.col("span_start")))
     )
