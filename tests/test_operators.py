@@ -392,3 +392,21 @@ def test_hot_group_is_combined_after_its_join(spark):
         same_rows(got.select("k", "n"), [(False, 19_999)])
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_paths_are_read_in_place(spark):
+    """Few frequent paths would meet in few tasks of a join on paths."""
+    df = spark.createDataFrame([(1, "a.b", 1.0), (1, "a['b']", 2.0), (1, None, 3.0)], "r int, path string, value double")
+    for made in (reshape.path_conflicts(df, ["r"]), reshape.nested_rows(df, ["r"])):
+        assert "Join" not in plan_of(made)
+    same_rows(reshape.path_conflicts(df, ["r"]), [(1, "a/b", "duplicate")])
+
+
+@pytest.mark.parametrize("path, parts", [
+    (".a", ["a"]), (".[1]", None), ("a.", None), ("a.[1]", None), ("[1]a", None), ("[1].a", ["[1]", "a"]), ("[]", None),
+    ("['']", None), ("['a\"]", None), ("[1", None), ("a\n", None), ("['a\n]b']", ["a\n]b"]), ('["it\'s"][2]', ["it's", "[2]"]),
+    ("é_1.\U0001d49c", ["é_1", "\U0001d49c"]), ("['[1]']", ["[1]"]), ("a" + ".b" * 20_000, ["a"] + ["b"] * 20_000),
+])
+def test_odd_paths(spark, path, parts):
+    df = spark.createDataFrame([(path,)], "path string")
+    assert df.select(reshape.path_parts(F.col("path")).alias("p")).first().p == parts

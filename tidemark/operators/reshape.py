@@ -100,69 +100,43 @@ def plain_path(path: Column) -> Column:
     return F.when(path.contains("']") | path.contains('"]'), F.ltrim(dotted, F.lit("."))).otherwise(path)
 
 
-# What the reader of a path expects or is amid.
-_BEGIN, _NAME, _AFTER_DOT, _OPENED, _INDEX, _QUOTED, _UNQUOTED, _CLOSED, _BROKEN = range(9)
+# A path is a name or a place in brackets, then names after dots and further places. Nothing is tried twice, so long
+# paths need no deeper stack.
+_NAME = r"[\p{L}\p{N}_]++"
+_PLACE = r"""\[(?:[0-9]++|'[^']++'|"[^"]++")\]"""
+_WHOLE_PATH = rf"\A(?:\.?{_NAME}|{_PLACE})(?:\.{_NAME}|{_PLACE})*+\z"
 
 
 def path_parts(path: Column) -> Column:
     """Parts of a path in one spelling each, so that ``a.b`` and ``a['b']`` are the same place; NULL if the text
     is no path. Names lose their dots and quotes; indexes keep their brackets.
 
-    A path is read from left to right, a character at a time: names of letters, digits and ``_``, after a dot
-    unless they come first; or brackets around a whole number, or around a name in quotes of either kind, which
-    may hold anything but that quote and is not empty.
+    A path has names of letters, digits and ``_``, after a dot unless they come first; or brackets around a whole
+    number, or around a name in quotes of either kind, which may hold anything but that quote and is not empty.
+    Two matches read it, so that every reading can be read where it is.
     """
 
-    def read(seen: Column, char: Column) -> Column:
-        state, part, quote = seen["state"], seen["part"], seen["quote"]
-        plain = char.rlike(r"^[\p{L}\p{N}_]$")
-        digit = char.between("0", "9")
-        between = state.isin(_BEGIN, _NAME, _CLOSED)
-        quoting = state == _QUOTED
-        following = (
-            F.when(quoting, F.when(char != quote, _QUOTED).when(part != "", _UNQUOTED).otherwise(_BROKEN))
-            .when(state.isin(_BEGIN, _NAME, _AFTER_DOT) & plain, _NAME)
-            .when(between & (char == "."), _AFTER_DOT)
-            .when(between & (char == "["), _OPENED)
-            .when((state == _OPENED) & char.isin("'", '"'), _QUOTED)
-            .when(state.isin(_OPENED, _INDEX) & digit, _INDEX)
-            .when(state.isin(_INDEX, _UNQUOTED) & (char == "]"), _CLOSED)
-            .otherwise(_BROKEN)
-        )
-        grows = F.when(quoting, char != quote).otherwise(following.isin(_NAME, _INDEX))
-        # A name ends with the dot or bracket after it, what stands in brackets with the closing one.
-        ends = ((state == _NAME) & ~plain) | (following == _CLOSED)
-        ended = F.when(state == _INDEX, F.concat(F.lit("["), part, F.lit("]"))).otherwise(part)
-        return F.struct(
-            following.cast("int").alias("state"),
-            F.when(grows, F.concat(part, char)).when(ends, "").otherwise(part).alias("part"),
-            F.when((state == _OPENED) & ~digit, char).otherwise(quote).alias("quote"),
-            F.when(ends, F.array_append(seen["parts"], ended)).otherwise(seen["parts"]).alias("parts"),
-        )
+    def plain(part: Column) -> Column:
+        quoted = part.startswith("['") | part.startswith('["')
+        return F.when(quoted, F.substr(part, F.lit(3), F.length(part) - 4)).otherwise(part)
 
-    def parts_of(seen: Column) -> Column:
-        whole = F.when(seen["state"] == _NAME, F.array_append(seen["parts"], seen["part"])).otherwise(seen["parts"])
-        return F.when(seen["state"].isin(_NAME, _CLOSED), whole)
-
-    nothing = F.struct(
-        F.lit(_BEGIN).alias("state"), F.lit("").alias("part"), F.lit("").alias("quote"),
-        F.array().cast("array<string>").alias("parts"),
-    )
-    return F.aggregate(F.split(path, ""), nothing, read, parts_of)
+    parts = F.regexp_extract_all(path, F.lit(f"{_NAME}|{_PLACE}"), F.lit(0))
+    return F.when(path.rlike(_WHOLE_PATH), F.transform(parts, plain))
 
 
 def path_conflicts(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     """Places that make a record unusable: ``key, place, problem``.
 
     ``duplicate``: two readings for one place; ``nested``: a reading at a place that holds further
-    places; ``invalid``: not a path. Each distinct path is read once; then one aggregation over readings and
-    their ancestors.
+    places; ``invalid``: not a path. Readings without a path are left out. Paths are read in place, as few frequent ones
+    would meet in few tasks of a join; then one aggregation over readings and their ancestors.
     """
-    paths = readings.select("path").distinct().withColumn("_parts", path_parts(F.col("path")))
-    legal = F.col("_parts").isNotNull()
-    parts = readings.join(paths, "path").select(
-        *key, F.coalesce("_parts", F.array("path")).alias("parts"), legal.alias("is_path")
-    )
+
+    def known(parts: Column) -> Column:
+        return F.struct(F.coalesce(parts, F.array("path")).alias("parts"), parts.isNotNull().alias("is_path"))
+
+    read = readings.filter(F.col("path").isNotNull()).select(*key, _once(path_parts(F.col("path")), known).alias("_read"))
+    parts = read.select(*key, "_read.parts", "_read.is_path")
     places = parts.select(
         "*", F.explode(F.sequence(F.lit(1), F.size("parts"))).alias("depth")
     ).select(
@@ -191,20 +165,17 @@ def nested_rows(readings: DataFrame, key: Sequence[str]) -> DataFrame:
     Names are object keys; so are indexes, with their brackets, which keeps ``a[1]`` and ``a['1']`` apart (read with
     :func:`nested_value`). Values keep their kind; NULL stays, NaN and infinities are texts. ``conflicts`` counts
     readings that are no path, for a place that has one already, or below such a place; a record that has any
-    has no ``nested`` (:func:`path_conflicts` tells which). Each distinct path is read once.
+    has no ``nested`` (:func:`path_conflicts` tells which). Paths are read in place.
 
     Sorted by parts, the readings of an object lie together: each one closes what the one before has open beyond
     their common parts, and opens its own. A row holds all readings of its record, as its result does.
     """
-    paths = readings.select("path").distinct().withColumn("_parts", path_parts(F.col("path")))
 
     def json(value: Column) -> Column:
         listed = F.to_json(F.array(value), {"ignoreNullFields": "false"})
         return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
-    leaves = readings.join(paths, "path", "left").select(
-        *key, "_parts", json(F.col("value")).alias("_text")
-    )
+    leaves = readings.select(*key, path_parts(F.col("path")).alias("_parts"), json(F.col("value")).alias("_text"))
     legal = F.col("_parts").isNotNull()
     records = leaves.groupBy(*key).agg(
         F.sort_array(F.collect_list(F.when(legal, F.struct("_parts", "_text")))).alias("_leaves"),
