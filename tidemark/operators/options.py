@@ -9,6 +9,7 @@ from __future__ import annotations
 import operator
 from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -66,7 +67,13 @@ def _holds(col: Column, value: Any) -> Column:
     return F.when(col.isNotNull(), F.coalesce(F.array_contains(col, F.lit(value)), F.lit(False)))
 
 
+#: Up to so many values are looked for one by one; more are made a set for each row.
+_FEW = 8
+
+
 def _holds_any(col: Column, values: list) -> Column:
+    if len(values) <= _FEW:
+        return reduce(operator.or_, [_holds(col, v) for v in values])
     wanted = F.array(*[F.lit(v) for v in values])
     return F.when(col.isNotNull(), F.coalesce(F.arrays_overlap(col, wanted), F.lit(False)))
 

@@ -17,9 +17,12 @@ from workloads.registry import Tables, query
 
 def filter_report(df: DataFrame, key: str, fields: dict[str, str], cases: list[tuple[str, str]]) -> DataFrame:
     """Per filter the number of rows that pass and the sum of their keys, in one pass over ``df``."""
+    # Worked out before they are counted: inside the aggregates each filter would be worked out for both.
+    passing = [Filters.parse(fields, {name: text}).predicates({name: F.col(name)})[0] for name, text in cases]
+    df = df.select(key, *[passes.alias(f"_passes{i}") for i, passes in enumerate(passing)])
     reports = []
-    for name, text in cases:
-        passes = Filters.parse(fields, {name: text}).predicates({name: F.col(name)})[0]
+    for i, (name, text) in enumerate(cases):
+        passes = F.col(f"_passes{i}")
         reports.append(
             F.struct(
                 F.lit(f"{name}={text}").alias("filter"),
