@@ -202,3 +202,23 @@ def test_routing(spark, tmp_path):
     ingest.start_routing(file_rows(spark, str(tmp_path / "in")), out, f"{out}-cp", NOW).awaitTermination()
     assert rows(spark.read.text(f"{out}/topic=a")) == [("1",), ("3",)]
     assert rows(spark.read.text(f"{out}/topic=b")) == [("2",)]
+
+
+def test_batches_of_events_are_read_by_all_cores(spark):
+    from workloads.registry import Tables
+    from workloads.streams import event_stream, finish
+
+    t = Tables(spark, "/root/testdata/sf0.001")
+    for in_order in (False, True):
+        seen = {}
+
+        def look(batch, number):
+            found = batch.agg(F.count("event_id"), F.min("ts"), F.max("ts")).first()
+            seen[number] = (batch.select(F.input_file_name()).distinct().count(), *found)
+
+        stream = event_stream(t, in_order)
+        finish(stream.writeStream.foreachBatch(look).trigger(availableNow=True).start())
+        files = spark.sparkContext.defaultParallelism
+        assert sorted(seen) == [0, 1, 2, 3, 4] and sum(s[1] for s in seen.values()) == t.events.count()
+        assert {s[0] for s in seen.values()} == {files} and files > 1
+        assert in_order == all(seen[n][3] < seen[n + 1][2] for n in range(4))

@@ -23,19 +23,26 @@ ALL_THERE_IS = {"availableNow": True}
 
 
 def event_stream(t: Tables, in_order: bool = False):
-    """The events as five files, one to a micro-batch.
+    """The events as five micro-batches of as many files as there are cores, so that no batch is read by one task.
 
-    Each file reaches over the whole month, so that later batches bring rows older than those before;
+    Each batch reaches over the whole month, so that later batches bring rows older than those before;
     ``in_order`` gives six days to each instead.
     """
     path = shared_dir(t.spark, "events")
+    files = t.spark.sparkContext.defaultParallelism
     if in_order:
         part = F.least(F.floor((F.dayofmonth("ts") - 1) / 6), F.lit(4))
         for number in range(5):
-            t.events.filter(part == number).coalesce(1).write.mode("append").parquet(path)
+            write_batch(t.events.filter(part == number), path, files)
     else:
-        t.events.repartitionByRange(5, F.xxhash64("event_id")).write.parquet(path)
-    return parquet_stream(t.spark, path, t.events.schema, files_per_trigger=1)
+        for number in range(5):
+            write_batch(t.events.filter(F.pmod(F.xxhash64("event_id"), F.lit(5)) == number), path, files)
+    return parquet_stream(t.spark, path, t.events.schema, files_per_trigger=files)
+
+
+def write_batch(rows, path: str, files: int) -> None:
+    """Just so many files, if there are as many rows; files are read in the order in which they were written."""
+    rows.repartition(files).write.mode("append").parquet(path)
 
 
 def finish(started) -> None:
