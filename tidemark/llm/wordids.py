@@ -44,6 +44,8 @@ class WordIds:
     """
 
     MOST_KEPT = 1_000_000
+    #: Without spaces; a word takes some 180 bytes, and an executor keeps several workers from stage to stage.
+    MOST_KEPT_PLAIN = 400_000
 
     def __init__(self, path: str, spaces_kept: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,6 +64,8 @@ class WordIds:
             and not any(_LETTERS(token.content.strip()) for token in added)
         )
         self.merges = self.model.model
+        if not spaces_kept:
+            self.MOST_KEPT = self.MOST_KEPT_PLAIN
         self.known: dict[bytes, bytes] = {}
         self.missed = 0
 
