@@ -195,6 +195,14 @@ def test_ingest_of_all_tables(spark, tmp_path):
     same_rows(got["runs"].select("id", F.year("ts"), F.get_json_object("config", "$.a")), [("r1", 2024, "1"), ("r2", 2010, None)])
 
 
+def test_a_row_is_parsed_once(spark):
+    sent = spark.createDataFrame([('{"timestamp": "2024-05-01", "power": "x", "sim_id": 1}',), ("[",)], "value string")
+    assert rows(ingest.rejects_of(sent, "job_power"), "reason", "fields") == [("not an object", []), ("wrong type", ["power"])]
+    for made in (ingest.rejects_of(sent, "cdus"), ingest.decode_table(sent, "cdus")):
+        plan = made._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("from_json(") == 1, plan
+
+
 def test_routing(spark, tmp_path):
     sent = spark.createDataFrame([("a", "1"), ("b", "2"), ("a", "3")], "topic string, value string")
     write_jsonl(sent, str(tmp_path / "in"))
@@ -222,3 +230,19 @@ def test_batches_of_events_are_read_by_all_cores(spark):
         assert sorted(seen) == [0, 1, 2, 3, 4] and sum(s[1] for s in seen.values()) == t.events.count()
         assert {s[0] for s in seen.values()} == {files} and files > 1
         assert in_order == all(seen[n][3] < seen[n + 1][2] for n in range(4))
+
+
+def test_topics_are_written_by_all_cores(spark, monkeypatch):
+    from workloads import streams
+    from workloads.registry import Tables
+
+    class Seen(Exception):
+        pass
+
+    def look(rows, path, number):
+        raise Seen(rows.select(F.spark_partition_id()).distinct().count())
+
+    monkeypatch.setattr(streams, "append_topics", look)
+    with pytest.raises(Seen) as seen:
+        streams.stream_six_tables(Tables(spark, "/root/testdata/sf0.001"))
+    assert seen.value.args[0] == spark.sparkContext.defaultParallelism > 1

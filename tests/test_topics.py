@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import rows
 from tidemark.operators.options import OptionError
-from tidemark.sources.topics import append_topics, lines_between, topic_rows
+from tidemark.sources.topics import Piece, TopicReader, append_topics, lines_between, topic_rows
 from tidemark.streaming.ticks import REJECTS, TickStore, start_ticks, visible
 
 NOW = {"availableNow": True}
@@ -52,6 +52,34 @@ def test_earliest_latest_and_restart(spark, tmp_path):
         topic_rows(spark, log, start="newest")
 
 
+def test_one_large_file_is_read_by_all_cores(spark, tmp_path):
+    log = str(tmp_path / "log")
+    sent = spark.range(50_000).select(
+        F.when(F.col("id") < 49_990, "a").otherwise("b").alias("topic"), F.rpad(F.col("id").cast("string"), 100, ".").alias("value")
+    )
+    append_topics(sent.coalesce(1), log, 0)
+    seen = {}
+
+    def look(batch, number):
+        parts = batch.withColumn("task", F.spark_partition_id()).groupBy("topic")
+        found = parts.agg(F.countDistinct("task"), F.count("value"), F.countDistinct("value"))
+        seen.update({topic: counts for topic, *counts in found.collect()})
+
+    topic_rows(spark, log, start="earliest").writeStream.foreachBatch(look).trigger(**NOW).start().awaitTermination()
+    assert spark.sparkContext.defaultParallelism == 4
+    assert seen == {"a": [4, 49_990, 49_990], "b": [1, 10, 10]}
+
+
+def test_small_files_of_a_topic_share_a_task(spark, tmp_path):
+    log = str(tmp_path / "log")
+    append_topics(spark.range(100).selectExpr("'a' AS topic", "string(id) AS value").repartition(10), log, 0)
+    reader = TopicReader({"path": log, "pieces": "4"})
+    (piece,) = reader.partitions({"next": 0}, {"next": 1})
+    assert isinstance(piece, Piece)
+    got = [v for batch in reader.read(piece) for v in batch.column("value").to_pylist()]
+    assert sorted(got, key=int) == [str(k) for k in range(100)]
+
+
 def test_a_batch_without_mark_holds_back_later_ones(spark, tmp_path):
     log = str(tmp_path / "log")
     for number in range(3):
@@ -114,6 +142,20 @@ def test_a_tick_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
     assert jobs_of(spark, store) == ["a", "b", "c"]
 
 
+def test_rows_of_a_tick_are_parsed_once(spark, tmp_path, monkeypatch):
+    store, plans = TickStore(str(tmp_path / "s"), {"cdus": "d", "cep": "c"}), {}
+
+    def look(self, rows, table, ticks):
+        plans[table] = rows._jdf.queryExecution().optimizedPlan().toString()
+
+    monkeypatch.setattr(TickStore, "_write", look)
+    store.add(frame(spark, ("c", "{}")), 0)
+    # The plan of the rows kept for the tick, with the one parse, is in each plan once for each use of them.
+    for plan in plans.values():
+        kept = plan.count("InMemoryRelation")
+        assert kept and plan.count("from_json(") + plan.count("get_json_object(") == 2 * kept
+
+
 def test_ticks_are_merged_and_folders_stay_few(spark, tmp_path):
     store = TickStore(str(tmp_path / "s"), {"job_power": "p"}, merge=3)
     for tick in range(14):

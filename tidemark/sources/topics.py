@@ -21,6 +21,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from tidemark.operators.options import OptionError
 
 FORMAT = "topic_log"
+#: Less than this is not worth a task of its own.
+_LEAST_PIECE = 1 << 20
 _NO_TOPIC = "__HIVE_DEFAULT_PARTITION__"
 
 
@@ -31,10 +33,28 @@ def append_topics(rows: DataFrame, path: str, number: int) -> None:
 
 
 class Piece(InputPartition):
-    """The lines of a file that begin in a range of its bytes."""
-
-    def __init__(self, topic: str | None, file: str, begin: int, end: int):
-        super().__init__((topic, file, begin, end))
+    """The lines of a topic that begin in ranges (file, begin, end) of its files' bytes."""
+
+    def __init__(self, topic: str | None, ranges: list[tuple[str, int, int]]):
+        super().__init__((topic, ranges))
+
+
+def cut(sizes: list[tuple[str, int]], most: int, parts: int) -> Iterator[list[tuple[str, int, int]]]:
+    """Ranges of files side by side: ``parts`` lists of about the same bytes, fewer if there is little, more if a list
+    would have over ``most``."""
+    size = min(most, max(_LEAST_PIECE, -(-sum(s for _, s in sizes) // parts)))
+    ranges, room = [], size
+    for file, end_of_file in sizes:
+        begin = 0
+        while begin < end_of_file:
+            end = min(end_of_file, begin + room)
+            ranges.append((file, begin, end))
+            begin, room = end, room - (end - begin)
+            if not room:
+                yield ranges
+                ranges, room = [], size
+    if ranges:
+        yield ranges
 
 
 def open_place(path: str) -> tuple[files.FileSystem, str]:
@@ -52,6 +72,7 @@ class TopicReader(DataSourceStreamReader):
         self.start = options.get("startingoffsets", "latest")
         self.topics = [t.strip() for t in options["topics"].split(",")] if options.get("topics") else None
         self.piece_bytes = int(options.get("piecebytes", 128 << 20))
+        self.pieces = int(options.get("pieces", 1))
         self.next: int | None = None
 
     def _numbers(self) -> list[int]:
@@ -80,7 +101,7 @@ class TopicReader(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         system, root = open_place(self.path)
-        pieces: list[InputPartition] = []
+        found: dict[str | None, list[tuple[str, int]]] = {}
         for number in range(start["next"], end["next"]):
             # A batch that is gone is an error here, as rows would be lost in silence.
             for file in system.get_file_info(files.FileSelector(f"{root}/batch_id={number}", recursive=True)):
@@ -89,17 +110,18 @@ class TopicReader(DataSourceStreamReader):
                     continue
                 topic = None if place[1] == _NO_TOPIC else unquote(place[1])
                 if self.topics is None or topic in self.topics:
-                    for begin in range(0, file.size, self.piece_bytes):
-                        pieces.append(Piece(topic, file.path, begin, min(file.size, begin + self.piece_bytes)))
-        return pieces
+                    found.setdefault(topic, []).append((file.path, file.size))
+        # Each topic by itself, as its table may be filled while the others wait.
+        return [Piece(topic, ranges) for topic, sizes in found.items() for ranges in cut(sizes, self.piece_bytes, self.pieces)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        topic, file, begin, end = partition.value
+        topic, ranges = partition.value
         system, _ = open_place(self.path)
-        with system.open_input_file(file) as source:
-            for lines in lines_between(source, begin, end):
-                values = pa.array(lines, pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([topic] * len(lines), pa.string()), values], ["topic", "value"])
+        for file, begin, end in ranges:
+            with system.open_input_file(file) as source:
+                for lines in lines_between(source, begin, end):
+                    values = pa.array(lines, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([topic] * len(lines), pa.string()), values], ["topic", "value"])
 
     def commit(self, end: dict) -> None:
         """Batches stay; whoever owns the log removes old ones."""
@@ -142,8 +164,9 @@ def lines_between(source, begin: int, end: int, chunk: int = 4 << 20) -> Iterato
 
 class TopicSource(DataSource):
     """Options: ``path``; ``topics``, a comma list (all if absent); ``startingOffsets``: ``latest`` (what is written
-    after the first start), ``earliest`` or a batch number; ``pieceBytes``. A query started again goes on where its
-    checkpoint says."""
+    after the first start), ``earliest`` or a batch number; ``pieceBytes``, the most a task reads; ``pieces``, the tasks
+    among which a topic's new lines are divided if they are enough. A query started again goes on where its checkpoint
+    says."""
 
     @classmethod
     def name(cls) -> str:
@@ -163,11 +186,12 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 def topic_rows(
     spark: SparkSession, path: str, topics: str | None = None, start: str | int = "latest", piece_bytes: int = 128 << 20
 ) -> DataFrame:
-    """A stream of ``topic, value`` rows of a topic log."""
+    """A stream of ``topic, value`` rows of a topic log; each topic is read by all cores."""
     if start not in ("latest", "earliest") and not str(start).isdigit():
         raise OptionError(f"start must be latest, earliest or a batch number, got {start!r}")
     spark.dataSource.register(TopicSource)
     reader = spark.readStream.format(FORMAT).option("path", path).option("startingOffsets", str(start))
     if topics:
         reader = reader.option("topics", topics)
+    reader = reader.option("pieces", str(max(1, spark.sparkContext.defaultParallelism)))
     return reader.option("pieceBytes", str(piece_bytes)).load()

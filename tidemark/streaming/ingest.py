@@ -21,16 +21,26 @@ def _fields(schema: T.StructType, event_time_field: str) -> list[tuple[str, T.Da
     ]
 
 
+def with_texts(rows: DataFrame) -> DataFrame:
+    """Adds ``_is_object``, whether ``value`` is a JSON object, and ``_texts``, its fields as texts; rows that have them
+    stay as they are, so that several tables and their rejects can be made of rows parsed once."""
+    if "_texts" in rows.columns:
+        return rows
+    object_text = F.get_json_object("value", "$")
+    parsed = F.from_json(F.when(F.col("_is_object"), F.col("value")), T.MapType(T.StringType(), T.StringType()))
+    # Out of an array of one, or filters and columns made of the texts would each parse the row anew.
+    return rows.withColumn("_is_object", F.coalesce(object_text.startswith("{"), F.lit(False))).select(
+        "*", F.explode(F.array(parsed)).alias("_texts")
+    )
+
+
 def _read(rows: DataFrame, schema: T.StructType, event_time_field: str) -> DataFrame:
     """``value``, the event time's text, all columns, and ``_unread``: present fields of a wrong type.
 
     Each field is decoded by itself, so a wrong one is NULL and leaves the others alone.
     """
-    object_text = F.get_json_object("value", "$")
-    is_object = F.coalesce(object_text.startswith("{"), F.lit(False))
     fields = _fields(schema, event_time_field)
-    texts = F.from_json(F.when(is_object, F.col("value")), T.MapType(T.StringType(), T.StringType())).alias("_texts")
-    taken = rows.select("value", is_object.alias("_is_object"), texts)
+    taken = with_texts(rows).select("value", "_is_object", "_texts")
 
     def decoded(name: str, kind: T.DataType):
         text = F.element_at("_texts", name)

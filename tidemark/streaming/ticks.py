@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.schemas import TABLES
 from tidemark.sources.sinks import SEGMENT, with_segment
-from tidemark.streaming.ingest import decode_table, rejects_of
+from tidemark.streaming.ingest import decode_table, rejects_of, with_texts
 
 REJECTS = "rejects"
 _REJECTS = T.StructType(
@@ -97,8 +97,8 @@ class TickStore:
         changes nothing; one that was interrupted is written anew."""
         spark = rows.sparkSession
         if not any(first <= tick <= last for first, last in self.marked(spark)):
-            # Read once for all tables; what an executor takes along is read again.
-            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+            # Read and parsed once for all tables; what an executor takes along is read again.
+            rows = with_texts(rows).persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 for table, topic in self.topics.items():
                     mine = decode_table(rows.filter(F.col("topic") == topic), table)

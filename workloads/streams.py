@@ -214,7 +214,9 @@ def stream_six_tables(t: Tables):
     key = F.concat(F.lit("e"), F.col("event_id").cast("string"))
     row = json_row(time.alias("timestamp"), time.alias("time_snapshot"), key.alias("id"), key.alias("sim_id"))
     topics = F.array(*[F.lit(f"topic-{name}") for name in [*tables, "stray"]])
-    rows = t.events.select(
+    # By all cores, also where the events are one file of few row groups.
+    events = t.events.select("event_id", "ts").repartition(t.spark.sparkContext.defaultParallelism, "event_id")
+    rows = events.select(
         "event_id",
         F.get(topics, (F.col("event_id") % 7).cast("int")).alias("topic"),
         F.when(F.col("event_id") % 20 == 5, F.concat(F.lit("["), row)).otherwise(row).alias("value"),
